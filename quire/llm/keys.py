@@ -1,0 +1,19 @@
+"""Joins against sets of document keys whose size is looked at first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key set of at most this many rows is broadcast (some 20 MB); a larger one is joined by shuffle, where AQE splits skew.
+BROADCAST_KEYS = 200_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """keys, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def documents_of(profiles: DataFrame, *origins: str) -> DataFrame:
+    """The distinct doc_id of profiles rows with one of the origin types."""
+    return profiles.where(F.col("origin_type").isin(*origins) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
