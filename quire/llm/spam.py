@@ -109,7 +109,7 @@ def scored(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep")
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=8, minInstancesPerNode=2,
-            featureSubsetStrategy="all", subsamplingRate=0.7, seed=11, cacheNodeIds=False,
+            featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, cacheNodeIds=False,
         )
         sample = staged(drawn.select("label", *FEATURES), "page-labels")
         model = forest.fit(vector.transform(sample.coalesce(4)))
