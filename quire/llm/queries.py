@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import sentences, spam
+from quire.llm import language, sentences, spam
 from quire.llm.keys import documents_of, sized
 from quire.sources.tables import table
 
@@ -17,10 +17,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_spans(units.join(keys, "doc_id", "left_semi"), "ldu_id", "content")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles whose language is missing or wrong, with the right one, and the languages of lines of mixed documents."""
+    return language.found(table(spark, folder, "profiles"), table(spark, folder, "ldus"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that consist for the most part of repeated keywords, links or tags."""
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", "issuer_id")
 
 
-QUERIES = {"p1_found": p1_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
