@@ -1,6 +1,6 @@
 """Pages stuffed with keywords, links or tags, told apart from texts by bagged decision trees.
 
-Content and link features of each whole text are SQL expressions. Labelling rules that speak only on clear pages
+Content and link features of each whole text come from array operations over batches. Labelling rules that speak only on clear pages
 give weak labels; bagged decision trees fitted on a bounded sample of them (MAX_LABELLED rows a class, drawn by
 a hash of the key) score every page, and the score is moved towards the spam rate of the page's host.
 
@@ -11,6 +11,12 @@ only, the rules' own verdict stands; an empty table gives no rows. Extra columns
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,60 +33,184 @@ TREES = 30
 PRIOR_PAGES = 30.0  # pages that the overall spam rate counts for in a host's rate
 HOST_WEIGHT = 0.3
 
-LINK = r"(?:https?://|www\.)[^\s)\"'<>\]]+"
-STOP = r"[.!?؟](?:[\s”\"»)]|$|(?=\p{Lu}))|[።።。！？፧]|::|፡፡"
-#: What parts pieces of prose: a stop, or in Thai a space between letters.
-PIECE_END = rf"{STOP}|(?<=[\u0E00-\u0E7F]) +(?=[\u0E00-\u0E7F])"
+YEAR = re.compile(r"\((?:1[89]|20)\d\d\)")
+LINK = re.compile(r"(?:https?://|www\.)[^\s)\"'<>\]]+")
 FEATURES = [
     "prose_share", "link_share", "links_per_token", "low_share", "distinct_ratio", "stops_per_token", "digit_share", "list_marks_per_token",
     "hash_per_token", "counted_lines", "piped_lines", "led_lines", "dated_lines", "short_lines", "repeated_lines", "labelled_lines", "log_tokens", "stopped_lines", "top_window",
 ]
+CHUNK = 400_000  # characters measured at a time in a task
+
+# Kinds of characters, as bits of a table over the basic plane.
+WORD, DIGIT, STOP, LIST, SPACE, FULL_STOP, COMMA, CLOSER, THAI = 1, 2, 4, 8, 16, 32, 64, 128, 256
+
+
+def kinds() -> np.ndarray:
+    table = np.zeros(1 << 16, dtype=np.uint16)
+    for i in range(1 << 16):
+        c = chr(i)
+        k = unicodedata.category(c)
+        if k[0] in "LM" and i not in (0x1361, 0x1362):
+            table[i] |= WORD
+        if k == "Nd":
+            table[i] |= WORD | DIGIT
+        if c.isspace():
+            table[i] |= SPACE
+    for chars, bit in (("!?؟።፧。！？", STOP), (".", FULL_STOP), (",،、，|/•·>»★;[<", LIST), (",،、，", COMMA), ("”\"»)’'", CLOSER)):
+        for c in chars:
+            table[ord(c)] |= bit
+    table[0x0E00:0x0E80] |= THAI
+    return table
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def distinct_in(groups: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each of n groups has; groups is sorted."""
+    if not len(groups):
+        return np.zeros(n, dtype=np.int64)
+    order = np.lexsort((hashes, groups))
+    g, h = groups[order], hashes[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(g[new], minlength=n)
 
 
-def _share(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test)) / F.greatest(F.size(lines), F.lit(1))
+def measured(texts: list[str], table: np.ndarray) -> dict[str, np.ndarray]:
+    """The features of some non-blank texts, by array operations over all their characters at once."""
+    lowered = [t.lower().strip() for t in texts]
+    joined = "\n".join(lowered) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
+    kind = table[np.minimum(points, 0xFFFF)]
+    kind[points > 0xFFFF] = WORD
+    size = np.array([len(t) + 1 for t in lowered])
+    doc_at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    n_docs, n_chars = len(texts), len(points)
+    doc = np.repeat(np.arange(n_docs), size)
+    per_doc = lambda mask: np.add.reduceat(mask.astype(np.int32), doc_at)
+
+    linked = np.zeros(n_chars + 1, dtype=np.int8)
+    link_at = []
+    for m in LINK.finditer(joined):
+        linked[m.start()] += 1
+        linked[m.end()] -= 1
+        link_at.append(m.start())
+    bare = np.cumsum(linked[:-1]) == 0
+    links = np.bincount(doc[link_at], minlength=n_docs) if link_at else np.zeros(n_docs)
+
+    word = ((kind & WORD) > 0) & bare
+    digit = ((kind & DIGIT) > 0) & bare
+    breaks = points == 10
+    first = word & ~np.concatenate([[False], word[:-1]])
+    token_at = np.flatnonzero(first)
+    place = np.arange(n_chars) - np.maximum.accumulate(np.where(first, np.arange(n_chars), 0))
+    mixed = np.where(word, spread(points.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), np.uint64(0))
+    hashes = np.add.reduceat(mixed, token_at) if len(token_at) else np.zeros(0, dtype=np.uint64)
+    token_doc = doc[token_at]
+    n_tok = np.bincount(token_doc, minlength=n_docs)
+    n = np.maximum(n_tok, 1)
+
+    # repetition in windows of equally many tokens
+    rank = np.arange(len(token_at)) - np.concatenate([[0], np.cumsum(n_tok)[:-1]])[token_doc]
+    windows = np.maximum((n_tok + WINDOW - 1) // WINDOW, 1)
+    window_doc = np.repeat(np.arange(n_docs), windows)
+    window = np.concatenate([[0], np.cumsum(windows)[:-1]])[token_doc] + rank // WINDOW
+    in_window = np.bincount(window, minlength=len(window_doc))
+    ratio = distinct_in(window, hashes, len(window_doc)) / np.maximum(in_window, 1)
+    weighed = lambda x: np.bincount(window_doc, weights=x * in_window, minlength=n_docs) / n
+    top = np.maximum.reduceat(ratio, np.concatenate([[0], np.cumsum(windows)[:-1]]))
+
+    # stops, and the pieces of prose between them
+    after = np.concatenate([kind[1:], [SPACE]])
+    before = np.concatenate([[SPACE], kind[:-1]])
+    dot = ((kind & FULL_STOP) > 0) & ((after & (SPACE | CLOSER)) > 0) | ((kind & FULL_STOP) > 0) & ((after & WORD) > 0) & ((before & DIGIT) == 0) & ((after & DIGIT) == 0)
+    double = np.isin(points, (58, 0x1361)) & np.concatenate([[False], points[1:] == points[:-1]])
+    stop = (dot | ((kind & STOP) > 0) | double) & bare
+    parts = stop | ((kind & SPACE) > 0) & ((before & THAI) > 0) & ((after & THAI) > 0) & ((before & DIGIT) == 0) & ((after & DIGIT) == 0)
+    parts |= breaks & np.concatenate([[False], breaks[:-1]])  # a blank line
+    parts[doc_at + size - 1] = True
+    piece = np.cumsum(np.concatenate([[0], parts[:-1].astype(np.int64)]))
+    n_pieces = int(piece[-1]) + 1
+    per_piece = lambda mask: np.bincount(piece[mask], minlength=n_pieces)
+    letters = np.bincount(piece[bare], minlength=n_pieces)
+    tokens = np.bincount(piece[token_at], minlength=n_pieces)
+    different = distinct_in(piece[token_at], hashes, n_pieces)
+    commas = per_piece(((kind & COMMA) > 0) & bare & ((after & DIGIT) == 0))
+    marked = per_piece(np.isin(points, (35, 124, 36, 9733)) & bare)
+    prose = (letters >= 12) & (letters <= 400) & (different >= 0.7 * tokens) & (tokens > 0) & (marked == 0) & ((commas < 4) | (commas < 0.25 * tokens))
+    piece_doc = doc[np.concatenate([[0], np.flatnonzero(parts)[:-1] + 1])] if n_pieces > 1 else doc[:1]
+    prose_chars = np.bincount(piece_doc, weights=letters * prose, minlength=n_docs)
+
+    # lines
+    line = np.cumsum(np.concatenate([[0], breaks[:-1].astype(np.int64)]))
+    line_at = np.concatenate([[0], np.flatnonzero(breaks)[:-1] + 1])
+    line_doc = doc[line_at]
+    per_line = lambda mask: np.add.reduceat(mask.astype(np.int32), line_at)
+    length = per_line(~breaks)
+    filled = per_line((kind & SPACE) == 0) > 0
+    digits = per_line((kind & DIGIT) > 0)
+    share = lambda mask: np.bincount(line_doc[mask & filled], minlength=n_docs) / np.maximum(np.bincount(line_doc[filled], minlength=n_docs), 1)
+    last = np.maximum.reduceat(np.where((kind & SPACE) == 0, np.arange(n_chars), 0), line_at)
+    ended = (stop | ((kind & CLOSER) > 0))[last]
+    run = np.convolve((points == 46).astype(np.int32), np.ones(4, dtype=np.int32))[3 : n_chars + 3][:n_chars] == 4
+    dated = np.zeros(n_chars, dtype=bool)
+    dated[[m.start() for m in YEAR.finditer(joined)]] = True
+    numbers = np.full(len(line_at), -10, dtype=np.int64)
+    opens = ((kind & DIGIT) > 0) & ~((before & DIGIT) > 0)
+    k = np.flatnonzero(opens)
+    k = k[np.unique(line[k], return_index=True)[1]] if len(k) else k
+    value, live = np.zeros(len(k), dtype=np.int64), np.ones(len(k), dtype=bool)
+    for i in range(4):
+        at = np.minimum(k + i, n_chars - 1)
+        live &= (kind[at] & DIGIT) > 0
+        value = np.where(live, value * 10 + (points[at].astype(np.int64) - 48) % 10, value)
+    numbers[line[k]] = value
+    kept = np.flatnonzero(filled)
+    counted = np.zeros(len(line_at), dtype=bool)
+    if len(kept) > 1:
+        counted[kept[1:]] = (numbers[kept[1:]] == numbers[kept[:-1]] + 1) & (line_doc[kept[1:]] == line_doc[kept[:-1]])
+    colon = np.minimum.reduceat(np.where(np.isin(points, (58, 0xFF1A)), np.arange(n_chars), n_chars), line_at) - line_at
+    label = (colon >= 2) & (colon <= 21) & (per_line((kind & COMMA) > 0) >= 2) & (digits < 0.2 * length)
+    line_hash = np.add.reduceat(spread(points.astype(np.uint64) + ((np.arange(n_chars) - line_at[line]).astype(np.uint64) << np.uint64(32))), line_at)
+    n_lines = np.maximum(np.bincount(line_doc[filled], minlength=n_docs), 1)
+
+    chars = np.maximum(size - 1, 1)
+    return {
+        "n": n_tok, "prose_share": prose_chars / chars, "link_share": per_doc(~bare) / chars, "links_per_token": links / n,
+        "low_share": weighed(ratio < 0.55), "distinct_ratio": weighed(ratio), "stops_per_token": per_doc(stop) / n,
+        "digit_share": per_doc(digit) / chars, "list_marks_per_token": per_doc(((kind & LIST) > 0) & bare) / n,
+        "hash_per_token": per_doc((points == 35) & bare) / n, "counted_lines": share(counted),
+        "piped_lines": share((per_line(points == 124) > 0) & (digits > 0)), "led_lines": share(per_line(run) > 0),
+        "dated_lines": share(per_line(dated) > 0), "short_lines": share((length < 45) & (digits == 0) & ~ended),
+        "repeated_lines": 1 - distinct_in(line_doc[filled], line_hash[filled], n_docs) / n_lines, "labelled_lines": share(label),
+        "log_tokens": np.log1p(n_tok), "stopped_lines": share(ended), "top_window": top,
+    }
 
 
 def features(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """(key, host, features) of each page whose text is not blank."""
-    t = pages.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").rlike(r"\S"))
-    t = t.withColumn("bare", F.regexp_replace("t", LINK, " "))
-    t = t.select(
-        "key", "host", "t", "bare",
-        F.filter(F.split(F.lower("bare"), r"[^\p{L}\p{M}\p{Nd}]+"), lambda x: x != "").alias("tok"),
-        F.filter(F.split("t", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"),
-    )
-    n = F.greatest(F.size("tok"), F.lit(1))
-    ratio = lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
-    windows = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("tok") - 1, F.lit(0)) / WINDOW).cast("int")), lambda i: F.slice("tok", (i * WINDOW + 1).cast("int"), WINDOW))
-    measured = F.transform(F.filter(windows, lambda w: F.size(w) > 0), lambda w: F.struct(F.size(w).alias("n"), ratio(w).alias("r")))
-    first = F.transform("lines", lambda x: F.regexp_extract(x, r"(\d{1,4})", 1).try_cast("int"))
-    words = lambda p: F.filter(F.split(F.lower(p), r"[^\p{L}\p{M}\p{Nd}]+"), lambda x: x != "")
-    prose = F.filter(F.split("bare", PIECE_END), lambda p: F.length(p).between(12, 400) & (ratio(words(p)) >= 0.7) & ~p.rlike(r"#|\$\d|\||[^\n,،、，]{1,25}(?:[,،、，][^\n,،、，]{1,25}){4}"))
-    return t.select(
-        "key", "host", "t", "bare", "tok", "lines", F.aggregate(prose, F.lit(0), lambda a, p: a + F.length(p)).alias("prose"), measured.alias("win"), first.alias("first"), n.alias("n")
-    ).select(
-        "key", "host", "n",
-        (F.col("prose") / F.length("t")).alias("prose_share"),
-        (1 - F.length("bare") / F.length("t")).alias("link_share"),
-        (F.regexp_count("t", F.lit(LINK)) / F.col("n")).alias("links_per_token"),
-        F.aggregate("win", F.lit(0.0), lambda a, w: a + F.when(w["r"] < 0.55, w["n"]).otherwise(0) / F.col("n")).alias("low_share"),
-        F.aggregate("win", F.lit(0.0), lambda a, w: a + w["r"] * w["n"] / F.col("n")).alias("distinct_ratio"),
-        F.coalesce(F.array_max(F.transform("win", lambda w: w["r"])), F.lit(1.0)).alias("top_window"),
-        (F.regexp_count("bare", F.lit(STOP)) / F.col("n")).alias("stops_per_token"),
-        (F.regexp_count("bare", F.lit(r"\d")) / F.length("t")).alias("digit_share"),
-        (F.regexp_count("bare", F.lit(r"[,،、，|/•·>»★;\[<]")) / F.col("n")).alias("list_marks_per_token"),
-        (F.regexp_count("bare", F.lit("#")) / F.col("n")).alias("hash_per_token"),
-        (F.size(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i > 1) & (F.get("first", i - 1) == F.get("first", i - 2) + 1))) / F.size("lines")).alias("counted_lines"),
-        _share(F.col("lines"), lambda x: x.contains("|") & x.rlike(r"\d")).alias("piped_lines"),
-        _share(F.col("lines"), lambda x: x.rlike(r"\.{4,}|…{2,}")).alias("led_lines"),
-        _share(F.col("lines"), lambda x: x.rlike(r"\((?:1[89]|20)\d\d\)")).alias("dated_lines"),
-        _share(F.col("lines"), lambda x: (F.length(x) < 45) & ~x.rlike(r"\d|[.!?።。]\s*$")).alias("short_lines"),
-        (1 - F.size(F.array_distinct("lines")) / F.size("lines")).alias("repeated_lines"),
-        _share(F.col("lines"), lambda x: x.rlike(r"^\s*[\p{L} ]{2,20}[:：]\s*[^,.]{1,40}(?:,[^,.]{1,40}){2}")).alias("labelled_lines"),
-        _share(F.col("lines"), lambda x: x.rlike(r"[.!?።。！？؟፧:፡)”\"»]\s*$")).alias("stopped_lines"),
-        F.log1p("n").alias("log_tokens"),
-    )
+    """(key, host, n, features) of each page whose text is not blank."""
+    table = kinds()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["t"].tolist()
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (chars == 0 or chars + len(texts[end]) < CHUNK):
+                    chars += len(texts[end])
+                    end += 1
+                yield pd.DataFrame({"key": batch["key"].iloc[at:end].array, "host": batch["host"].iloc[at:end].array, **measured(texts[at:end], table)})
+                at = end
+
+    t = pages.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("t"))
+    t = t.where(F.col("key").isNotNull() & F.col("t").rlike(r"\S"))
+    schema = f"key {dict(t.dtypes)['key']}, host {dict(t.dtypes)['host']}, n bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+    columns = ["key", "host", "n", *FEATURES]
+    return t.mapInPandas(lambda batches: (b[columns] for b in measure(batches)), schema)
 
 
 def weak_label() -> Column:
