@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, sentences, spam
+from quire.llm import language, scans, sentences, spam
 from quire.llm.keys import documents_of, sized
 from quire.sources.tables import table
 
@@ -22,10 +22,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.found(table(spark, folder, "profiles"), table(spark, folder, "ldus"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Divided words, misread words, running lines and page numbers of scanned and mixed documents."""
+    return scans.found(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that consist for the most part of repeated keywords, links or tags."""
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", "issuer_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
