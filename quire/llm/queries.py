@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, scans, sentences, spam
+from quire.llm import language, mixing, packing, scans, sentences, spam
 from quire.llm.keys import documents_of, sized
 from quire.sources.tables import table
 
@@ -27,10 +27,39 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.found(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of documents, or piece of one, in a container of each of the container specs."""
+    return packing.packed(table(spark, folder, "documents"), table(spark, folder, "container_specs"), "doc_id", "text")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each spec are."""
+    return packing.fill_report(p6_containers(spark, folder), table(spark, folder, "container_specs"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts drawn from documents for the mix targets, in the order of drawing."""
+    return mixing.drawn(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The actual share of each source in that drawing."""
+    return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that consist for the most part of repeated keywords, links or tags."""
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", "issuer_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+}
 SQL: dict[str, str] = {}
