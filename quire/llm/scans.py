@@ -29,7 +29,7 @@ CONFUSIONS = (
 )
 DIGIT_READINGS = {"l": "1", "I": "1", "O": "0", "o": "0", "Z": "2", "S": "5", "B": "8", "b": "6"}
 PAGE_WORDS = "page|pg|p|seite|página|pagina|ገጽ|ukurasa|fuula|صفحة|หน้า|第"
-EDGE_MARKS = r"""[\s.,:;!?"“”«»()\[\]„‟‘’'…።፣፤፥፦፧、。，！？：；「」『』（）|–—/·•°<>]+"""
+MARKS = r"""[.,:;!?"“”«»()\[\]„‟‘’'…።፣፤፥፦፧、。，！？：；「」『』（）|–—/·•°<>]+"""
 HYPHENS = "-‐‑¬­"
 
 RATIO = 20  # how much more frequent a correction must be than the word it replaces
@@ -41,11 +41,11 @@ _MARKS = r"[^\p{L}\p{Nd}]"
 PAGE_LINE = rf"(?i)^{_MARKS}*(?:(?:{PAGE_WORDS}){_MARKS}{{0,3}})?({_NUMBER}|[ivxlc]{{1,8}})(?:\s*(?:of|/|de|von|sur)\s*{_NUMBER})?{_MARKS}*$"
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line without the marks around them, in order."""
-    parts = F.split(line, r"[\s፡]+|(?<=\p{L}\p{L}[.!?])(?=\p{Lu}\p{L})|(?<=[።!?])(?=\p{L})")
-    bare = F.transform(parts, lambda w: F.regexp_replace(w, rf"^{EDGE_MARKS}|{EDGE_MARKS}$", ""))
-    return F.filter(bare, lambda w: w != "")
+def words_of(text: Column) -> Column:
+    """The words of a text without the marks around them, in order; words run together after a stop are parted."""
+    parted = F.regexp_replace(text, r"(\p{L}\p{L}[.!?]|[።])(?=\p{Lu}\p{L}|[ሀ-ፚ])", "$1 ")
+    bare = F.regexp_replace(F.regexp_replace(parted, rf"{MARKS}(?=[\s፡]|$)", ""), rf"(^|[\s፡]){MARKS}", "$1")
+    return F.filter(F.split(bare, r"[\s፡]+"), lambda w: w != "")
 
 
 def folded(word: Column) -> Column:
@@ -65,6 +65,10 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded(t), r"\s+", " "), r"^# | #$", "")
 
 
+#: Lines of a page that may be page furniture.
+EDGE = "at < 3 or at >= n_lines - 3"
+
+
 def units_of(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> DataFrame:
     """(unit_id, kind, doc_id, pos, text) of the units of scanned and mixed documents, each once."""
     keys = sized(documents_of(profiles, "scanned_image", "mixed"))
@@ -85,12 +89,16 @@ def lines_of(units: DataFrame) -> DataFrame:
         F.array_max(F.transform("all", lambda x: F.length(x["line"]))).alias("width"),
         F.posexplode("all").alias("at", "l"),
         F.col("all").alias("a"),
-    ).select("unit_id", "kind", "doc_id", "pos", "n_lines", "width", "at", "l.no", "l.line", F.get("a", F.col("at") + 1)["line"].alias("below"))
+    ).select(
+        "unit_id", "kind", "doc_id", "pos", "n_lines", "width", "at", "l.no", "l.line",
+        F.when((F.col("kind") == "ldu") | F.expr(EDGE), line_key(F.col("l.line"))).alias("key"),
+        F.when(F.expr(EDGE), F.get("a", F.col("at") + 1)["line"]).alias("below"),
+    )
 
 
 def furniture(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The running lines (doc_id, key) and page-number lines (doc_id, number_text) of each document, from its pages."""
-    edge = lines.where("kind = 'block' and (at < 3 or at >= n_lines - 3)").withColumn("key", line_key(F.col("line")))
+    edge = lines.where("kind = 'block'").where(EDGE)
     number = F.regexp_extract("line", PAGE_LINE, 1)
     edge = edge.withColumn("number", F.when(F.col("line").rlike(PAGE_LINE) & ~F.col("line").rlike(r"[.,;:。።]$"), number)).withColumn("top", F.col("at") < 3)
     digits = F.translate("number", "".join(DIGIT_READINGS), "".join(DIGIT_READINGS.values()))
@@ -124,12 +132,12 @@ def furniture(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def body(lines: DataFrame, running: DataFrame, page_lines: DataFrame) -> DataFrame:
     """The lines with what they are: 'running', 'page_no' or null for text."""
-    marked = lines.withColumn("key", line_key(F.col("line")))
-    marked = marked.join(running.withColumn("is_running", F.lit(True)), ["doc_id", "key"], "left")
+    marked = lines.join(running.withColumn("is_running", F.lit(True)), ["doc_id", "key"], "left")
     marked = marked.join(page_lines.withColumn("is_page", F.lit(True)), ["doc_id", "line"], "left")
     edge = F.col("line").rlike(r"\D") | (F.col("kind") == "ldu") | (F.col("at") < 2) | (F.col("at") == F.col("n_lines") - 1)
     what = F.when(F.col("is_page") & edge, "page_no").when(F.col("is_running"), "running")
-    return marked.withColumn("what", what).drop("key", "is_running", "is_page")
+    marked = marked.select("unit_id", "kind", "doc_id", "pos", "no", "line", what.alias("what"))
+    return marked.withColumn("w", F.when(F.col("what").isNull(), words_of(F.col("line"))))
 
 
 def divided(text_lines: DataFrame) -> DataFrame:
@@ -150,10 +158,14 @@ def divided(text_lines: DataFrame) -> DataFrame:
     return split.where(same_case).distinct()
 
 
-def lexicon(ldus: DataFrame) -> DataFrame:
-    """(word, n) of all words of all units of the corpus."""
-    words = ldus.where("content is not null").select(F.explode(words_of(F.col("content"))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+def corpus_words(ldus: DataFrame) -> DataFrame:
+    """(w): the words of each unit of the corpus, in order."""
+    return ldus.where("content is not null").select(words_of(F.col("content")).alias("w"))
+
+
+def lexicon(corpus: DataFrame) -> DataFrame:
+    """(word, n) of all words of the corpus."""
+    return corpus.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def deletes(word: Column) -> Column:
@@ -206,23 +218,24 @@ def number_read(word: Column) -> Column:
     return F.when(misread & plain.rlike(r"^(?:\d{1,3}(?:[,.]\d{3})+|\d+)(?:[.,]\d+)?%?$") & (F.length(word) > 1), plain)
 
 
-def resolved(words: DataFrame, fixes: DataFrame, ldus: DataFrame) -> DataFrame:
-    """words (unit_id, before, word, after) with the correction `right`; context chooses where several are left."""
-    rank = Window.partitionBy("word").orderBy("cost", F.desc("n"), "right")
-    ranked = fixes.withColumn("rank", F.row_number().over(rank)).withColumn("left", F.count("*").over(Window.partitionBy("word")))
-    sure = words.join(sized(staged(ranked.where("left = 1").select("word", "right"), "sure-fixes")), "word").select("unit_id", "right")
-    open_ = staged(words.join(sized(staged(ranked.where("left > 1").select("word", "right", "n", "cost"), "open-fixes")), "word"), "open-words")
+def resolved(words: DataFrame, fixes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """words (unit_id, before, word, after) that have corrections, with the one that holds as `right`.
+
+    Where several are left, the counts of the word pairs that they would make with their neighbours choose.
+    """
+    ranked = fixes.withColumn("left", F.count("*").over(Window.partitionBy("word")))
+    sure = words.join(sized(ranked.where("left = 1").select("word", "right")), "word").select("unit_id", "word", "right")
+    open_ = staged(words.join(sized(ranked.where("left > 1").select("word", "right", "n", "cost")), "word"), "open-words")
     asked = open_.select(F.concat_ws(" ", "before", "right").alias("pair")).unionByName(open_.select(F.concat_ws(" ", "right", "after").alias("pair"))).distinct()
-    w = words_of(F.col("content"))
-    pairs = ldus.where("content is not null").select(w.alias("w")).select(F.explode(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))).alias("pair"))
-    seen = pairs.join(sized(staged(asked, "asked-pairs")), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("seen"))
+    pairs = corpus.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))).alias("pair"))
+    seen = staged(pairs.join(sized(staged(asked, "asked-pairs")), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("seen")), "seen-pairs")
     scored = (
         open_.join(seen.withColumnRenamed("seen", "s1"), F.concat_ws(" ", "before", "right") == F.col("pair"), "left").drop("pair")
         .join(seen.withColumnRenamed("seen", "s2"), F.concat_ws(" ", "right", "after") == F.col("pair"), "left")
     )
     worth = F.log1p(F.coalesce("s1", F.lit(0))) + F.log1p(F.coalesce("s2", F.lit(0))) + 0.3 * F.log("n") - 2 * F.col("cost")
     chosen = scored.groupBy("unit_id", "word", "before", "after").agg(F.max_by("right", F.struct(worth, "right")).alias("right"))
-    return sure.unionByName(chosen.select("unit_id", "right"))
+    return sure.unionByName(chosen.select("unit_id", "word", "right"))
 
 
 def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
@@ -231,27 +244,33 @@ def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[st
     running, page_lines = furniture(lines)
     marked = staged(body(lines, sized(staged(running, "running-lines")), sized(staged(page_lines, "page-lines"))), "marked-lines")
     text_lines = marked.where("what is null")
-    known = staged(lexicon(ldus), "lexicon")
+    corpus = staged(corpus_words(ldus), "corpus-words")
+    known = staged(lexicon(corpus), "lexicon")
+
     parted = staged(divided(text_lines), "divided-words")
     forms = parted.select("head", "tail").distinct().withColumn("plain", F.concat("head", "tail")).withColumn("kept", F.concat("head", F.lit("-"), "tail"))
     counted = forms.join(known.select(F.col("word").alias("plain"), F.col("n").alias("n_plain")), "plain", "left").join(known.select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
     whole = counted.select("head", "tail", F.when(F.coalesce("n_kept", F.lit(0)) > F.coalesce("n_plain", F.lit(0)), F.col("kept")).otherwise(F.col("plain")).alias("fragment"))
     hyphen = parted.join(whole, ["head", "tail"]).select("unit_id", "fragment").distinct()
-    w = F.col("w")
-    each = text_lines.select("unit_id", "no", "line", words_of(F.col("line")).alias("w")).select(
-        "unit_id", "line", F.posexplode("w").alias("i", "word"), w
-    ).select("unit_id", F.get(w, F.col("i") - 1).alias("before"), "word", F.get(w, F.col("i") + 1).alias("after"), (F.col("i") == F.size(w) - 1).alias("last"), F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$").alias("broken"))
-    each = each.where(~(F.col("last") & F.col("broken")))
-    types = each.groupBy("word").agg(F.count("*").alias("here"))
-    types = types.join(known, "word", "left").select("word", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("own"))
-    numbers = each.select("unit_id", number_read(F.col("word")).alias("right")).where("right is not null")
-    fixes = staged(corrections(types.where(number_read(F.col("word")).isNull()), known), "corrections")
+
+    broken = F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$")
+    own = text_lines.select("unit_id", F.when(broken, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")).alias("w"))
+    types = own.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("here"))
+    types = types.join(known, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("own"), number_read(F.col("word")).alias("number"))
+    types = staged(types, "scan-words")
+    fixes = staged(corrections(types.where("number is null"), known), "corrections")
+    wrong = fixes.select("word").distinct().unionByName(types.where("number is not null").select("word"))
+    i = F.col("i")
+    placed = own.select("unit_id", "w", F.posexplode("w").alias("i", "word")).join(sized(staged(wrong, "wrong-words")), "word", "left_semi")
+    placed = placed.select("unit_id", F.get("w", i - 1).alias("before"), "word", F.get("w", i + 1).alias("after"))
+    placed = staged(placed, "misread-words")
+    numbers = placed.select("unit_id", "word", number_read(F.col("word")).alias("right")).where("right is not null")
     tails = parted.select(F.col("tail_unit").alias("unit_id"), F.col("tail").alias("word")).distinct()
-    ocr = resolved(each.select("unit_id", "before", "word", "after").join(tails, ["unit_id", "word"], "left_anti"), fixes, ldus)
+    ocr = resolved(placed, fixes, corpus).join(tails, ["unit_id", "word"], "left_anti").unionByName(numbers)
     return {
         "line": marked.where("what is not null").select("unit_id", "what", "line"),
         "hyphen": hyphen,
-        "ocr": ocr.unionByName(numbers).withColumnRenamed("right", "fragment"),
+        "ocr": ocr.select("unit_id", F.col("right").alias("fragment")),
     }
 
 
