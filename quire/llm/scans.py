@@ -43,9 +43,9 @@ PAGE_LINE = rf"(?i)^{_MARKS}*(?:(?:{PAGE_WORDS}){_MARKS}{{0,3}})?({_NUMBER}|[ivx
 
 def words_of(text: Column) -> Column:
     """The words of a text without the marks around them, in order; words run together after a stop are parted."""
-    parted = F.regexp_replace(text, r"(\p{L}\p{L}[.!?]|[።])(?=\p{Lu}\p{L}|[ሀ-ፚ])", "$1 ")
+    parted = F.regexp_replace(text, r"([.!?])(?<=\p{L}\p{L}[.!?])(?=\p{Lu}\p{L})|(።)(?=[ሀ-ፚ])", "$1$2 ")
     bare = F.regexp_replace(F.regexp_replace(parted, rf"{MARKS}(?=[\s፡]|$)", ""), rf"(^|[\s፡]){MARKS}", "$1")
-    return F.filter(F.split(bare, r"[\s፡]+"), lambda w: w != "")
+    return F.array_remove(F.split(bare, r"[\s፡]+"), "")
 
 
 def folded(word: Column) -> Column:
