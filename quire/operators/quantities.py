@@ -56,7 +56,7 @@ UNIT_NAMES = {
     "million": "million, M, mn, mln, ሚሊዮን, ሚልዮን",
     "billion": "billion, B, bn, ቢሊዮን",
 }
-DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹．，٫٬−–‒’ʼ   ²³"
+DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹．，٫٬−–‒’ʼ\u00a0\u202f\u2009²³"
 PLAIN = "012345678901234567890123456789.,.,---''   23"
 NUMBER = r"(?:\d{1,3}(?:[ ']\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)*)"
 VALUE = rf"^([^\d(]*?)\s*(\(?)\s*({NUMBER})\s*([-)]?)\s*((?:[^\d\s].*)?)$"

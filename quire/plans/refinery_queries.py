@@ -1,0 +1,343 @@
+"""The registered queries of the refinery's own operators, with their SQL twins where SQL can state them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import chunk, extract, facts, page_index, route, search, triage
+from quire.operators.arrivals import first_arrivals
+from quire.sources.tables import table
+from quire.streaming import ledger
+
+#: White space as the other engine writes it.
+SQL_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+_FIRST_UNITS = "(select * from ldus where ldu_id is not null qualify row_number() over (partition by ldu_id order by ingested_at) = 1)"
+_FIRST_BLOCKS = "(select * from blocks where block_id is not null qualify row_number() over (partition by block_id order by extracted_at) = 1)"
+
+
+@_query(r"""
+select distinct source_path, regexp_extract(source_path, '([^/]*)$', 1) as file_name,
+       regexp_replace(regexp_extract(source_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') as stem
+from profiles where source_path like '%.pdf'""")
+def scan_discovery(spark: SparkSession, folder: str) -> DataFrame:
+    """The PDF files that were taken in, with the document ids that their names give."""
+    path = F.col("source_path")
+    return table(spark, folder, "profiles").where(path.endswith(".pdf")).select(path, F.regexp_extract(path, r"([^/]*)$", 1).alias("file_name"), T.file_stem(path).alias("stem")).distinct()
+
+
+@_query(f"""
+with b as (select *, {_strip("coalesce(text, '')")} as content from {_FIRST_BLOCKS}),
+p as (select *, list_sort(list_distinct(list_filter(list_transform(coalesce(provenance.spans, []), lambda s: s.page), lambda x: x > 0))) as pages,
+      list_filter(list_transform(coalesce(provenance.spans, []), lambda s: s.bbox), lambda x: len(x) > 0)[1] as box from b where content <> '')
+select doc_id || '-ldu-' || pos || '-' || left(sha256(content), 10) as ldu_id, doc_id, pos,
+  case block_type when 'section_header' then 'header' when 'caption' then 'figure' when 'footer' then 'text'
+    when 'text' then 'text' when 'table' then 'table' when 'figure' then 'figure' when 'header' then 'header' when 'list' then 'list' else 'text' end as chunk_type,
+  content, len(regexp_split_to_array(content, '{SQL_SPACE}+'))::int as token_count, sha256(content) as content_hash,
+  pages[1] as first_page, len(pages)::int as n_pages,
+  coalesce(box[1], 0.0)::double as x0, coalesce(box[2], 0.0)::double as y0, coalesce(box[3], 612.0)::double as x1, coalesce(box[4], 792.0)::double as y1
+from p""")
+def logical_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block with text as a logical unit: type, hash, size, pages and box."""
+    return chunk.logical_units(table(spark, folder, "blocks"))
+
+
+_NAME_DOMAIN = " ".join(f"when {' or '.join(f'''contains(lower(doc_id), '{w}')''' for w in words)} then '{d}'" for d, words in triage.NAME_DOMAINS)
+
+
+@_query(f"""
+with o as (select distinct on (profile_id) *, case when avg_image_area_ratio >= 0.55 and avg_text_chars_per_page <= 300 then 'scanned_image' else 'native_digital' end as o from profiles where profile_id is not null)
+select profile_id, doc_id, o as origin_type,
+  case when o = 'scanned_image' then 'needs_vision_model' when layout_complexity = 'single_column' then 'fast_text_sufficient' else 'needs_layout_model' end as cost_tier,
+  case when domain_hint is null or domain_hint = 'general' then coalesce(case {_NAME_DOMAIN} end, domain_hint) else domain_hint end as domain_hint
+from o""")
+def triage_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Origin, cost class and domain of each profile, told anew from its signals and name."""
+    return triage.triaged(table(spark, folder, "profiles"))
+
+
+@_query(r"""
+with t as (select doc_id, """ + _strip("coalesce(text, '')") + r""" as t from documents),
+n as (select doc_id, t, length(regexp_replace(t, '[^\x{1200}-\x{137F}]', '', 'g')) as e, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as l,
+      length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) as a, greatest(length(t), 1) as n from t)
+select doc_id, case when t = '' then null when e >= 5 and l >= 20 then 'mixed' when e >= 5 then 'am' when a / n > 0.95 or l / n > 0.3 then 'en' end as script_language,
+  case when t = '' then 0.0 when e >= 5 and l >= 20 then 0.85 when e >= 5 and e / n > 0.05 then 0.9 when e >= 5 then 0.8 when a / n > 0.95 or l / n > 0.3 then 0.4 else 0.1 end::double as script_confidence
+from n""")
+def script_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each text by its script alone, without a model."""
+    v = triage.script_language(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", v.alias("v")).select("doc_id", F.col("v.language").alias("script_language"), F.col("v.language_confidence").alias("script_confidence"))
+
+
+_HITS = {d: " + ".join(f"contains(t, '{w}')::int" for w in words) for d, words in triage.DOMAIN_WORDS.items()}
+
+
+@_query(f"""
+with t as (select doc_id, lower(coalesce(text, '')) as t from documents), h as (select doc_id, t, {", ".join(f"{x} as {d}" for d, x in _HITS.items())} from t)
+select doc_id, case when t = '' then null when greatest(financial, legal, technical, medical) = 0 then 'general'
+  {" ".join(f"when {d} = greatest(financial, legal, technical, medical) then '{d}'" for d in _HITS)} end as domain from h""")
+def text_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """Domain of each text by its keywords."""
+    return table(spark, folder, "documents").select("doc_id", triage.domain_of(F.col("text")).alias("domain"))
+
+
+@_query(rf"""
+with l as (select block_id, unnest(list_transform(regexp_split_to_array({_strip("text")}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x, i: {{'no': i - 1, 'line': {_strip("x")}}})) as r
+  from {_FIRST_BLOCKS} where text is not null)
+select block_id, r.no::int as line_no, r.line as line,
+  case when regexp_matches(r.line, '^(\d+[\.\d]*\.?\s+[A-Z].{{3,80}}|[A-Z][A-Z\s,&/:\-()]{{5,79}})$') and length(r.line) < 90 then 'header'
+       when regexp_matches(r.line, '(?i)^(Figure|Fig\.?|Table|Exhibit|Chart)\s*\d+') then 'figure' else 'text' end as block_type
+from l where length(r.line) >= 3""")
+def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line of each page text as a typed block."""
+    return extract.line_blocks(first_arrivals(table(spark, folder, "blocks"), "block_id", "extracted_at"), "block_id", "text")
+
+
+_UPPER = r"regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}}\p{{Lt}}]')"
+
+
+def _paragraph(p: str) -> str:
+    return (
+        f"case when length({p}) < 120 and (({_UPPER.format(p)}) or {p} like '%:' or regexp_matches({p}, '^[A-Z][A-Za-z0-9\\s,&/\\-()]{{3,}}$')) then 'header' "
+        f"when contains({p}, ':') or len(list_filter(string_split({p}, chr(10)), lambda x: regexp_matches(x, '\\d'))) >= 3 then 'table' else 'text' end"
+    )
+
+
+_PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array({_strip('text')}, '\n\s*\n'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+@_query(f"""
+with p as (select doc_id, unnest(list_transform({_PARAGRAPHS}, lambda x, i: {{'no': i - 1, 'p': x}})) as r from documents where text is not null)
+select doc_id, r.no::int as paragraph_no, length(r.p)::int as n_chars, {_paragraph("r.p")} as block_type from p""")
+def paragraph_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each paragraph of each text as a typed block."""
+    return extract.paragraph_blocks(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query(rf"""
+with p as (select doc_id, {_PARAGRAPHS} as parts from documents where text is not null),
+s as (select doc_id, flatten(list_transform(parts, lambda p: list_transform(range(0, (length(p) - 1) // 1200 + 1), lambda i: {_strip("substring(p, i * 1200 + 1, 1200)")}))) as c from p),
+f as (select doc_id, unnest(list_transform(list_filter(c, lambda x: x <> ''), lambda x, i: {{'no': i - 1, 'c': x}})) as r from s)
+select doc_id, r.no::int as chunk_no, length(r.c)::int as n_chars, sha256(r.c) as chunk_hash from f""")
+def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text cut at headings and blank lines into chunks of at most 1200 characters."""
+    rows = extract.markdown_chunks(table(spark, folder, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("chunk_hash"))
+
+
+_CANDIDATES = f"""
+select doc_id, source, length({_strip("coalesce(text, '')")}) as n, list_transform({_PARAGRAPHS.replace("text", "coalesce(text, '')", 1)}, lambda p: {_paragraph("p")}) as k from documents"""
+_CONF = """
+case when n < 30 then 0.25 else least(0.95, 0.6 + n / 2000) end::double as conf_a,
+case when n >= 5000 and len(k) >= 15 then 0.9 when n >= 2000 and len(k) >= 8 then 0.85 when n >= 800 and len(k) >= 4 then 0.78 when n >= 300 then 0.65 when n >= 80 then 0.45 else 0.25 end::double as conf_b,
+case when n >= 3000 then 0.82 when n >= 1200 then 0.72 when n >= 400 then 0.6 when n >= 150 then 0.45 when n >= 60 then 0.3 else 0.1 end::double as conf_c1,
+least(85, 15 + 20 * (n >= 300)::int + 20 * (n >= 1000)::int + 15 * (n >= 2500)::int + 10 * list_contains(k, 'table')::int + 10 * list_contains(k, 'header')::int) / 100::double as conf_c2,
+case when n >= 3000 then 0.88 when n >= 1200 then 0.8 when n >= 400 then 0.7 when n >= 150 then 0.55 when n >= 60 then 0.35 else 0.2 end::double as conf_c3"""
+
+
+@_query(f"with c as ({_CANDIDATES}) select doc_id, n::int as n_chars, {_CONF} from c")
+def strategy_confidences(spark: SparkSession, folder: str) -> DataFrame:
+    """What each extraction strategy would claim for each text."""
+    return extract.candidates(table(spark, folder, "documents"), "doc_id", "text")
+
+
+_SCANNED = "coalesce(source, '') in ('field_scans', 'archive_film')"
+
+
+@_query(f"""
+with c as ({_CANDIDATES}), f as (select doc_id, lang, {_SCANNED.replace("source", "d.source")} as s from documents d), x as (select c.doc_id, n, s, coalesce(lang in ('am', 'ti', 'mixed'), false) as v, {_CONF} from c join f using (doc_id)),
+r as (select *, case when not s and conf_a >= 0.9 then 'A' when not (s and v) and conf_b >= 0.8 then 'B' when v then 'C3' when conf_c1 >= 0.6 then 'C1' when conf_c2 >= 0.72 then 'C2' else 'C3' end as step from x)
+select doc_id, step, left(step, 1) as strategy, case step when 'A' then conf_a when 'B' then conf_b when 'C1' then conf_c1 when 'C2' then conf_c2 else conf_c3 end as confidence,
+  array_to_string(list_filter([case when s and v then 'A+B-skipped' when s then 'A-skipped' else 'A' end, case when step <> 'A' and not (s and v) then 'B' end, case when step not in ('A', 'B') then step end], lambda x: x is not null), '>') as trace,
+  step <> 'A' as escalated from r""")
+def strategy_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """The strategy that each text would be extracted by, texts of the scanning sources having no text layer."""
+    docs = table(spark, folder, "documents")
+    scanned = F.when(F.coalesce("source", F.lit("")).isin("field_scans", "archive_film"), "scanned_image").otherwise("native_digital")
+    facts_ = docs.select("doc_id", F.col("lang").alias("language"), scanned.alias("origin_type"))
+    rows = route.routed(extract.candidates(docs, "doc_id", "text").join(facts_, "doc_id"))
+    return rows.select("doc_id", "step", "strategy", "confidence", "trace", "escalated")
+
+
+@_query(rf"""
+with t as (select doc_id, {_strip("coalesce(text, '')")} as t from documents), n as (select doc_id, length(t) as n, len(regexp_extract_all(lower(t), '\bunknown\b|\bunsure\b|\bcannot\b')) as u from t),
+s as (select doc_id, greatest(0, 100 - 35 * (n < 200)::int - 35 * (n < 50)::int - 20 * (u >= 5)::int) as s from n)
+select doc_id, s / 100::double as qa_score, s < 65 as needs_review from s""")
+def text_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each text as an extraction result, and whether it needs a review."""
+    v = extract.quality(F.col("text"), F.lit("A"))
+    return table(spark, folder, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.qa_score", "v.needs_review")
+
+
+@_query(rf"""
+with r as (select ldu_id, doc_id, regexp_extract_all(content, '(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])') as refs from {_FIRST_UNITS})
+select ldu_id, doc_id, array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i), '; ') as cross_refs from r where len(refs) > 0""")
+def cross_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The references to tables, figures and sections in each unit, in order and each once."""
+    rows = first_arrivals(table(spark, folder, "ldus"), "ldu_id", "ingested_at").select("ldu_id", "doc_id", T.cross_references(F.col("content")).alias("refs"))
+    return rows.where(F.size("refs") > 0).select("ldu_id", "doc_id", F.array_join("refs", "; ").alias("cross_refs"))
+
+
+@_query()
+def chunked_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The units of each document chunked under the structure rules."""
+    rows = chunk.chunked(table(spark, folder, "ldus"))
+    return rows.select("doc_id", "seq", "part", "ldu_id", "chunk_type", F.length("content").alias("n_chars"), T.content_hash(F.col("content")).alias("text_hash"), "parent_section", "content_hash", "n_units", "cross_refs")
+
+
+_ORDERED = f"(select *, row_number() over (partition by doc_id order by pos, ldu_id) as seq from {_FIRST_UNITS} where doc_id is not null)"
+
+
+@_query(rf"""
+with u as (select *, last_value(case when chunk_type = 'header' then {_strip("coalesce(content, '')")} end ignore nulls) over (partition by doc_id order by seq rows unbounded preceding) as expected from {_ORDERED}),
+v as (select doc_id, ldu_id, unnest([case when chunk_type <> 'header' and expected <> '' and expected is distinct from parent_section then 'R4' end,
+  case when chunk_type = 'table' and {_strip("coalesce(content, '')")} = '' then 'R1' end,
+  case when regexp_matches(coalesce(content, ''), '(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])') and coalesce(len(provenance.cross_refs), 0) = 0 then 'R5' end]) as rule from u)
+select * from v where rule is not null""")
+def rule_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The structure rules that stored units break."""
+    return chunk.violations(table(spark, folder, "ldus"))
+
+
+_SHORT = rf"case when length(f) > 180 then regexp_replace(left(f, 179), '{SQL_SPACE}+$', '') || '…' else f end"
+
+
+@_query(rf"""
+with u as (select doc_id, chunk_type, replace({_strip("coalesce(content, '')")}, chr(10), ' ') as f, unnest(list_distinct(case when coalesce(len(page_refs), 0) > 0 then list_filter(page_refs, lambda x: x > 0)
+  else list_filter(list_transform(coalesce(provenance.spans, []), lambda s: s.page), lambda x: x > 0) end)) as page from {_FIRST_UNITS})
+select doc_id, page, count(*) as item_count, sum(length({_SHORT}))::bigint as char_count, array_to_string(list_sort(list(distinct chunk_type)), ',') as data_types from u group by all""")
+def page_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The page index: items, characters and types of each page."""
+    return page_index.page_index(table(spark, folder, "ldus"))
+
+
+_T = _strip("coalesce(content, '')")
+_LEVEL = (
+    "case when regexp_matches(t, '^\\d+\\.\\s') then least(length(regexp_replace(string_split(t, ' ')[1], '[^.]', '', 'g')) + 1, 4) "
+    f"when ({_UPPER.format('t')}) and length(t) > 3 and length(t) < 80 then 1 "
+    "when length(t) < 80 and regexp_matches(t, '^\\p{Lu}') and t not like '%.' then 2 end"
+)
+
+
+@_query(f"""
+with o as (select *, {_T} as t, case when coalesce(len(page_refs), 0) > 0 then page_refs[1] else 1 end as p1, case when coalesce(len(page_refs), 0) > 0 then page_refs[len(page_refs)] else 1 end as p2 from {_ORDERED}),
+r as (select *, max(case when chunk_type = 'header' then seq end) over (partition by doc_id order by seq rows unbounded preceding) as owner, coalesce({_LEVEL}, 1) as level from o),
+m as (select doc_id, owner as seq, max(p2) as mp, count(*) as n, array_to_string(list_sort(list(distinct chunk_type)), ',') as types from r where chunk_type <> 'header' and owner is not null group by all),
+h as (select doc_id, seq, t, level, p1, p2 from r where chunk_type = 'header'),
+k as (select a.doc_id, a.seq, max(b.seq) as parent_seq from h a join h b on a.doc_id = b.doc_id and b.seq < a.seq and b.level < a.level group by all),
+c as (select a.doc_id, a.seq, min_by(b.p1, b.seq) as closing from h a join h b on a.doc_id = b.doc_id and b.seq > a.seq and b.level <= a.level group by all)
+select doc_id, seq, left(t, 120) as title, level, parent_seq, p1 as page_start, greatest(p2, coalesce(mp, p2), coalesce(closing - 1, p2)) as page_end, coalesce(n, 0) + 1 as n_units, coalesce(types, '') as data_types
+from h left join m using (doc_id, seq) left join k using (doc_id, seq) left join c using (doc_id, seq)""")
+def section_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Each header's section: level, parent, pages and units."""
+    return page_index.sections(table(spark, folder, "ldus"))
+
+
+@_query(rf"""
+with u as (select ldu_id, content, {_T} as t, regexp_extract_all(content, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1) || regexp_extract_all(content, '(?i)\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%') as e from {_FIRST_UNITS} where content is not null),
+f as (select *, list_filter(e, lambda x, i: list_position(e, x) = i) as d, regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)) as s from u)
+select ldu_id, {_LEVEL} as level, array_to_string(d[1:8], '; ') as entities,
+  left({_strip("list_reduce(list_prepend('', s), lambda acc, x: case when length(acc) < 300 and length(x) > 20 then acc || x || ' ' else acc end)")}, 300) as summary from f""")
+def unit_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Heading level, names and figures, and a summary of each unit."""
+    return page_index.unit_notes(table(spark, folder, "ldus"))
+
+
+def _fact(pattern: str, n: int) -> str:
+    return f"select ldu_id, page, {n} as pattern_no, unnest(list_transform(list_zip(regexp_extract_all(content, '{pattern}', 1), regexp_extract_all(content, '{pattern}', 2)), lambda x, i: {{'i': i - 1, 'f': x[1], 'v': x[2]}})) as m from u"
+
+
+_UNIT_CASE = " ".join(f"when contains(lower(value), '{u.lower()}') then '{u}'" for u in T.FACT_UNITS)
+
+
+@_query(f"""
+with u as (select ldu_id, content, page_refs[1] as page from {_FIRST_UNITS} where content is not null),
+m as ({_fact(T.FACT, 0)} union all {_fact(T.MONEY_FACT, 1)}), s as (select ldu_id, page, pattern_no, m.i::int as match_no, {_strip("m.f")} as field_name, {_strip("m.v")} as value from m)
+select *, case {_UNIT_CASE} end as unit from s where length(field_name) >= 3 and value <> ''""")
+def extracted_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts that the patterns find in the units."""
+    return facts.extracted(table(spark, folder, "ldus"))
+
+
+@_query("select distinct on (id) id, doc_id, field_name, value, unit from facts where contains(lower(field_name), 'revenue') order by id limit 50")
+def fact_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The first fifty facts about revenue."""
+    return facts.looked_up(table(spark, folder, "facts"), "revenue")
+
+
+@_query(f"""
+select f.id, f.field_name, f.value, u.chunk_type, u.ldu_id is not null as has_source from (select distinct on (id) * from facts) f left join {_FIRST_UNITS} u using (ldu_id)""")
+def facts_with_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Each fact with the type of the unit it was taken from."""
+    return facts.with_source(table(spark, folder, "facts"), table(spark, folder, "ldus"))
+
+
+@_query("select doc_id, count(*) as n_facts, count(distinct field_name) as n_fields from facts group by doc_id")
+def fact_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts per document, by a query of the user over the fact table."""
+    return facts.selected(table(spark, folder, "facts"), "select doc_id, count(*) as n_facts, count(distinct field_name) as n_fields from {facts} group by doc_id")
+
+
+@_query(r"""
+with q as (select distinct trim(regexp_replace(field_name, '[,(].*$', '')) as question from facts where field_name is not null),
+w as (select question, unnest(regexp_split_to_array(lower(question), '\s+')) as word from q),
+s as (select question, ldu_id, sum((length(c) - length(replace(c, word, ''))) // length(word)) / count(*) as score from w, (select ldu_id, lower(content) as c from """ + _FIRST_UNITS + r""" where content is not null) group by all)
+select question, row_number() over (partition by question order by score desc, ldu_id) as rank, ldu_id, score from s where score > 0 qualify rank <= 5""")
+def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
+    """For each measure named in the fact table, the five units that speak of it most."""
+    named = table(spark, folder, "facts").where("field_name is not null").select(F.trim(F.regexp_replace("field_name", r"[,(].*$", "")).alias("question")).distinct()
+    return search.keyword_top(table(spark, folder, "ldus"), named.where("question <> ''"))
+
+
+@_query("""
+with s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as c from embeddings q, embeddings v where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by c desc, vec_id) as rank, vec_id from s qualify rank <= 10""")
+def vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """For every vector whose id is divisible by 20, its ten nearest vectors."""
+    vectors = table(spark, folder, "embeddings")
+    return search.vector_top(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@_query("""
+with l as (select distinct event_id, doc_id, strategy_used, confidence, escalated, processing_time_s from ledger where event_id is not null)
+select strategy_used, count(*) as n_events, count(distinct doc_id) as n_docs, sum((strategy_used in ('B', 'C'))::int)::bigint as n_escalated from l group by strategy_used""")
+def ledger_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Events, documents and escalations of each strategy in the ledger, repeated events once."""
+    rows = table(spark, folder, "ledger").where("event_id is not null").select("event_id", "doc_id", "strategy_used").distinct()
+    return rows.groupBy("strategy_used").agg(
+        F.count("*").alias("n_events"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.col("strategy_used").isin("B", "C").cast("int")).alias("n_escalated")
+    )
+
+
+@_query(f"select doc_id, chunk_type, count(*) as n_units, sum(length(content))::bigint as n_chars from {_FIRST_UNITS} group by all")
+def unit_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Units and characters of each type in each document."""
+    rows = first_arrivals(table(spark, folder, "ldus"), "ldu_id", "ingested_at")
+    return rows.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n_units"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@_query("""
+with e as (select distinct on (event_id) * from ledger where event_id is not null and event_ts is not null)
+select strftime(event_ts, '%Y-%m-%d') as day, strategy_used, count(*) as n_events, sum(coalesce(escalated::int, 0))::bigint as n_escalated from e group by all""")
+def ledger_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger read as a stream into an append-only table, counted by day and strategy."""
+    return ledger.ledger_days(spark, f"{folder}/ledger.parquet")
