@@ -19,11 +19,12 @@ UNCERTAIN = r"\bunknown\b|\bunsure\b|\bcannot\b"
 NUMBER_TOPIC = r"(?i)\b(?:revenue|profit|loss|expenditure|total|amount|cost|budget|income|tax|rate|ratio|value|year|quarter|q\d)\b"
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any script around it; null stays null."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def shortened(text: Column, size: int = 180) -> Column:

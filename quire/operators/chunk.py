@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import CAPTION, content_hash, cross_references, stripped, word_count
 from quire.operators.arrivals import first_arrivals
+from quire.session import staged
 
 # What each block type becomes, and the size of a chunk.
 CHUNK_TYPES = {"text": "text", "table": "table", "figure": "figure", "header": "header", "footer": "text", "list": "list", "section_header": "header", "caption": "figure"}
@@ -100,23 +101,24 @@ def chunked(units: DataFrame, size: int = MAX_CHARS) -> DataFrame:
     Greedy merging goes on between barriers (units that stand alone); a run of more than BUCKET units without one
     is merged BUCKET units at a time.
     """
-    rows = sequenced(units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), "content_hash", "ingested_at"))
-    rows = carried(rows, F.when(F.col("chunk_type") == "header", stripped(F.col("content"))), "parent_section")
-    before = rows.select("doc_id", (F.col("seq") + 1).alias("seq"), F.col("chunk_type").alias("type_before"))
-    after = rows.select("doc_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("next_content"))
-    rows = rows.join(before, ["doc_id", "seq"], "left").join(after, ["doc_id", "seq"], "left")
-    caption = (F.col("type_before") == "figure") & stripped(F.col("content")).rlike(CAPTION)
-    rows = rows.withColumn("caption", F.coalesce(caption, F.lit(False)))
+    seq = staged(sequenced(units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), "content_hash", "ingested_at")), "sequenced-units")
+    bare = stripped(F.col("content"))
+    slim = seq.select("doc_id", "seq", "bucket", "chunk_type", F.when(F.col("chunk_type") == "header", bare).alias("title"), F.when(bare.rlike(CAPTION), bare).alias("caption_text"))
+    before = slim.select("doc_id", (F.col("seq") + 1).alias("seq"), F.col("chunk_type").alias("type_before"))
+    after = slim.where("caption_text is not null").select("doc_id", (F.col("seq") - 1).alias("seq"), F.col("caption_text").alias("next_caption"))
+    slim = slim.join(before, ["doc_id", "seq"], "left").join(after, ["doc_id", "seq"], "left")
+    slim = staged(slim.withColumn("caption", F.coalesce((F.col("type_before") == "figure") & F.col("caption_text").isNotNull(), F.lit(False))), "unit-flags")
     # a caption is taken up unless its figure was itself taken up: every second one of a run
-    rows = carried(rows, F.when(~F.col("caption"), F.col("seq")), "run_start")
-    rows = rows.withColumn("taken", F.col("caption") & ((F.col("seq") - F.col("run_start")) % 2 == 1))
-    alone = F.col("chunk_type").isin("header", "table", "figure", "list") & ~F.col("taken")
-    rows = rows.withColumn("alone", alone)
-    rows = carried(rows, F.when(F.col("alone") | F.col("taken"), F.col("seq")), "barrier")
-    ref = stripped(F.col("next_content"))
-    takes = (F.col("chunk_type") == "figure") & ref.rlike(CAPTION) & ~F.col("taken")
+    slim = carried(slim, F.when(~F.col("caption"), F.col("seq")), "run_start")
+    slim = slim.withColumn("taken", F.col("caption") & ((F.col("seq") - F.col("run_start")) % 2 == 1))
+    slim = staged(slim.withColumn("alone", F.col("chunk_type").isin("header", "table", "figure", "list") & ~F.col("taken")), "unit-roles")
+    slim = carried(slim, F.when(F.col("alone") | F.col("taken"), F.col("seq")), "barrier")
+    slim = carried(staged(slim, "unit-barriers"), F.col("title"), "parent_section")
+    roles = slim.select("doc_id", "seq", "taken", "alone", "barrier", "parent_section", "next_caption")
+    rows = staged(seq.join(roles, ["doc_id", "seq"]), "unit-rows")
+    takes = (F.col("chunk_type") == "figure") & F.col("next_caption").isNotNull()
     single = rows.where("alone").withColumn(
-        "content", F.when(takes, F.concat(F.regexp_replace("content", r"\s+$", ""), F.lit("\n[Caption]: "), ref)).otherwise(F.col("content"))
+        "content", F.when(takes, F.concat(F.regexp_replace("content", r"\s+$", ""), F.lit("\n[Caption]: "), F.col("next_caption"))).otherwise(F.col("content"))
     )
     parts = F.when((F.col("chunk_type") == "list") & (F.length("content") > size), list_parts(F.col("content"), size)).otherwise(F.array("content"))
     split = single.withColumn("refs", cross_references(F.col("content"))).select("*", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "piece"))

@@ -22,9 +22,8 @@ def line_blocks(pages: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("length(line) >= 3").select(key, "line_no", line_type(F.col("line")).alias("block_type"), "line")
 
 
-def paragraph_type(text: Column) -> Column:
-    """header, table or text, of one paragraph."""
-    t = stripped(F.coalesce(text, F.lit("")))
+def paragraph_type(t: Column) -> Column:
+    """header, table or text, of one paragraph without white space around it."""
     numeric = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\d")))
     heading = (F.length(t) < 120) & (is_upper(t) | t.endswith(":") | t.rlike(TITLE))
     return F.when(t == "", "text").when(heading, "header").when(t.contains(":") | (numeric >= 3), "table").otherwise("text")
@@ -42,7 +41,8 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = 1200) -> D
     sections = F.split(stripped(F.col(text)), r"\n(?=\s{0,3}#{1,6}\s+\S)")
     parts = F.flatten(F.transform(sections, lambda s: F.split(stripped(s), r"\n\s*\n")))
     parts = F.filter(F.transform(parts, stripped), lambda p: p != "")
-    slices = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size)), lambda i: stripped(F.substring(p, (i * size + 1).cast("int"), F.lit(size))))))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size)), lambda i: stripped(F.substring(p, (i * size + 1).cast("int"), F.lit(size))))
+    slices = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
     return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.filter(slices, lambda c: c != "")).alias("chunk_no", "chunk"))
 
 

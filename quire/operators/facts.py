@@ -17,17 +17,19 @@ def fact_unit(value: Column) -> Column:
     return found
 
 
-def _numbered(pattern: int):
-    return lambda x, i: F.struct(F.lit(pattern).alias("pattern_no"), i.alias("match_no"), x["f"].alias("f"), x["v"].alias("v"))
+def _numbered(number: int, pattern: str):
+    """Of a match, its place and its two groups."""
+    part = lambda x, g: F.regexp_extract(x, f"^(?:{pattern})$", g)
+    return lambda x, i: F.struct(F.lit(number).alias("pattern_no"), i.alias("match_no"), part(x, 1).alias("f"), part(x, 2).alias("v"))
 
 
 def extracted(units: DataFrame) -> DataFrame:
     """(ldu_id, pattern_no, match_no, field_name, value, unit, page) of each fact in the units' contents."""
     rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")
     pairs = []
-    for n, pattern in enumerate((FACT, MONEY_FACT)):
-        both = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("f"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("v"))
-        pairs.append(F.transform(both, _numbered(n)))
+    for n, (pattern, sign) in enumerate(((FACT, "[:=]"), (MONEY_FACT, "[$£€]"))):
+        whole = F.when(F.col("content").rlike(sign), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).otherwise(F.array())
+        pairs.append(F.transform(whole, _numbered(n, pattern)))
     each = rows.select("ldu_id", F.get("page_refs", F.lit(0)).alias("page"), F.inline(F.concat(*pairs)))
     named = each.select("ldu_id", "pattern_no", "match_no", stripped(F.col("f")).alias("field_name"), stripped(F.col("v")).alias("value"), "page")
     return named.where("length(field_name) >= 3 and value <> ''").withColumn("unit", fact_unit(F.col("value")))
