@@ -18,24 +18,41 @@ BLOCK = 512  # queries scored against a block of rows at a time
 ROW_BLOCK = 20_000
 
 
-def keyword_top(units: DataFrame, questions: DataFrame, most: int = 5) -> DataFrame:
-    """(question, rank, ldu_id, score): the units in which the question's words occur most often per word.
+def keyword_top(units: DataFrame, questions: DataFrame, most: int = 5, within: str | None = None) -> DataFrame:
+    """(question, [within,] rank, ldu_id, score): the units in which the question's words occur most often per word.
 
     A word also counts inside longer words, so that each question word is first looked up in the corpus's distinct
-    words; the postings of those then give the counts. Words do not contain spaces, so none is missed.
+    words; the postings of those then give the counts. Words do not contain spaces, so none is missed. With `within`,
+    a column of both tables, each question is put to the units of its own value only.
     """
+    own = [within] if within else []
     rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")
-    postings = rows.select("ldu_id", F.explode(F.split(F.lower("content"), r"\s+")).alias("token")).where("token <> ''").groupBy("ldu_id", "token").agg(F.count("*").alias("n"))
-    asked = questions.select("question", F.explode(F.split(F.trim(F.lower("question")), r"\s+")).alias("word"), F.size(F.split(F.trim(F.lower("question")), r"\s+")).alias("n_words"))
+    if within:
+        rows = rows.join(questions.select(within).distinct(), within, "left_semi")
+    postings = rows.select("ldu_id", *own, F.explode(F.split(F.lower("content"), r"\s+")).alias("token")).where("token <> ''").groupBy("ldu_id", *own, "token").agg(F.count("*").alias("n"))
+    parts = F.split(F.trim(F.lower("question")), r"\s+")
+    asked = questions.select("question", *own, F.explode(parts).alias("word"), F.size(parts).alias("n_words")).where("word <> ''")
     words = asked.select("word").distinct()
     tokens = postings.select("token").distinct()
     inside = F.floor((F.length("token") - F.length(F.replace(F.col("token"), F.col("word")))) / F.length("word"))
-    holding = tokens.join(F.broadcast(words) if words.count() <= 10_000 else words, F.col("token").contains(F.col("word"))).withColumn("times", inside)
-    weights = asked.groupBy("question", "word", "n_words").agg(F.count("*").alias("asked")).join(holding, "word")
-    weights = weights.groupBy("question", "token", "n_words").agg(F.sum(F.col("asked") * F.col("times")).alias("w"))
-    hits = postings.join(weights, "token").groupBy("question", "ldu_id").agg((F.sum(F.col("n") * F.col("w")) / F.max("n_words")).alias("score"))
-    order = Window.partitionBy("question").orderBy(F.desc("score"), "ldu_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question", "rank", "ldu_id", "score")
+    near = tokens.select("token", F.explode(_grams("token")).alias("gram")).join(words.select("word", _first_gram("word").alias("gram")), "gram").distinct()
+    holding = near.where(F.col("token").contains(F.col("word"))).withColumn("times", inside).drop("gram")
+    weights = asked.groupBy("question", *own, "word", "n_words").agg(F.count("*").alias("asked")).join(holding, "word")
+    weights = weights.groupBy("question", *own, "token", "n_words").agg(F.sum(F.col("asked") * F.col("times")).alias("w"))
+    hits = postings.join(weights, [*own, "token"]).groupBy("question", *own, "ldu_id").agg((F.sum(F.col("n") * F.col("w")) / F.max("n_words")).alias("score"))
+    order = Window.partitionBy("question", *own).orderBy(F.desc("score"), "ldu_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question", *own, "rank", "ldu_id", "score")
+
+
+def _grams(word: str):
+    """All pieces of one to three characters of a word, each once: what a question word may begin with."""
+    w = F.col(word)
+    at = F.sequence(F.lit(1), F.length(w))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(w, i, F.lit(k)) for k in (1, 2, 3)]))))
+
+
+def _first_gram(word: str):
+    return F.substring(F.col(word), 1, 3)
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import chunk, extract, facts, page_index, route, search, triage
+from quire.operators import agent, chunk, extract, facts, nested, page_index, route, search, triage
 from quire.operators.arrivals import first_arrivals
 from quire.sources.tables import table
 from quire.streaming import ledger
@@ -304,8 +304,7 @@ s as (select question, ldu_id, sum((length(c) - length(replace(c, word, ''))) //
 select question, row_number() over (partition by question order by score desc, ldu_id) as rank, ldu_id, score from s where score > 0 qualify rank <= 5""")
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
     """For each measure named in the fact table, the five units that speak of it most."""
-    named = table(spark, folder, "facts").where("field_name is not null").select(F.trim(F.regexp_replace("field_name", r"[,(].*$", "")).alias("question")).distinct()
-    return search.keyword_top(table(spark, folder, "ldus"), named.where("question <> ''"))
+    return search.keyword_top(table(spark, folder, "ldus"), _measures(spark, folder))
 
 
 @_query("""
@@ -341,3 +340,45 @@ select strftime(event_ts, '%Y-%m-%d') as day, strategy_used, count(*) as n_event
 def ledger_days(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger read as a stream into an append-only table, counted by day and strategy."""
     return ledger.ledger_days(spark, f"{folder}/ledger.parquet")
+
+
+def _measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures named in the fact table, as questions."""
+    named = table(spark, folder, "facts").where("field_name is not null").select(F.trim(F.regexp_replace("field_name", r"[,(].*$", "")).alias("question"))
+    return named.where("question <> ''").distinct()
+
+
+@_query()
+def section_search(spark: SparkSession, folder: str) -> DataFrame:
+    """For each measure named in the fact table, the three sections that speak of it most."""
+    section = nested.node_tables(table(spark, folder, "page_indexes"))["section"]
+    return agent.section_top(section, _measures(spark, folder))
+
+
+@_query()
+def document_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Three questions about each indexed document, from its sections."""
+    indexes = table(spark, folder, "page_indexes")
+    return agent.questions(indexes, nested.node_tables(indexes)["section"])
+
+
+@_query()
+def document_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Those questions with their answers from the documents' units."""
+    return agent.answered(document_questions(spark, folder), table(spark, folder, "ldus"))
+
+
+@_query(rf"""
+with c as (select distinct on (id) id, doc_id, field_name || ' ' || value as claim from facts where id % 20 = 0 and field_name is not null and value is not null),
+w as (select id, doc_id, claim, unnest(list_filter(regexp_split_to_array(trim(lower(claim)), '\s+'), lambda x: x <> '')) as word from c),
+t as (select doc_id, ldu_id, content, lower(content) as c from {_FIRST_UNITS} where content is not null),
+s as (select id, claim, t.ldu_id, any_value(content) as content, sum((length(c) - length(replace(c, word, ''))) // length(word)) / count(*) as score from w join t using (doc_id) group by id, claim, t.ldu_id),
+k as (select *, row_number() over (partition by id order by score desc, ldu_id) as rank from s where score > 0 qualify rank <= 8),
+o as (select id, ldu_id, rank, list_distinct(regexp_extract_all(lower(claim), '[\p{{L}}\p{{M}}\p{{N}}_]{{4,}}')) as m, list_distinct(regexp_extract_all(lower(left(content, 300)), '[\p{{L}}\p{{M}}\p{{N}}_]{{4,}}')) as h from k),
+v as (select id, ldu_id, len(list_intersect(m, h)) / greatest(len(m), 1) as overlap, row_number() over (partition by id order by len(list_intersect(m, h)) / greatest(len(m), 1) desc, rank) as best from o qualify best = 1)
+select c.id, c.doc_id, c.claim, case when coalesce(overlap, 0) >= 0.5 then 'verified' when coalesce(overlap, 0) >= 0.2 then 'unverifiable' else 'not_found' end as verdict,
+  coalesce(overlap, 0.0)::double as overlap, case when overlap > 0.1 then ldu_id end as evidence_ldu from c left join v using (id)""")
+def verified_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fact whose id is divisible by 20, as a claim held against its document."""
+    claims = table(spark, folder, "facts").where("id % 20 = 0 and field_name is not null and value is not null").dropDuplicates(["id"])
+    return agent.verified(claims.select("id", "doc_id", F.concat_ws(" ", "field_name", "value").alias("claim")), table(spark, folder, "ldus"))
