@@ -1,7 +1,7 @@
 """Pages stuffed with keywords, links or tags, told apart from texts by bagged decision trees.
 
-Content and link features of each whole text come from array operations over batches. Labelling rules that speak only on clear pages
-give weak labels; bagged decision trees fitted on a bounded sample of them (MAX_LABELLED rows a class, drawn by
+Content and link features of each whole text come from array operations over batches. Labelling
+rules that speak only on clear pages give weak labels; bagged decision trees fitted on a bounded sample of them (MAX_LABELLED rows a rule, drawn by
 a hash of the key) score every page, and the score is moved towards the spam rate of the page's host.
 
 Defined cases: null, empty and blank texts and texts of fewer than MIN_TOKENS tokens without a link are never
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.session import staged
 
-#: Bound of the training sample, in rows of each weak label.
+#: Bound of the training sample, in rows of each labelling rule.
 MAX_LABELLED = 4000
 MIN_TOKENS = 16
 WINDOW = 64  # tokens in which repetition is measured, so that it does not depend on a text's length
@@ -36,7 +36,7 @@ HOST_WEIGHT = 0.3
 YEAR = re.compile(r"\((?:1[89]|20)\d\d\)")
 LINK = re.compile(r"(?:https?://|www\.)[^\s)\"'<>\]]+")
 FEATURES = [
-    "prose_share", "link_share", "links_per_token", "low_share", "distinct_ratio", "stops_per_token", "digit_share", "list_marks_per_token",
+    "prose_share", "link_share", "links_per_token", "low_share", "distinct_ratio", "word_ratio", "stops_per_token", "digit_share", "list_marks_per_token",
     "hash_per_token", "counted_lines", "piped_lines", "led_lines", "dated_lines", "short_lines", "repeated_lines", "labelled_lines", "log_tokens", "stopped_lines", "top_window",
 ]
 CHUNK = 400_000  # characters measured at a time in a task
@@ -79,6 +79,17 @@ def distinct_in(groups: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(g[new], minlength=n)
 
 
+def repetition(token_doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, tokens and share of different tokens of each window of WINDOW tokens; each document has one at least."""
+    n_tok = np.bincount(token_doc, minlength=n_docs)
+    rank = np.arange(len(token_doc)) - np.concatenate([[0], np.cumsum(n_tok)[:-1]])[token_doc]
+    windows = np.maximum((n_tok + WINDOW - 1) // WINDOW, 1)
+    window = np.concatenate([[0], np.cumsum(windows)[:-1]])[token_doc] + rank // WINDOW
+    doc = np.repeat(np.arange(n_docs), windows)
+    held = np.bincount(window, minlength=len(doc))
+    return doc, held, distinct_in(window, hashes, len(doc)) / np.maximum(held, 1)
+
+
 def measured(texts: list[str], table: np.ndarray) -> dict[str, np.ndarray]:
     """The features of some non-blank texts, by array operations over all their characters at once."""
     lowered = [t.lower().strip() for t in texts]
@@ -113,15 +124,13 @@ def measured(texts: list[str], table: np.ndarray) -> dict[str, np.ndarray]:
     n_tok = np.bincount(token_doc, minlength=n_docs)
     n = np.maximum(n_tok, 1)
 
-    # repetition in windows of equally many tokens
-    rank = np.arange(len(token_at)) - np.concatenate([[0], np.cumsum(n_tok)[:-1]])[token_doc]
-    windows = np.maximum((n_tok + WINDOW - 1) // WINDOW, 1)
-    window_doc = np.repeat(np.arange(n_docs), windows)
-    window = np.concatenate([[0], np.cumsum(windows)[:-1]])[token_doc] + rank // WINDOW
-    in_window = np.bincount(window, minlength=len(window_doc))
-    ratio = distinct_in(window, hashes, len(window_doc)) / np.maximum(in_window, 1)
+    # repetition in windows of equally many tokens, of all tokens and of words alone
+    window_doc, in_window, ratio = repetition(token_doc, hashes, n_docs)
     weighed = lambda x: np.bincount(window_doc, weights=x * in_window, minlength=n_docs) / n
-    top = np.maximum.reduceat(ratio, np.concatenate([[0], np.cumsum(windows)[:-1]]))
+    top = np.maximum.reduceat(ratio, np.searchsorted(window_doc, np.arange(n_docs)))
+    lettered = (kind[token_at] & DIGIT) == 0
+    word_doc, in_word, of_words = repetition(token_doc[lettered], hashes[lettered], n_docs)
+    word_ratio = np.bincount(word_doc, weights=of_words * in_word, minlength=n_docs) / np.maximum(np.bincount(word_doc, weights=in_word, minlength=n_docs), 1)
 
     # stops, and the pieces of prose between them
     after = np.concatenate([kind[1:], [SPACE]])
@@ -180,7 +189,7 @@ def measured(texts: list[str], table: np.ndarray) -> dict[str, np.ndarray]:
     chars = np.maximum(size - 1, 1)
     return {
         "n": n_tok, "prose_share": prose_chars / chars, "link_share": per_doc(~bare) / chars, "links_per_token": links / n,
-        "low_share": weighed(ratio < 0.55), "distinct_ratio": weighed(ratio), "stops_per_token": per_doc(stop) / n,
+        "low_share": weighed(ratio < 0.55), "distinct_ratio": weighed(ratio), "word_ratio": word_ratio, "stops_per_token": per_doc(stop) / n,
         "digit_share": per_doc(digit) / chars, "list_marks_per_token": per_doc(((kind & LIST) > 0) & bare) / n,
         "hash_per_token": per_doc((points == 35) & bare) / n, "counted_lines": share(counted),
         "piped_lines": share((per_line(points == 124) > 0) & (digits > 0)), "led_lines": share(per_line(run) > 0),
@@ -213,29 +222,43 @@ def features(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return t.mapInPandas(lambda batches: (b[columns] for b in measure(batches)), schema)
 
 
+#: The labelling rules in the order in which they are asked, and what each calls a page.
+RULES = {
+    "counted": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and counted_lines > 0.6"),
+    "piped": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and piped_lines > 0.6"),
+    "led": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and led_lines > 0.5"),
+    "dated": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and dated_lines > 0.6"),
+    "figures": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and digit_share > 0.25"),
+    "links": (1.0, "link_share > 0.5 or (links_per_token > 0.25 and stops_per_token < 0.05)"),
+    "tags": (1.0, "hash_per_token > 0.5"),
+    "wares": (1.0, "prose_share < 0.1 and word_ratio < 0.5 and n >= 60 and digit_share between 0.1 and 0.22 and counted_lines < 0.3 and piped_lines < 0.3 and list_marks_per_token < 0.3"),
+    "lists": (1.0, "prose_share < 0.1 and distinct_ratio < 0.58 and n >= 80 and digit_share < 0.22 and counted_lines < 0.3 and piped_lines < 0.3"),
+    "stuffed": (1.0, "low_share > 0.8 and prose_share < 0.3 and distinct_ratio < 0.5 and digit_share < 0.15 and counted_lines < 0.3 and piped_lines < 0.3"),
+    "phrases": (1.0, "low_share > 0.9 and prose_share < 0.6 and distinct_ratio < 0.45 and n >= 60 and digit_share < 0.05 and counted_lines < 0.3"),
+    "prose": (0.0, "link_share < 0.25 and hash_per_token < 0.05 and prose_share > 0.75 and labelled_lines < 0.2"),
+}
+
+
+def weak_rule() -> Column:
+    """The first rule that speaks on a page; null where none does. Rules speak on clear pages only."""
+    cases = " ".join(f"when {test} then '{name}'" for name, (_, test) in RULES.items())
+    return F.expr(f"case when n < {MIN_TOKENS} and link_share < 0.5 then null {cases} end")
+
+
 def weak_label() -> Column:
     """1 for clear spam, 0 for a clear text, table or list of the domain, null where no rule speaks."""
-    links = "link_share > 0.5 or (links_per_token > 0.25 and stops_per_token < 0.05)"
-    tags = "hash_per_token > 0.5"
-    stuffed = "(low_share > 0.8 and prose_share < 0.3 and distinct_ratio < 0.5 or prose_share < 0.1 and distinct_ratio < 0.58 and n >= 80) and digit_share < 0.22 and counted_lines < 0.3 and piped_lines < 0.3 and led_lines < 0.3 and dated_lines < 0.3"
-    clean = "link_share < 0.25 and hash_per_token < 0.05"
-    prose = f"{clean} and prose_share > 0.75 and labelled_lines < 0.2"
-    listed = f"link_share < 0.45 and (counted_lines > 0.6 or piped_lines > 0.6 or led_lines > 0.5 or dated_lines > 0.6 or digit_share > 0.25) and hash_per_token < 0.05"
-    return F.expr(f"case when n < {MIN_TOKENS} and link_share < 0.5 then null when {listed} then 0.0 when {links} or {tags} or ({stuffed}) then 1.0 when {prose} then 0.0 end")
+    return F.create_map(*[F.lit(x) for name, (label, _) in RULES.items() for x in (name, label)])[F.col("rule")]
 
 
 def scored(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """(key, host, page_score, host_rate, score) of each page that is not blank; spam from a score of 0.5 on."""
-    rows = staged(features(pages, key, text, host).withColumn("label", weak_label()), "page-features")
-    counts = {r["label"]: r["n_rows"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n_rows")).collect()}
-    if len(counts) < 2:
+    rows = staged(features(pages, key, text, host).withColumn("rule", weak_rule()).withColumn("label", weak_label()), "page-features")
+    counts = {r["rule"]: r["n_rows"] for r in rows.where("rule is not null").groupBy("rule").agg(F.count("*").alias("n_rows")).collect()}
+    if len({RULES[rule][0] for rule in counts}) < 2:
         page = rows.withColumn("page_score", F.coalesce(F.col("label"), F.lit(0.0)))
     else:
-        drawn = None
-        for label, total in counts.items():
-            share = min(1.0, MAX_LABELLED / total)
-            part = rows.where((F.col("label") == label) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)))
-            drawn = part if drawn is None else drawn.unionByName(part)
+        share = F.create_map(*[F.lit(x) for rule, total in counts.items() for x in (rule, min(1.0, MAX_LABELLED / total))])
+        drawn = rows.where("rule is not null").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6 < share[F.col("rule")])
         vector = VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep")
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=8, minInstancesPerNode=2,
