@@ -25,11 +25,12 @@ from quire.session import staged
 # What recognition makes of characters, as right:wrong.
 CONFUSIONS = (
     "e:c a:@ i:l n:ri s:5 t:f o:0 d:cl l:1 i:1 u:ii h:b m:rn b:6 g:q li:h w:vv fi:ﬁ fl:ﬂ c:e l:i f:t 0:o 1:l 5:s rn:m "
+    "é:6 é:e è:e ê:e á:a í:i ó:o ú:u ü:ii ü:u ö:o ä:a ñ:n cl:d h:li n:ii rn:m "
     "ን:ኝ ት:7 ተ:+ ር:C ል:A ለ:ሰ በ:ሰ የ:P ም:9 ነ:ኀ ስ:ሰ O:0 S:5 B:8 I:l I:1 Z:2 l:I q:g b:h"
 )
 DIGIT_READINGS = {"l": "1", "I": "1", "O": "0", "o": "0", "Z": "2", "S": "5", "B": "8", "b": "6"}
 PAGE_WORDS = "page|pg|p|seite|página|pagina|ገጽ|ukurasa|fuula|صفحة|หน้า|第"
-MARKS = r"""[.,:;!?"“”«»()\[\]„‟‘’'…።፣፤፥፦፧、。，！？：；「」『』（）|–—/·•°<>]+"""
+MARKS = r"""[.,:;!?،؛؟"“”«»()\[\]„‟‘’'…።፣፤፥፦፧、。，！？：；「」『』（）|–—/·•°<>]+"""
 HYPHENS = "-‐‑¬­"
 
 RATIO = 20  # how much more frequent a correction must be than the word it replaces
@@ -48,13 +49,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(bare, r"[\s፡]+"), "")
 
 
-def folded(word: Column) -> Column:
+FOLDS = [("n", "ri"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("fi", "ﬁ"), ("fl", "ﬂ")]
+
+
+def folded(word: Column, folds: list[tuple[str, str]] = FOLDS) -> Column:
     """The word with the confusions of several characters undone, alike for right and misread forms."""
-    for right, wrong in (("n", "ri"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ")):
+    for right, wrong in folds:
         word = F.replace(word, F.lit(wrong), F.lit(right))
     return word
 
 
+def forms(word: Column) -> Column:
+    """A word as it is, and folded in either order where confusions overlap."""
+    return F.array_distinct(F.array(word, folded(word), folded(word, FOLDS[::-1])))
+
+
 def line_key(line: Column) -> Column:
     """What stays the same of a running line over pages: letters up to misreads, numbers as one sign."""
     t = F.lower(F.trim(line))
@@ -169,9 +178,9 @@ def lexicon(corpus: DataFrame) -> DataFrame:
 
 
 def deletes(word: Column) -> Column:
-    """The word and the words that it becomes by one deletion."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), cut))
+    """Each form of the word, and what becomes of it by one deletion."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.array_distinct(F.flatten(F.transform(forms(word), lambda w: F.concat(F.array(w), cut(w)))))
 
 
 def misread_cost(wrong: str, right: str) -> float:
@@ -200,8 +209,8 @@ def corrections(types: DataFrame, known: DataFrame) -> DataFrame:
     """(word, right, n, cost) of the corrections of distinct words (word, own); a word may have several."""
     lettered = F.col("word").rlike(r"\p{L}") & (F.length("word").between(2, 40))
     index = known.where((F.col("n") >= MIN_COUNT) & ~F.col("word").rlike(r"[\d@+]")).where(lettered)
-    index = index.select(F.col("word").alias("right"), "n", F.explode(deletes(folded(F.col("word")))).alias("part"))
-    asked = types.where(lettered).select("word", "own", F.explode(deletes(folded(F.col("word")))).alias("part"))
+    index = index.select(F.col("word").alias("right"), "n", F.explode(deletes(F.col("word"))).alias("part"))
+    asked = types.where(lettered).select("word", "own", F.explode(deletes(F.col("word"))).alias("part"))
     pairs = asked.join(index, "part").where((F.col("n") >= RATIO * F.col("own")) & (F.col("word") != F.col("right"))).select("word", "right", "n").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
