@@ -183,26 +183,39 @@ def deletes(word: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(forms(word), lambda w: F.concat(F.array(w), cut(w)))))
 
 
-def misread_cost(wrong: str, right: str) -> float:
-    """Weighted edit distance in which a confusion pair costs 0.2 and any other change 1."""
-    pairs = [p.split(":") for p in CONFUSIONS.split()]
-    best = [[99.0] * (len(wrong) + 1) for _ in range(len(right) + 1)]
-    best[0][0] = 0.0
-    for i in range(len(right) + 1):
-        for j in range(len(wrong) + 1):
-            c = best[i][j]
-            if c >= 2:
+def _by_start() -> dict[str, list[tuple[str, str]]]:
+    table: dict[str, list[tuple[str, str]]] = {}
+    for pair in CONFUSIONS.split():
+        right, wrong = pair.split(":")
+        table.setdefault(right[0], []).append((right, wrong))
+    return table
+
+
+PAIRS = _by_start()
+
+
+def misread_cost(wrong: str, right: str, most: float = 2.0) -> float:
+    """Weighted edit distance in which a confusion pair costs 0.2 and any other change 1; 99 where it is beyond `most`."""
+    n, m = len(right), len(wrong)
+    best = {(0, 0): 0.0}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            c = best.pop((i, j), None)
+            if c is None or c > most:
                 continue
-            if i < len(right) and j < len(wrong):
-                best[i + 1][j + 1] = min(best[i + 1][j + 1], c + (right[i] != wrong[j]))
-            if i < len(right):
-                best[i + 1][j] = min(best[i + 1][j], c + 1)
-            if j < len(wrong):
-                best[i][j + 1] = min(best[i][j + 1], c + 1)
-            for r, w in pairs:
-                if right.startswith(r, i) and wrong.startswith(w, j):
-                    best[i + len(r)][j + len(w)] = min(best[i + len(r)][j + len(w)], c + 0.2)
-    return best[-1][-1]
+            if i == n and j == m:
+                return c
+            steps = []
+            if i < n:
+                if j < m and right[i] == wrong[j]:
+                    steps.append((i + 1, j + 1, c))
+                steps += [(i + len(r), j + len(w), c + 0.2) for r, w in PAIRS.get(right[i], ()) if right.startswith(r, i) and wrong.startswith(w, j)]
+            if c + 1 <= most:
+                steps += [(i + di, j + dj, c + 1) for di, dj in ((1, 1), (1, 0), (0, 1)) if i + di <= n and j + dj <= m]
+            for x, y, cost in steps:
+                if cost <= most and cost < best.get((x, y), 99.0):
+                    best[x, y] = cost
+    return 99.0
 
 
 def corrections(types: DataFrame, known: DataFrame) -> DataFrame:
@@ -215,7 +228,7 @@ def corrections(types: DataFrame, known: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(cost=[misread_cost(w, r) for w, r in zip(batch["word"], batch["right"])])
+            yield batch.assign(cost=[misread_cost(w, r, MAX_COST) for w, r in zip(batch["word"], batch["right"])])
 
     return pairs.mapInPandas(verify, "word string, right string, n bigint, cost double").where(f"cost <= case when length(word) < 6 then {MAX_COST} / 2 else {MAX_COST} end")
 
