@@ -83,3 +83,17 @@ def quality(text: Column, strategy: Column) -> Column:
     score = 100 - lost(n < 200, 35) - lost(n < 50, 35) - lost(occurrences(F.lower(t), UNCERTAIN) >= 5, 20) - lost((strategy == "C") & (n < 120), 20)
     score = F.greatest(score, F.lit(0))
     return F.struct((score / 100).alias("qa_score"), (score < 65).alias("needs_review"))
+
+
+def extraction_score(text: Column) -> Column:
+    """Quality of extracted text from 0 to 1: for length, letters, different words and figures of finance, less for doubt and junk."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    low, n = F.lower(t), F.length(t)
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(n, F.lit(1))
+    words = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-/%().,:]*[\p{L}\p{N}_])?"), F.lit(0))))
+    finance = t.rlike(r"\p{Nd}") & low.rlike(r"\b(total|amount|revenue|tax|profit|year)\b")
+    doubt, junk = occurrences(low, r"\bunknown\b|\bunclear\b|\bunreadable\b|\bunsure\b"), occurrences(t, r"[#`]{3,}|\\u[0-9a-fA-F]{4}")
+    points = lambda test, p: F.when(test, p).otherwise(0)
+    good = 15 + points(n >= 100, 15) + points(n >= 400, 15) + points(n >= 1200, 15) + points(letters >= 0.35, 15) + points(letters >= 0.55, 10) + points(words >= 20, 10) + points(words >= 80, 10) + points(finance, 5)
+    score = good - F.least(F.lit(20), doubt * 5) - F.least(F.lit(15), junk * 5)
+    return F.when(t == "", 0.0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)) / 100)

@@ -36,8 +36,8 @@ def extracted(units: DataFrame) -> DataFrame:
 
 
 def looked_up(facts: DataFrame, field: str, most: int = 50) -> DataFrame:
-    """At most `most` facts, by id, whose field name contains the given text."""
-    return facts.where(F.lower("field_name").contains(field.lower())).select("id", "doc_id", "field_name", "value", "unit").dropDuplicates(["id"]).orderBy("id").limit(most)
+    """At most `most` facts, by id, whose field name contains the given text, in which % and _ stand for any text and any letter."""
+    return facts.where(F.lower("field_name").like(f"%{field.lower()}%")).select("id", "doc_id", "field_name", "value", "unit").dropDuplicates(["id"]).orderBy("id").limit(most)
 
 
 def with_source(facts: DataFrame, units: DataFrame) -> DataFrame:

@@ -55,6 +55,22 @@ def page_signals(pages: DataFrame, sampled: int = 10) -> DataFrame:
     )
 
 
+def layout_signals(pages: DataFrame, sampled: int = 3) -> DataFrame:
+    """(doc_id, approx_column_count, tableish_score, figureish_score) from pages with images, n_lines, n_rects and lefts of words.
+
+    Over the first `sampled` pages: the mean column count, rounded half to even; the mean density of lines and
+    rectangles, full at 200; the mean share of images, at most 1 a page.
+    """
+    area = F.aggregate(F.coalesce("images", F.array()), F.lit(0.0), lambda a, i: a + F.abs(i["x1"] - i["x0"]) * F.abs(i["y1"] - i["y0"]))
+    size = F.col("width") * F.col("height")
+    share = F.when(size > 0, F.least(F.lit(1.0), area / size)).otherwise(0.0)
+    ruled = F.least(F.lit(1.0), (F.coalesce("n_lines", F.lit(0)) + F.coalesce("n_rects", F.lit(0))) / 200)
+    return pages.where(F.col("page") <= sampled).groupBy("doc_id").agg(
+        F.bround(F.avg(column_count(F.coalesce("lefts", F.array().cast("array<double>"))))).cast("int").alias("approx_column_count"),
+        F.avg(ruled).alias("tableish_score"), F.avg(share).alias("figureish_score"),
+    )
+
+
 def column_count(lefts: Column, gap: float = 35.0) -> Column:
     """Columns of a page from its words' left edges: a new one starts more than `gap` right of the last one's start; 1 to 4."""
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("at"))

@@ -34,3 +34,21 @@ def routed(candidates: DataFrame, mode: str = "balanced", vision: bool = True) -
         F.array_join(tried, ">").alias("trace"), (F.col("step") != "A").alias("escalated"),
     )
 
+
+
+def cache_states(requests: DataFrame, extractions: DataFrame) -> DataFrame:
+    """requests (doc_id, ...) with cache_hit and cache_reason from stored extractions (doc_id, payload).
+
+    A stored payload counts if it is one JSON object that names the same document; of repeated ones any that does.
+    """
+    named = F.get_json_object("payload", "$.doc_id")
+    state = F.when(F.col("payload").isNull() | ~F.trim(F.col("payload")).startswith("{") | F.try_parse_json("payload").isNull(), "invalid_cache")
+    state = state.when(~named.eqNullSafe(F.col("doc_id")), "doc_id_mismatch").otherwise("cache_hit")
+    stored = extractions.where("doc_id is not null").select("doc_id", state.alias("s")).groupBy("doc_id").agg(F.min_by("s", F.when(F.col("s") == "cache_hit", 0).otherwise(1)).alias("cache_reason"))
+    both = requests.join(stored, "doc_id", "left").withColumn("cache_reason", F.coalesce("cache_reason", F.lit("cache_miss")))
+    return both.withColumn("cache_hit", F.col("cache_reason") == "cache_hit")
+
+
+def ledger_events(routes: DataFrame) -> DataFrame:
+    """(doc_id, strategy_used, confidence, escalated, notes) to append to the ledger: what was chosen, and the way there."""
+    return routes.select("doc_id", F.col("strategy").alias("strategy_used"), "confidence", F.col("strategy").isin("B", "C").alias("escalated"), F.col("trace").alias("notes"))

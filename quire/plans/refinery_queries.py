@@ -188,6 +188,20 @@ def text_quality(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.qa_score", "v.needs_review")
 
 
+@_query(rf"""
+with t as (select doc_id, {_strip("coalesce(text, '')")} as t from documents), n as (select doc_id, t, lower(t) as w, length(t) as n from t),
+s as (select doc_id, t, 15 + 15 * (n >= 100)::int + 15 * (n >= 400)::int + 15 * (n >= 1200)::int
+  + 15 * (length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / greatest(n, 1) >= 0.35)::int + 10 * (length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / greatest(n, 1) >= 0.55)::int
+  + 10 * (len(list_distinct(regexp_extract_all(w, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_\-/%().,:]*[\p{{L}}\p{{N}}_])?'))) >= 20)::int
+  + 10 * (len(list_distinct(regexp_extract_all(w, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_\-/%().,:]*[\p{{L}}\p{{N}}_])?'))) >= 80)::int
+  + 5 * (regexp_matches(t, '\p{{Nd}}') and regexp_matches(w, '\b(total|amount|revenue|tax|profit|year)\b'))::int
+  - least(20, 5 * len(regexp_extract_all(w, '\bunknown\b|\bunclear\b|\bunreadable\b|\bunsure\b'))) - least(15, 5 * len(regexp_extract_all(t, '[#`]{{3,}}|\\u[0-9a-fA-F]{{4}}'))) as s from n)
+select doc_id, case when t = '' then 0.0 else greatest(0, least(100, s)) / 100 end::double as extraction_score from s""")
+def extraction_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of each text as extracted content."""
+    return table(spark, folder, "documents").select("doc_id", extract.extraction_score(F.col("text")).alias("extraction_score"))
+
+
 @_query(rf"""
 with r as (select ldu_id, doc_id, regexp_extract_all(content, '(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])') as refs from {_FIRST_UNITS})
 select ldu_id, doc_id, array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i), '; ') as cross_refs from r where len(refs) > 0""")
