@@ -30,7 +30,8 @@ CONFUSIONS = (
 )
 DIGIT_READINGS = {"l": "1", "I": "1", "O": "0", "o": "0", "Z": "2", "S": "5", "B": "8", "b": "6"}
 PAGE_WORDS = "page|pg|p|seite|página|pagina|ገጽ|ukurasa|fuula|صفحة|หน้า|第"
-MARKS = r"""[.,:;!?،؛؟"“”«»()\[\]„‟‘’'…።፣፤፥፦፧、。，！？：；「」『』（）|–—/·•°<>]+"""
+#: Marks that may stand around a word; those left out may be misread letters or belong to a number.
+MARKS = r"[\p{P}|<>°&&[^@%#*&_\\]]+"
 HYPHENS = "-‐‑¬­"
 
 RATIO = 20  # how much more frequent a correction must be than the word it replaces
@@ -67,7 +68,7 @@ def forms(word: Column) -> Column:
 def line_key(line: Column) -> Column:
     """What stays the same of a running line over pages: letters up to misreads, numbers as one sign."""
     t = F.lower(F.trim(line))
-    t = F.regexp_replace(t, r"\b(?=[a-z]?\d|[a-z]\d)[\dzosbil]+\b", "#")
+    t = F.regexp_replace(t, r"(?<![a-z\d])[zosbil]?\d[\dzosbil]*", "#")
     t = F.when(t.rlike("[ሀ-፿]"), F.translate(t, "ኝ7+cap9ኀበለስ", "ንትተርልየምነሰሰሰ")).otherwise(t)
     t = F.translate(t, "el1|fqb6@50", "ciiitghhaso")
     t = F.regexp_replace(F.regexp_replace(t, r"\bz(?=#)|(?<=#)z\b", ""), r"[#\d]+", "#")
