@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import NUMBER_TOPIC
 from quire.operators.arrivals import first_arrivals
 from quire.operators.search import keyword_top
 
@@ -81,6 +82,20 @@ def answered(asked: DataFrame, units: DataFrame, snippet: int = 300) -> DataFram
     return asked.join(hits, ["doc_id", "question"], "left").select(*asked.columns, F.coalesce("snippet", F.lit(NO_ANSWER)).alias("answer"), "ldu_id")
 
 
+def question_facts(asked: DataFrame, facts: DataFrame, most: int = 5) -> DataFrame:
+    """asked with (topic, rank, id): the first facts, by id, whose field names the question's first word of numbers.
+
+    The words are those of one pattern, so the facts meet a handful of them; a question without one has no facts.
+    """
+    topic = F.lower(F.regexp_extract("question", NUMBER_TOPIC, 0))
+    told = asked.withColumn("topic", topic).where("topic <> ''")
+    words = told.select("topic").distinct()
+    named = facts.where("field_name is not null").select("id", F.lower("field_name").alias("f")).dropDuplicates(["id"])
+    met = named.join(F.broadcast(words), F.col("f").contains(F.col("topic")))
+    first = met.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("id"))).where(F.col("rank") <= most)
+    return told.join(first.select("topic", "rank", "id"), "topic").select(*asked.columns, "topic", "rank", "id")
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}_]{4,}"), F.lit(0)))
 

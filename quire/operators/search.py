@@ -5,8 +5,6 @@ Both score every stated query against all rows and are exact. Ties go to the sma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

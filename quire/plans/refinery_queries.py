@@ -396,3 +396,9 @@ def verified_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Every fact whose id is divisible by 20, as a claim held against its document."""
     claims = table(spark, folder, "facts").where("id % 20 = 0 and field_name is not null and value is not null").dropDuplicates(["id"])
     return agent.verified(claims.select("id", "doc_id", F.concat_ws(" ", "field_name", "value").alias("claim")), table(spark, folder, "ldus"))
+
+
+@_query()
+def question_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Those questions that ask for numbers, with the first facts about what they ask for."""
+    return agent.question_facts(document_questions(spark, folder), table(spark, folder, "facts"))

@@ -60,3 +60,18 @@ def test_page_signals(spark):
     assert got == {"d": (3, 1.5, 0.25), "e": (1, 0.0, 0.0)}
     edges = spark.createDataFrame([([10.0, 12.0, 50.0, 300.0, 320.0],), ([],), ([0.0, 40.0, 80.0, 120.0, 160.0],)], "x array<double>")
     assert [r[0] for r in edges.select(replies.column_count(F.col("x"))).collect()] == [3, 1, 4]
+
+
+def test_facts_for_questions(spark):
+    asked = spark.createDataFrame([(1, "What is the Total revenue?"), (2, "Who signed?"), (3, None)], "k int, question string")
+    facts = spark.createDataFrame([(i, f) for i, f in [(5, "Total deposits"), (2, "Subtotal"), (3, "Net profit"), (4, None), (2, "Subtotal")]], "id bigint, field_name string")
+    assert [(r.k, r.topic, r.rank, r.id) for r in agent.question_facts(asked, facts).orderBy("rank").collect()] == [(1, "total", 1, 2), (1, "total", 2, 5)]
+
+
+def test_ingest_adds_new_rows_only(spark):
+    from quire.operators import search, triage
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "ldu_id string, n int")
+    assert [r.ldu_id for r in search.new_rows(rows, rows.where("n = 1"), "ldu_id").collect()] == ["b"]
+    names = spark.createDataFrame([("x-e.c-2",), ("ሰነድ",), ("report",)], "d string")
+    assert [r[0] for r in names.select(triage.named_language(F.col("d"))).collect()] == ["am", "am", "en"]
