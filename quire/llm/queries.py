@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import language, mixing, packing, scans, sentences, spam
 from quire.llm.keys import documents_of, sized

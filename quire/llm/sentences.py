@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, OPEN, CLOSE, CUT = "", "", "", ""
-WS = r"[\s  -​ 　﻿]"
+#: Private-use characters: a mark that ends nothing, opening and closing straight quotes, and the end of a sentence.
+MASK, OPEN, CLOSE, CUT = "\ue000", "\ue010", "\ue011", "\ue0ff"
+WS = r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]"
 
 # Abbreviations by how they bind.
 TITLES = "vgl mr mrs ms dr prof sr sra srta dra dkt mme mlle hr ing eng rev hon gen col capt st bi bw ob obbo adde"
@@ -26,8 +27,6 @@ BEFORE_NUMBERS = (
 GERMAN_MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 CAPITALS_INSIDE = "INCL|INS|ETC|E.G|I.E|U.N|VS|APPROX|BZW|USW"
 
-LETTER_END = r"(?<![\p{L}\p{N}.'’])"
-
 
 def _any(words: str) -> str:
     return "|".join(words.split())
@@ -78,6 +77,7 @@ BLANK_LINE = r"(\S)(?=[ \t]*\r?\n[ \t]*\r?\n)"
 
 def masked(text: Column) -> Column:
     """The text, as long as before, without marks that end no sentence."""
+    text = F.when(text.contains(CUT), F.translate(text, CUT, MASK)).otherwise(text)
     t = F.when(
         text.contains('"'),
         F.translate(F.regexp_replace(text, rf'(?<![^\s(\[])"(?=\S)', OPEN), '"', CLOSE),

@@ -57,9 +57,9 @@ def test_cases(spark):
 
 def test_null_empty_blank_and_very_long(spark):
     long = "Word after word goes on. " * 20_000
-    got = found(spark, [None, "", " \n\t ", "no mark at all", long])
+    got = found(spark, [None, "", " \n\t ", "no mark at all", long, "A \ue0ff one. B two."])
     assert got[:4] == [[], [], [], ["no mark at all"]]
-    assert len(got[4]) == 20_000
+    assert len(got[4]) == 20_000 and got[5] == ["A \ue0ff one.", "B two."]
 
 
 def test_repeated_units_clashing_names_and_empty_tables(spark):
