@@ -26,6 +26,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.found(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
 
 
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks and units of scanned and mixed documents as repaired paragraphs."""
+    return scans.paragraphs(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of documents, or piece of one, in a container of each of the container specs."""
     return packing.packed(table(spark, folder, "documents"), table(spark, folder, "container_specs"), "doc_id", "text")
@@ -55,6 +60,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p4_text": p4_text,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,

@@ -4,15 +4,18 @@ Running lines are lines that recur at page edges of a document (misreads and num
 over full lines; page numbers are number lines at page edges that count up with the pages. Divided words are joined
 over line and page ends, with or without their hyphen as the corpus writes them. A symmetric-delete index over the
 corpus's frequency lexicon gives correction candidates, a weighted edit distance with confusion pairs verifies
-them, and bigram counts choose between candidates that are left.
+them, and bigram counts choose between candidates that are left. Paragraphs are built from what remains: lines run on
+unless a blank line stands between them or a line had room for the word that opens the next one.
 
 Defined cases: null and blank texts have no lines; repeated units count once; a word whose joined form the corpus
 does not know is joined without hyphen; a word without a far more frequent neighbour stays as it is; units of
-digital documents are not looked at. Extra columns are ignored.
+digital documents are not looked at. A word divided between two units ends the first one; where its rest is divided
+again, it stays as it is. A unit of nothing but running lines has no paragraphs. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -151,18 +154,23 @@ def body(lines: DataFrame, running: DataFrame, page_lines: DataFrame) -> DataFra
 
 
 def divided(text_lines: DataFrame) -> DataFrame:
-    """(unit_id, head, tail, tail_unit) of each word divided at a line's end; the rest may open the document's next unit."""
+    """(unit_id, no, head, tail, tail_unit, tail_no, token) of each word divided at the end of line `no`.
+
+    The rest may open the document's next unit; token is all that stands before the first space there.
+    """
     broken = rf"(?:^|[\s(“«\"'])([^\s(“«\"']*\p{{L}})[{HYPHENS}]$"
     opening = F.regexp_extract("line", r"^([\p{L}\p{M}'’\-]+)", 1)
-    rows = text_lines.select("unit_id", "kind", "doc_id", "pos", "no", F.regexp_extract("line", broken, 1).alias("head"), opening.alias("open"))
+    rows = text_lines.select("unit_id", "kind", "doc_id", "pos", "no", F.regexp_extract("line", broken, 1).alias("head"), opening.alias("open"), F.regexp_extract("line", r"^[^\s፡]+", 0).alias("token"))
     here = Window.partitionBy("unit_id").orderBy("no")
-    rows = rows.withColumn("tail", F.lead("open").over(here)).withColumn("first", F.row_number().over(here) == 1)
+    rows = rows.withColumn("tail", F.lead("open").over(here)).withColumn("tail_no", F.lead("no").over(here)).withColumn("first", F.row_number().over(here) == 1)
     edges = rows.where("first or tail is null").groupBy("kind", "doc_id", "pos", "unit_id").agg(
-        F.max(F.when(F.col("first"), F.col("open"))).alias("open"), F.max(F.when(F.col("tail").isNull(), F.col("head"))).alias("head")
+        *[F.max(F.when(F.col("first"), F.col(c))).alias(to) for c, to in (("open", "open"), ("no", "first_no"), ("token", "token"))],
+        *[F.max(F.when(F.col("tail").isNull(), F.col(c))).alias(c) for c in ("head", "no")],
     )
     next_unit = Window.partitionBy("kind", "doc_id").orderBy("pos", "unit_id")
-    onward = edges.select("unit_id", "head", F.lead("open").over(next_unit).alias("tail"), F.lead("unit_id").over(next_unit).alias("tail_unit"))
-    within = rows.where("tail is not null").select("unit_id", "head", "tail", F.col("unit_id").alias("tail_unit"))
+    after = lambda c, to: F.lead(c).over(next_unit).alias(to)
+    onward = edges.select("unit_id", "no", "head", after("open", "tail"), after("unit_id", "tail_unit"), after("first_no", "tail_no"), after("token", "token"))
+    within = rows.where("tail is not null").select("unit_id", "no", "head", "tail", F.col("unit_id").alias("tail_unit"), "tail_no", F.lit("").alias("token"))
     split = within.unionByName(onward).where("head <> '' and tail <> ''")
     same_case = F.col("tail").rlike(r"^\p{Ll}|^\p{Lo}") | (F.col("head").rlike(r"\p{Lu}$") & F.col("tail").rlike(r"^\p{Lu}"))
     return split.where(same_case).distinct()
@@ -242,12 +250,12 @@ def number_read(word: Column) -> Column:
 
 
 def resolved(words: DataFrame, fixes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """words (unit_id, before, word, after) that have corrections, with the one that holds as `right`.
+    """words (unit_id, no, at, before, word, after) that have corrections: (unit_id, no, at, word, right), right being the one that holds.
 
     Where several are left, the counts of the word pairs that they would make with their neighbours choose.
     """
     ranked = fixes.withColumn("left", F.count("*").over(Window.partitionBy("word")))
-    sure = words.join(sized(ranked.where("left = 1").select("word", "right")), "word").select("unit_id", "word", "right")
+    sure = words.join(sized(ranked.where("left = 1").select("word", "right")), "word").select("unit_id", "no", "at", "word", "right")
     open_ = staged(words.join(sized(ranked.where("left > 1").select("word", "right", "n", "cost")), "word"), "open-words")
     asked = open_.select(F.concat_ws(" ", "before", "right").alias("pair")).unionByName(open_.select(F.concat_ws(" ", "right", "after").alias("pair"))).distinct()
     pairs = corpus.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))).alias("pair"))
@@ -257,12 +265,16 @@ def resolved(words: DataFrame, fixes: DataFrame, corpus: DataFrame) -> DataFrame
         .join(seen.withColumnRenamed("seen", "s2"), F.concat_ws(" ", "right", "after") == F.col("pair"), "left")
     )
     worth = F.log1p(F.coalesce("s1", F.lit(0))) + F.log1p(F.coalesce("s2", F.lit(0))) + 0.3 * F.log("n") - 2 * F.col("cost")
-    chosen = scored.groupBy("unit_id", "word", "before", "after").agg(F.max_by("right", F.struct(worth, "right")).alias("right"))
-    return sure.unionByName(chosen.select("unit_id", "word", "right"))
+    chosen = scored.groupBy("unit_id", "no", "at", "word").agg(F.max_by("right", F.struct(worth, "right")).alias("right"))
+    return sure.unionByName(chosen)
 
 
 def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
-    """The tables of defects: `line` (unit_id, what, line), `hyphen` (unit_id, fragment) and `ocr` (unit_id, fragment)."""
+    """The tables of defects: `line` (unit_id, what, line), `hyphen` (unit_id, fragment) and `ocr` (unit_id, fragment).
+
+    And what the texts are rebuilt from: `marked`, the lines with what they are, `joined`, the divided words with the
+    whole word as `right`, and `placed` (unit_id, no, at, word, right), the misread words by line and character.
+    """
     lines = staged(lines_of(units_of(blocks, ldus, profiles)), "scan-lines")
     running, page_lines = furniture(lines)
     marked = staged(body(lines, sized(staged(running, "running-lines")), sized(staged(page_lines, "page-lines"))), "marked-lines")
@@ -274,23 +286,32 @@ def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[st
     forms = parted.select("head", "tail").distinct().withColumn("plain", F.concat("head", "tail")).withColumn("kept", F.concat("head", F.lit("-"), "tail"))
     counted = forms.join(known.select(F.col("word").alias("plain"), F.col("n").alias("n_plain")), "plain", "left").join(known.select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
     whole = counted.select("head", "tail", F.when(F.coalesce("n_kept", F.lit(0)) > F.coalesce("n_plain", F.lit(0)), F.col("kept")).otherwise(F.col("plain")).alias("fragment"))
+    whole = staged(whole, "whole-words")
     hyphen = parted.join(whole, ["head", "tail"]).select("unit_id", "fragment").distinct()
 
     broken = F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$")
-    own = text_lines.select("unit_id", F.when(broken, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")).alias("w"))
-    types = own.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("here"))
+    own = text_lines.select("unit_id", "no", "line", F.when(broken, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")).alias("w"))
+    types = own.select(F.explode("w").alias("word")).unionByName(whole.select(F.col("fragment").alias("word"))).distinct()
     types = types.join(known, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("own"), number_read(F.col("word")).alias("number"))
     types = staged(types, "scan-words")
     fixes = staged(corrections(types.where("number is null"), known), "corrections")
     wrong = fixes.select("word").distinct().unionByName(types.where("number is not null").select("word"))
     i = F.col("i")
-    placed = own.select("unit_id", "w", F.posexplode("w").alias("i", "word")).join(sized(staged(wrong, "wrong-words")), "word", "left_semi")
-    placed = placed.select("unit_id", F.get("w", i - 1).alias("before"), "word", F.get("w", i + 1).alias("after"))
+    placed = own.select("unit_id", "no", "line", "w", F.posexplode("w").alias("i", "word")).join(sized(staged(wrong, "wrong-words")), "word", "left_semi")
+    # words stand in the line in their order, with marks between them: each is looked for behind the one before
+    end = F.aggregate(F.slice("w", 1, i + 1), F.lit(1), lambda acc, x: F.call_function("locate", x, F.col("line"), acc) + F.length(x))
+    placed = placed.select("unit_id", "no", (end - 1 - F.length("word")).alias("at"), F.get("w", i - 1).alias("before"), "word", F.get("w", i + 1).alias("after"))
     placed = staged(placed, "misread-words")
-    numbers = placed.select("unit_id", "word", number_read(F.col("word")).alias("right")).where("right is not null")
+    numbers = placed.select("unit_id", "no", "at", "word", number_read(F.col("word")).alias("right")).where("right is not null")
     tails = parted.select(F.col("tail_unit").alias("unit_id"), F.col("tail").alias("word")).distinct()
-    ocr = resolved(placed, fixes, corpus).join(tails, ["unit_id", "word"], "left_anti").unionByName(numbers)
+    right = resolved(placed, fixes, corpus)
+    ocr = right.join(tails, ["unit_id", "word"], "left_anti").unionByName(numbers.select(*right.columns))
+    best = fixes.groupBy(F.col("word").alias("fragment")).agg(F.max_by("right", F.struct(-F.col("cost"), "n", "right")).alias("better"))
+    joined = whole.join(best, "fragment", "left").select("head", "tail", F.coalesce("better", "fragment").alias("right"))
     return {
+        "marked": marked,
+        "joined": parted.join(joined, ["head", "tail"]),
+        "placed": right.unionByName(numbers.select(*right.columns)),
         "line": marked.where("what is not null").select("unit_id", "what", "line"),
         "hyphen": hyphen,
         "ocr": ocr.select("unit_id", F.col("right").alias("fragment")),
@@ -304,3 +325,98 @@ def found(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> DataFrame:
     for defect in ("hyphen", "ocr"):
         rows = rows.unionByName(t[defect].select("unit_id", F.lit(defect).alias("defect"), "fragment"))
     return rows.distinct()
+
+
+ENDS = tuple(".!?።。؟！？:;…\"”»）)」』")
+UNSPACED = re.compile(r"[\u0E00-\u0E7F\u3000-\u30FF\u4E00-\u9FFF\uFF00-\uFFEF]")
+
+
+def _room(line: str, following: str, width: int) -> bool:
+    """Whether the line stops so early that the text was not merely wrapped there."""
+    if UNSPACED.search(line):
+        return len(line) < (width - 1 if line.endswith(ENDS) else 0.75 * width)
+    needed = len(line) + 1 + len(following.split(None, 1)[0])
+    return needed < width - 1 if line.endswith(ENDS) else needed < 0.75 * width
+
+
+def _glue(line: str, following: str) -> str:
+    """What stands between two lines that run on."""
+    if re.search(rf"[^\W_][{HYPHENS}]$", line):
+        return ""
+    if UNSPACED.search(line) and UNSPACED.search(following) and (UNSPACED.match(line[-1]) or UNSPACED.match(following[0]) or line[-1].isdigit() or following[0].isdigit()):
+        return ""
+    return " "
+
+
+def paragraphs_of(lines: list[dict], fixes: list[dict], joins: list[dict], gone: list[dict]) -> list[str]:
+    """The paragraphs of one unit.
+
+    lines (no, line, what); fixes (no, at, n, right): n characters of a line that are `right`; joins (no, head, tail,
+    tail_no, token, right): words divided at the end of line `no`, tail_no null where the rest opens the next unit;
+    gone (no, n): characters at the start of a line that the unit before ends with.
+    """
+    lines = sorted(lines, key=lambda x: x["no"])
+    text = {x["no"]: x["line"] for x in lines if x["what"] is None}
+    if not text:
+        return []
+    width, stored, follows = max(map(len, text.values())), dict(text), set()
+    opened = {j["tail_no"] for j in joins} | {g["no"] for g in gone}
+    for f in sorted(fixes, key=lambda x: -x["at"]):
+        if f["at"] > 0 or f["no"] not in opened:
+            old = text[f["no"]]
+            text[f["no"]] = old[: f["at"]] + f["right"] + old[f["at"] + f["n"] :]
+    for j in joins:
+        head, tail, line = j["head"], j["tail"], text[j["no"]]
+        if j["tail_no"] is None:
+            text[j["no"]] = line[: len(line) - len(head) - 1] + j["right"] + j["token"][len(tail) :]
+            continue
+        follows.add(j["tail_no"])
+        if tail[-1] in HYPHENS or (j["no"] in opened and len(head) + 1 == len(stored[j["no"]])):
+            text[j["no"]] = line[:-1]  # a word over three lines
+        elif j["right"].endswith(tail):
+            text[j["no"]] = line[: len(line) - len(head) - 1] + j["right"][: len(j["right"]) - len(tail)]
+        else:
+            text[j["no"]] = line[: len(line) - len(head) - 1] + j["right"]
+            text[j["tail_no"]] = text[j["tail_no"]][len(tail) :]
+    for g in gone:
+        text[g["no"]] = text[g["no"]][g["n"] :].lstrip(" \t፡")
+    out: list[str] = []
+    last, furniture = None, False
+    for x in lines:
+        no = x["no"]
+        if x["what"] is not None:
+            furniture = True
+            continue
+        if not text[no]:
+            continue
+        if last is None:
+            out.append(text[no])
+        elif no in follows:
+            out[-1] += text[no]
+        elif (no > last + 1 and not furniture) or _room(stored[last], stored[no], width):
+            out.append(text[no])
+        else:
+            out[-1] += _glue(out[-1], text[no]) + text[no]
+        last, furniture = no, False
+    return out
+
+
+def paragraphs(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(unit_id, paragraph_no, text): the repaired texts of all units, paragraphs counted from 1."""
+    t = repaired(blocks, ldus, profiles)
+    lines = t["marked"].groupBy("unit_id").agg(F.collect_list(F.struct("no", F.when(F.col("what").isNull(), F.col("line")).alias("line"), "what")).alias("lines"))
+    fixes = t["placed"].groupBy("unit_id").agg(F.collect_list(F.struct("no", "at", F.length("word").alias("n"), "right")).alias("fixes"))
+    own = F.col("unit_id") == F.col("tail_unit")
+    parted = staged(t["joined"].where(own | ~F.col("tail").rlike(f"[{HYPHENS}]$")), "joined-words")
+    joins = parted.groupBy("unit_id").agg(F.collect_list(F.struct("no", "head", "tail", F.when(own, F.col("tail_no")).alias("tail_no"), "token", "right")).alias("joins"))
+    gone = parted.where(~own).groupBy(F.col("tail_unit").alias("unit_id")).agg(F.collect_list(F.struct(F.col("tail_no").alias("no"), F.length("token").alias("n"))).alias("gone"))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for unit, *parts in zip(*[batch[c] for c in ("unit_id", "lines", "fixes", "joins", "gone")]):
+                rows += [(unit, k, text) for k, text in enumerate(paragraphs_of(*[[] if x is None else list(x) for x in parts]), 1)]
+            yield pd.DataFrame(rows, columns=["unit_id", "paragraph_no", "text"])
+
+    units = lines.join(fixes, "unit_id", "left").join(joins, "unit_id", "left").join(gone, "unit_id", "left")
+    return units.mapInPandas(build, "unit_id string, paragraph_no int, text string")

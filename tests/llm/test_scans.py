@@ -42,6 +42,34 @@ def test_planted_defects(planted):
     assert len(set(rows)) == len(rows) and set(rows) == want
 
 
+def test_paragraphs(planted):
+    """Running lines are out, divided words whole, misread ones right, and lines run on."""
+    blocks, ldus, profiles, _ = planted
+    got = {}
+    for r in scans.paragraphs(blocks, ldus, profiles).orderBy("unit_id", "paragraph_no").collect():
+        got.setdefault(r.unit_id, []).append(r.text)
+    assert set(got) == {f"b{p}" for p in range(4)}
+    for unit, parts in got.items():
+        text = " ".join(parts)
+        assert "office expenditure reported non-core schedule works, revised household in 2014 with 3,987 of" in text, unit
+        assert "Annual" not in text and "\n" not in text and f"- {int(unit[1]) + 1} -" not in text
+    assert got["b0"][-1].endswith("the payroll of the district") and got["b1"][0].startswith("office and the ledger")
+
+
+def test_paragraph_rules():
+    lines = lambda text: [{"no": n, "line": x, "what": "running" if x == "HEAD" else None} for n, x in enumerate(text.split("\n")) if x]
+    join = {"no": 0, "head": "inter", "tail": "natio-", "tail_no": 1, "token": "", "right": "internatio-"}
+    again = {"no": 1, "head": "natio", "tail": "nal", "tail_no": 2, "token": "", "right": "national"}
+    assert scans.paragraphs_of(lines("some inter-\nnatio-\nnal law"), [], [join, again], []) == ["some international law"]
+    assert scans.paragraphs_of(lines("one two three four\n\nHEAD\n\nfive six seven\n\nnew part"), [], [], []) == ["one two three four five six seven", "new part"]
+    assert scans.paragraphs_of(lines("a long line of words here\nends now.\nAnother paragraph begins"), [], [], []) == ["a long line of words here ends now.", "Another paragraph begins"]
+    word = {"no": 0, "at": 3, "n": 3, "right": "the"}
+    assert scans.paragraphs_of(lines("(a tbe tbe)"), [word], [], []) == ["(a the tbe)"]
+    wrong = {"no": 0, "head": "expen", "tail": "diturc", "tail_no": 1, "token": "", "right": "expenditure"}
+    assert scans.paragraphs_of(lines("an expen-\nditurc, and"), [], [wrong], []) == ["an expenditure, and"]
+    assert scans.paragraphs_of(lines("HEAD"), [], [], []) == []
+
+
 def test_empty_tables(planted):
     blocks, ldus, profiles, _ = planted
     assert scans.found(blocks.limit(0), ldus.limit(0), profiles.limit(0)).count() == 0
