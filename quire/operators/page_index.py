@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import entities, heading_level, shortened, stripped, summary
 from quire.operators.arrivals import first_arrivals
 from quire.operators.chunk import carried, sequenced
+from quire.session import staged
 
 
 def unit_pages(units: DataFrame) -> DataFrame:
@@ -28,6 +29,25 @@ def page_index(units: DataFrame) -> DataFrame:
     )
 
 
+def document_pages(blocks: DataFrame, units: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(doc_id, page, item_count, char_count, data_types) of each page of each document: its blocks and its units.
+
+    A document of which neither names a page has the pages 1 to page_count of its profile, without items.
+    """
+    spans = F.filter(F.transform(F.coalesce("provenance.spans", F.array()), lambda s: s["page"]), lambda p: p > 0)
+    own = first_arrivals(blocks, "block_id", "extracted_at").select("doc_id", F.explode(F.array_distinct(spans)).alias("page"), F.col("block_type").alias("kind"), F.col("text").alias("content"))
+    rows = own.unionByName(unit_pages(units).select("doc_id", "page", F.col("chunk_type").alias("kind"), "content")).where("doc_id is not null")
+    pages = rows.groupBy("doc_id", "page").agg(
+        F.count("*").alias("item_count"), F.sum(F.length(shortened(F.col("content")))).alias("char_count"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("data_types"),
+    )
+    pages = staged(pages, "document-pages")
+    counts = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.greatest(F.coalesce(F.max("page_count"), F.lit(1)), F.lit(1)).alias("n"))
+    bare = counts.join(pages.select("doc_id").distinct(), "doc_id", "left_anti")
+    empty = bare.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("page"), F.lit(0).cast("bigint").alias("item_count"), F.lit(0).cast("bigint").alias("char_count"), F.lit("").alias("data_types"))
+    return pages.unionByName(empty)
+
+
 def sections(units: DataFrame) -> DataFrame:
     """(doc_id, seq, title, level, parent_seq, page_start, page_end, n_units, data_types) of each header's section.
 

@@ -244,6 +244,12 @@ def page_entries(spark: SparkSession, folder: str) -> DataFrame:
     return page_index.page_index(table(spark, folder, "ldus"))
 
 
+@_query()
+def document_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The page index of whole documents: extracted blocks and units of each page, and the pages that have neither."""
+    return page_index.document_pages(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
+
+
 _T = _strip("coalesce(content, '')")
 _LEVEL = (
     "case when regexp_matches(t, '^\\d+\\.\\s') then least(length(regexp_replace(string_split(t, ' ')[1], '[^.]', '', 'g')) + 1, 4) "
