@@ -48,6 +48,14 @@ def document_pages(blocks: DataFrame, units: DataFrame, profiles: DataFrame) ->
     return pages.unionByName(empty)
 
 
+def _placed(units: DataFrame) -> DataFrame:
+    """The units of documents in their order, with their first and last page."""
+    last_page = F.coalesce(F.element_at("page_refs", -1), F.lit(1))
+    first_page = F.coalesce(F.get("page_refs", F.lit(0)), F.lit(1))
+    rows = units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), F.when(F.size("page_refs") > 0, F.col("page_refs")).alias("page_refs"), "ingested_at")
+    return sequenced(rows).withColumn("first_page", first_page).withColumn("last_page", last_page)
+
+
 def sections(units: DataFrame) -> DataFrame:
     """(doc_id, seq, title, level, parent_seq, page_start, page_end, n_units, data_types) of each header's section.
 
@@ -55,11 +63,15 @@ def sections(units: DataFrame) -> DataFrame:
     next header of its level or a smaller one. Units before the first header belong to no section. Levels are four,
     so both are window functions over the headers of a document, one column per level.
     """
-    last_page = F.coalesce(F.element_at("page_refs", -1), F.lit(1))
-    first_page = F.coalesce(F.get("page_refs", F.lit(0)), F.lit(1))
-    rows = units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), F.when(F.size("page_refs") > 0, F.col("page_refs")).alias("page_refs"), "ingested_at")
-    rows = sequenced(rows).withColumn("first_page", first_page).withColumn("last_page", last_page)
-    rows = carried(rows, F.when(F.col("chunk_type") == "header", F.col("seq")), "owner").where("owner is not null")
+    return _header_sections(_owned(_placed(units)))
+
+
+def _owned(placed: DataFrame) -> DataFrame:
+    """The units from the first header on, with the place of the header whose section they are in."""
+    return carried(placed, F.when(F.col("chunk_type") == "header", F.col("seq")), "owner").where("owner is not null")
+
+
+def _header_sections(rows: DataFrame) -> DataFrame:
     member = rows.where("chunk_type <> 'header'").groupBy("doc_id", F.col("owner").alias("seq")).agg(
         F.max("last_page").alias("member_page"), F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types")
     )
@@ -77,6 +89,19 @@ def sections(units: DataFrame) -> DataFrame:
     )
 
 
+def document_sections(units: DataFrame) -> DataFrame:
+    """As `sections`, and one section 'Document' over all units of each document without headers, at seq 1."""
+    placed = staged(_placed(units), "placed-units")
+    headless = placed.groupBy("doc_id").agg(F.max(F.coalesce(F.col("chunk_type") == "header", F.lit(False))).alias("headed")).where("not headed").select("doc_id")
+    pages = F.coalesce("page_refs", F.array(F.lit(1)))
+    root = placed.join(headless, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.lit(1).cast("bigint").alias("seq"), F.lit("Document").alias("title"), F.lit(1).alias("level"), F.lit(None).cast("bigint").alias("parent_seq"),
+        F.coalesce(F.min(F.array_min(pages)), F.lit(1)).alias("page_start"), F.coalesce(F.max(F.array_max(pages)), F.lit(1)).alias("page_end"),
+        F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"),
+    )
+    return _header_sections(_owned(placed)).unionByName(root)
+
+
 def unit_notes(units: DataFrame) -> DataFrame:
     """(ldu_id, level, entities, summary) of each unit: what section nodes are described with."""
     rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")

@@ -272,6 +272,12 @@ def section_tree(spark: SparkSession, folder: str) -> DataFrame:
     return page_index.sections(table(spark, folder, "ldus"))
 
 
+@_query()
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of every document, those without headers as one section."""
+    return page_index.document_sections(table(spark, folder, "ldus"))
+
+
 @_query(rf"""
 with u as (select ldu_id, content, {_T} as t, regexp_extract_all(content, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1) || regexp_extract_all(content, '(?i)\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%') as e from {_FIRST_UNITS} where content is not null),
 f as (select *, list_filter(e, lambda x, i: list_position(e, x) = i) as d, regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)) as s from u)

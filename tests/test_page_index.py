@@ -49,3 +49,25 @@ def test_document_pages_of_the_tables(spark, folder):
     got = [tuple(r) for r in R.document_pages(spark, folder).collect()]
     want = pages_by_loop(*[table(spark, folder, t).collect() for t in ("blocks", "ldus", "profiles")])
     assert len(got) == len(want) and set(got) == want
+
+
+UNIT = "ldu_id string, doc_id string, pos int, chunk_type string, content string, page_refs array<int>, ingested_at timestamp"
+
+
+def made(spark, rows):
+    """Units (doc_id, chunk_type, content, page_refs) in the order given."""
+    return spark.createDataFrame([(f"{d}-{i:05}", d, i, kind, text, pages, datetime.datetime(2024, 1, 1)) for i, (d, kind, text, pages) in enumerate(rows)], UNIT)
+
+
+def test_documents_without_headers_are_one_section(spark):
+    rows = made(spark, [("d", "text", "a", [3, 4]), ("d", "table", "b", [2]), ("d", "text", None, []), ("e", "text", "lost", [1]), ("e", "header", "OVERVIEW", [2]), ("f", "list", "c", None)])
+    got = {(r.doc_id, r.seq, r.title, r.level, r.parent_seq, r.page_start, r.page_end, r.n_units, r.data_types) for r in page_index.document_sections(rows).collect()}
+    assert got == {("d", 1, "Document", 1, None, 1, 4, 3, "table,text"), ("e", 2, "OVERVIEW", 1, None, 2, 2, 1, ""), ("f", 1, "Document", 1, None, 1, 1, 1, "list")}
+
+
+def test_every_document_has_sections(spark, folder):
+    units = table(spark, folder, "ldus").where("ldu_id is not null and doc_id is not null")
+    got = R.document_sections(spark, folder)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in units.select("doc_id").distinct().collect()}
+    columns = R.section_tree(spark, folder).columns
+    assert {tuple(r) for r in got.select(*columns).where("title <> 'Document'").collect()} == {tuple(r) for r in R.section_tree(spark, folder).where("title <> 'Document'").collect()}
