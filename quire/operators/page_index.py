@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import entities, heading_level, shortened, stripped, summary
 from quire.operators.arrivals import first_arrivals
-from quire.operators.chunk import carried, sequenced
+from quire.operators.chunk import BUCKET, carried, sequenced
 from quire.session import staged
 
+# Names, figures and sentences of a section's joined contents, as the refinery's patterns have them.
+NAMES = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+")
+FIGURES = re.compile(r"\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%", re.I)
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+MOST_ENTITIES, SUMMARY_CHARS, ROOT_UNITS = 8, 300, 50
+AROUND = 8  # units before and after a bucket that its texts are read with
+
 
 def unit_pages(units: DataFrame) -> DataFrame:
     """(doc_id, ldu_id, page, chunk_type, content) of each page that a unit lies on."""
@@ -90,7 +101,8 @@ def _header_sections(rows: DataFrame) -> DataFrame:
 
 
 def document_sections(units: DataFrame) -> DataFrame:
-    """As `sections`, and one section 'Document' over all units of each document without headers, at seq 1."""
+    """As `sections` with the entities and summary of each, and one section 'Document' over all units of each document
+    without headers, at seq 1; that one is described by its first 50 units."""
     placed = staged(_placed(units), "placed-units")
     headless = placed.groupBy("doc_id").agg(F.max(F.coalesce(F.col("chunk_type") == "header", F.lit(False))).alias("headed")).where("not headed").select("doc_id")
     pages = F.coalesce("page_refs", F.array(F.lit(1)))
@@ -99,11 +111,60 @@ def document_sections(units: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.array_min(pages)), F.lit(1)).alias("page_start"), F.coalesce(F.max(F.array_max(pages)), F.lit(1)).alias("page_end"),
         F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"),
     )
-    return _header_sections(_owned(placed)).unionByName(root)
+    owned = staged(_owned(placed), "owned-units")
+    first = placed.join(headless, "doc_id", "left_semi").where(F.col("seq") <= ROOT_UNITS).withColumn("owner", F.lit(1).cast("bigint"))
+    notes = section_notes(owned.unionByName(first, allowMissingColumns=True))
+    return _header_sections(owned).unionByName(root).join(notes, ["doc_id", "seq"], "left")
+
+
+def bucket_notes(before: list[str], own: list[str], after: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """The names, figures and first sentences that begin in own, of a text that goes on before and after it."""
+    text = " ".join([*before, *own, *after])
+    start = len(" ".join(before)) + 1 if before else 0
+    stop = start + len(" ".join(own)) + (1 if after else 0)
+    found = lambda p: list(dict.fromkeys(m.group() for m in p.finditer(text) if start <= m.start() < stop))[:MOST_ENTITIES]
+    whole = text if after else text.rstrip()
+    first = 0 if before else len(whole) - len(whole.lstrip())
+    begins = [first, *(m.end() for m in SENTENCE_END.finditer(whole, first))]
+    ends = [*(m.start() for m in SENTENCE_END.finditer(whole, first)), len(whole)]
+    sentences, size = [], 0
+    for i, j in zip(begins, ends):
+        if start <= i < stop and j - i > 20 and size < SUMMARY_CHARS:
+            sentences.append(whole[i : min(j, i + SUMMARY_CHARS + 1)])
+            size += j - i + 1
+    return found(NAMES), found(FIGURES), sentences
+
+
+def section_notes(owned: DataFrame) -> DataFrame:
+    """(doc_id, seq, entities, summary) of each section, over the joined contents of its units in order.
+
+    Texts are read per bucket of positions, with some units around it for what runs over its edges; a section then
+    takes one short row of each of its buckets.
+    """
+    at = F.col("seq") % BUCKET
+    place = lambda shift, role: F.struct((F.col("bucket") + shift).alias("b"), F.lit(role).alias("role"))
+    places = F.array_compact(F.array(place(0, 0), F.when(at >= BUCKET - AROUND, place(1, -1)), F.when(at < AROUND, place(-1, 1))))
+    rows = owned.select("doc_id", "owner", "seq", F.coalesce("content", F.lit("")).alias("content"), F.inline(places))
+    texts = rows.groupBy("doc_id", "owner", "b").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("u"))
+    part = lambda role: F.transform(F.filter("u", lambda x: x["role"] == role), lambda x: x["content"])
+    texts = texts.where(F.exists("u", lambda x: x["role"] == 0)).select("doc_id", "owner", "b", part(-1).alias("before"), part(0).alias("own"), part(1).alias("after"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            notes = [bucket_notes(*map(list, x)) for x in zip(batch["before"], batch["own"], batch["after"])]
+            kept = batch[["doc_id", "owner", "b"]]
+            yield kept.assign(names=[n for n, _, _ in notes], figures=[f for _, f, _ in notes], sentences=[s for _, _, s in notes])
+
+    read_rows = texts.mapInPandas(read, "doc_id string, owner bigint, b bigint, names array<string>, figures array<string>, sentences array<string>")
+    each = read_rows.groupBy("doc_id", F.col("owner").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("b", "names", "figures", "sentences"))).alias("r"))
+    flat = lambda c: F.flatten(F.transform("r", lambda x: x[c]))
+    grown = F.aggregate(flat("sentences"), F.lit(""), lambda acc, s: F.when(F.length(acc) < SUMMARY_CHARS, F.concat(acc, s, F.lit(" "))).otherwise(acc))
+    entities_ = F.slice(F.array_distinct(F.concat(flat("names"), flat("figures"))), 1, MOST_ENTITIES)
+    return each.select("doc_id", "seq", F.array_join(entities_, "; ").alias("entities"), F.substring(stripped(grown), 1, SUMMARY_CHARS).alias("summary"))
 
 
 def unit_notes(units: DataFrame) -> DataFrame:
-    """(ldu_id, level, entities, summary) of each unit: what section nodes are described with."""
+    """(ldu_id, level, entities, summary) of each unit by itself; `section_notes` has those of whole sections."""
     rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")
     c = F.col("content")
     return rows.select("ldu_id", heading_level(c).alias("level"), F.array_join(entities(c), "; ").alias("entities"), summary(c).alias("summary"))

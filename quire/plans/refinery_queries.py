@@ -274,7 +274,7 @@ def section_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def document_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections of every document, those without headers as one section."""
+    """The sections of every document with their entities and summaries, documents without headers as one section."""
     return page_index.document_sections(table(spark, folder, "ldus"))
 
 

@@ -1,6 +1,7 @@
 """Page index and sections of whole documents against plain loops over their rows."""
 
 import datetime
+import re
 
 from quire.operators import page_index
 from quire.plans import refinery_queries as R
@@ -71,3 +72,53 @@ def test_every_document_has_sections(spark, folder):
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in units.select("doc_id").distinct().collect()}
     columns = R.section_tree(spark, folder).columns
     assert {tuple(r) for r in got.select(*columns).where("title <> 'Document'").collect()} == {tuple(r) for r in R.section_tree(spark, folder).where("title <> 'Document'").collect()}
+
+
+def described(text):
+    """Entities and summary of joined contents, as the reference finds them."""
+    found = []
+    for p, flags in ((r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+", 0), (r"\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%", re.I)):
+        for m in re.finditer(p, text, flags):
+            if m.group() not in found:
+                found.append(m.group())
+    out = ""
+    for s in re.split(r"(?<=[.!?])\s+", text.strip()):
+        if len(s) > 20:
+            out += s + " "
+        if len(out) >= 300:
+            break
+    return "; ".join(found[:8]), out.strip()[:300]
+
+
+def notes_by_loop(rows):
+    """{(doc_id, seq): entities and summary} of rows (doc_id, chunk_type, content) in order."""
+    docs, want = {}, {}
+    for r in rows:
+        docs.setdefault(r[0], []).append(r[1:3])
+    for d, units in docs.items():
+        parts, owner = {}, None
+        for i, (kind, text) in enumerate(units, 1):
+            owner = i if kind == "header" else owner
+            if owner:
+                parts.setdefault(owner, []).append(text or "")
+        if not parts:
+            parts = {1: [text or "" for _, text in units[:50]]}
+        want |= {(d, k): described(" ".join(x)) for k, x in parts.items()}
+    return want
+
+
+def test_sections_are_described_over_their_units(spark):
+    rows = [("d", "header", "Loan Portfolio", [1]), ("d", "text", "Development Bank of Tugu reported $5", [1]), ("d", "table", "Million and 12% of all loans. Short one. ", [1]), ("d", "text", None, [1]), ("d", "text", "The second sentence is long enough to be kept.", [1])]
+    rows += [("e", "text", f"Unit {i} of Kedi Water Utility has no header, {i}%.", [1]) for i in range(60)]
+    rows += [("g", "header", "1. Long", [1])] + [("g", "text", "tiny. no." if i != 600 else "Rare Name Here stands late in this section.", [1]) for i in range(1, 1200)]
+    rows += [("h", "header", "x", [1])] + [("h", "text", {510: "first half of Edge", 511: "Name", 512: "Across and $7", 513: "B of sentences that run", 514: "on over the edge."}.get(i, "no."), [1]) for i in range(1, 530)]
+    got = {(r.doc_id, r.seq): (r.entities, r.summary) for r in page_index.document_sections(made(spark, rows)).collect()}
+    assert got == notes_by_loop(rows)
+    assert got["d", 1][0] == "Loan Portfolio Development Bank; $5 Million; 12%" and got["g", 1][0] == "Rare Name Here" and got["h", 1][0].startswith("Edge Name Across; $7 B")
+
+
+def test_section_notes_of_the_tables(spark, folder):
+    rows = table(spark, folder, "ldus").where("ldu_id is not null and doc_id is not null").toPandas().sort_values("ingested_at").drop_duplicates("ldu_id")
+    rows = rows.sort_values(["doc_id", "pos", "ldu_id"])
+    got = {(r.doc_id, r.seq): (r.entities, r.summary) for r in R.document_sections(spark, folder).collect()}
+    assert got == notes_by_loop(rows[["doc_id", "chunk_type", "content"]].itertuples(index=False, name=None))
