@@ -2,23 +2,29 @@
 
 A fact's unit is looked for in its value, its unit column, its field name, the text after the value in the
 source unit, and the title of the source table, in this order; the first place that names a unit holds, and a
-multiplier counts once, from the first place that has one. The distinct spellings found are mapped to unit
-symbols through an inverted index of character n-grams whose candidates a weighted edit distance verifies;
-the resulting alias dictionary is joined to all rows.
+multiplier counts once, from the first place that has one. Texts are read only for facts whose own columns name no
+unit. The distinct spellings found are mapped to unit symbols through an inverted index of character n-grams whose
+candidates a weighted edit distance verifies; the resulting alias dictionary is joined to all rows.
 
-Defined cases: rows whose value is null, is no number, states several numbers or carries words that are no unit
-give no row, nor do counts without a unit. Repeated rows of an id count once. A unit symbol missing from the
-reference is never guessed. Extra columns of the inputs are ignored.
+Units that the reference lacks take part in the index as decoys: a spelling nearer to one of them (sq mi, terawatt-hour,
+millimetre, Mt) names nothing, nor does one that is equally near to two units.
+
+Defined cases, each counted by `readings`: rows whose value is null ('no value'), is no number or states several
+('no single number'), carries words that are no unit ('other words'), counts without a unit ('no unit') and values of
+more than 29 integer digits or beyond bigint thousandths ('too large') are not converted; decimals count to the ninth
+place. Repeated rows of an id count once, rows without an id not at all. Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.keys import sized
 from quire.session import staged
 
 # Usual names and abbreviations of the reference's unit symbols, without plurals and misspellings.
@@ -27,7 +33,7 @@ UNIT_NAMES = {
     "USD": "USD, US$, $, dollar, US dollar, ዶላር",
     "EUR": "EUR, €, euro",
     "GBP": "GBP, £, pound, pound sterling",
-    "kg": "kg, kilogram, kilo",
+    "kg": "kg, kilogram, kilogramme, kilo",
     "g": "g, gram, gramme",
     "t": "t, tonne, metric ton, MT",
     "quintal": "quintal, qt, qtl",
@@ -56,11 +62,23 @@ UNIT_NAMES = {
     "million": "million, M, mn, mln, ሚሊዮን, ሚልዮን",
     "billion": "billion, B, bn, ቢሊዮን",
 }
+# Metric prefixes, what they are put before, and other units and multipliers in use.
+PREFIXES = "tera giga mega kilo hecto deca deci centi milli micro nano"
+STEMS = "metre meter litre liter gram gramme tonne watt watt-hour joule"
+SYMBOLS = {"m": "d m µ u n h", "g": "m µ u n M d c h", "L": "m c d k M µ u", "l": "m c d k M µ u", "t": "k M G", "W": "k M G T m", "Wh": "T m P", "J": "k M G"}
+SMALL_LENGTHS = "mm cm dm mi mile yd yard ft foot feet in inch millimetre millimeter centimetre centimeter decimetre decimeter"
+OTHER_UNITS = (
+    "trillion, quadrillion, zillion, crore, lakh, dozen, hundred, month, year, minute, second, ton, short ton, long ton, ounce, oz, lb, stone, carat, "
+    "gallon, pint, barrel, bbl, teaspoon, foot, feet, inch, yard, nautical mile, furlong, bushel, W, Wh, watt, watt-hour, J, joule, calorie, degree, yen, rupee, "
+    "franc, yuan, rouble, square, cubic, bullion"
+)
 DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹．，٫٬−–‒’ʼ\u00a0\u202f\u2009²³"
 PLAIN = "012345678901234567890123456789.,.,---''   23"
 NUMBER = r"(?:\d{1,3}(?:[ ']\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)*)"
 VALUE = rf"^([^\d(]*?)\s*(\(?)\s*({NUMBER})\s*([-)]?)\s*((?:[^\d\s].*)?)$"
 HEDGE = r"(?i)^\s*(?:~|≈|(?:approximately|approx|about|around|circa|ca|c)\b\.?)\s*"
+VOWELS = set("aeiou")
+GAP = re.compile(r"[ -]+")
 #: A dictionary of at most this many spellings is broadcast; a larger one is joined by shuffle.
 BROADCAST_SPELLINGS = 100_000
 
@@ -95,47 +113,61 @@ def decimal(digits: Column) -> Column:
         .when(thousands, F.regexp_replace(bare, "[.,]", ""))
         .otherwise(as_decimal)
     )
-    return text.try_cast("decimal(18,6)")
+    return text.try_cast("decimal(38,9)")
 
 
-def parsed(facts: DataFrame, ldus: DataFrame) -> DataFrame:
-    """(id, number, five unit phrases by place) of each fact whose value states one number."""
-    texts = ldus.select(F.col("ldu_id").alias("_ldu"), F.col("content"), F.col("chunk_type")).where("ldu_id is not null")
+def parsed(facts: DataFrame) -> DataFrame:
+    """(id, ldu_id, field_name, value, number, why, three unit phrases by place) of each fact; why it states no single number."""
     value = F.trim(F.regexp_replace(plain(F.col("value")), HEDGE, ""))
     part = lambda i: F.regexp_extract("_v", VALUE, i)
-    rows = facts.select("id", "ldu_id", "field_name", "value", "unit", value.alias("_v")).where(F.col("_v").rlike(VALUE))
-    rows = rows.select(
+    rows = facts.where("id is not null").select("id", "ldu_id", "field_name", "value", "unit", value.alias("_v"))
+    size = decimal(part(3))
+    negative = (part(2) == "(") | (part(4) == "-") | part(1).contains("-")
+    field = F.coalesce(F.nullif(F.regexp_extract("field_name", r"\(([^()]*)\)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("field_name", r",\s*([^,]*)$", 1), F.lit("")))
+    stated = F.col("_v").rlike(VALUE)
+    rows = rows.withColumn("_s", F.when(stated, size))
+    digits = F.length(F.regexp_replace(part(3), r"\D", ""))
+    why = F.when(F.col("value").isNull(), "no value").when(~stated, "no single number").when(F.col("_s").isNull(), F.when(digits > 29, "too large").otherwise("no single number"))
+    return rows.select(
         "id", "ldu_id", "field_name", "value",
-        decimal(part(3)).alias("_size"),
-        ((part(2) == "(") | (part(4) == "-") | part(1).contains("-")).alias("_neg"),
+        F.when(negative, -F.col("_s")).otherwise(F.col("_s")).alias("number"),
+        why.alias("why"),
         phrase(F.concat(F.replace(part(1), F.lit("-"), F.lit("")), F.lit(" "), part(5))).alias("in_value"),
         phrase(F.col("unit")).alias("in_unit"),
-        phrase(F.coalesce(F.nullif(F.regexp_extract("field_name", r"\(([^()]*)\)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("field_name", r",\s*([^,]*)$", 1), F.lit("")))).alias("in_field"),
-    ).where("_size is not null")
+        phrase(field).alias("in_field"),
+    )
+
+
+def from_texts(rows: DataFrame, ldus: DataFrame) -> DataFrame:
+    """rows with the unit phrases that follow the fact in its source unit, and that the title of its table ends with."""
+    keys = rows.where("ldu_id is not null").select("ldu_id").distinct()
+    texts = ldus.where("ldu_id is not null and content is not null").select("ldu_id", "content", "chunk_type").join(sized(keys), "ldu_id", "left_semi")
     quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(F.col(c), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
-    after = F.call_function("regexp_extract", F.col("content"), F.concat(quoted("field_name"), F.lit(r"(?: \| |: ?)"), quoted("value"), F.lit(r"(?![.,'   ]?\p{Nd})([^\n]{0,48})")), F.lit(1))
+    after = F.call_function("regexp_extract", F.col("content"), F.concat(quoted("field_name"), F.lit(r"(?: \| |: ?)"), quoted("value"), F.lit(r"(?![.,'   ]?\p{Nd})([^\n]*)")), F.lit(1))
     after = F.regexp_replace(F.regexp_replace(after, r"^\s*\|", ""), r"(?i)\b(cu|sq)\.", "$1")
     title = F.when(F.col("chunk_type") == "table", F.regexp_extract("content", r"^\s*([^\n]*)", 1))
     title = F.coalesce(*(F.nullif(F.regexp_extract(title, p, 1), F.lit("")) for p in (r"[(\[]([^()\[\]]*)[)\]]\s*$", r"figures\s+(?:are\s+)?(.*)$", r",\s*([^,]*)$")))
-    return rows.join(texts, F.col("ldu_id") == F.col("_ldu"), "left").select(
-        "id",
-        F.when(F.col("_neg"), -F.col("_size")).otherwise(F.col("_size")).alias("number"),
-        "in_value", "in_unit", "in_field",
-        phrase(F.regexp_extract(after, r"^([^.;,!?|]*)", 1)).alias("in_text"),
-        phrase(title).alias("in_title"),
-    )
+    both = rows.join(texts, "ldu_id", "left")
+    return both.select(*rows.columns, phrase(F.regexp_extract(after, r"^([^.;,!?|]*)", 1)).alias("in_text"), phrase(title).alias("in_title"))
 
 
-PLACES = ["in_value", "in_unit", "in_field", "in_text", "in_title"]
+OWN_PLACES = ["in_value", "in_unit", "in_field"]
+PLACES = [*OWN_PLACES, "in_text", "in_title"]
 
 
-def lexicon(unit_reference: DataFrame) -> DataFrame:
+def lexicon(unit_reference: DataFrame) -> list[tuple[str, str]]:
     """(name, symbol) of the reference's symbols and of their usual names; as small as these two fixed tables."""
-    spark = unit_reference.sparkSession
-    named = spark.createDataFrame([(n.strip(), s) for s, names in UNIT_NAMES.items() for n in names.split(",")], "name string, symbol string")
-    symbols = unit_reference.select(F.col("unit_symbol").alias("symbol")).where("unit_symbol is not null")
-    own = symbols.select(F.col("symbol").alias("name"), "symbol")
-    return own.unionByName(named.join(symbols, "symbol", "left_semi")).dropDuplicates(["name"])
+    symbols = [r[0] for r in unit_reference.where("unit_symbol is not null").select("unit_symbol").distinct().collect()]
+    named = {n.strip(): s for s, names in UNIT_NAMES.items() if s in symbols for n in names.split(",")}
+    return sorted((named | {s: s for s in symbols}).items())
+
+
+def decoys() -> set[str]:
+    """Names of units and multipliers that spellings must not be taken for, some of them the reference's own."""
+    metric = {p + s for p in PREFIXES.split() for s in STEMS.split()} | {p + s for s, ps in SYMBOLS.items() for p in ps.split()}
+    lengths = {*SMALL_LENGTHS.split(), *(x for x in metric if x.endswith(("metre", "meter")))}
+    powers = {f"{w} {x}" for w in ("sq", "square", "cu", "cubic") for x in lengths} | {x + k for x in ("mm", "cm", "dm", "mi", "ft", "in", "yd") for k in "23"}
+    return metric | powers | {x.strip() for x in OTHER_UNITS.split(",")} | {x.replace("-hour", " hour") for x in metric if x.endswith("-hour")}
 
 
 def grams(text: Column) -> Column:
@@ -144,45 +176,92 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
-def edit_cost(a: str, b: str) -> float:
-    """Weighted edit distance of spelling a from name b: changes of case, vowels, hyphens and a plural s are cheap."""
-
-    def gap(c: str, final: bool) -> float:
-        return 0.2 if c in " -" else 0.3 if final and c in "sS" else 0.4 if c.lower() in "aeiou" else 1.0
-
-    row = [0.0]
-    for j, y in enumerate(b):
-        row.append(row[-1] + gap(y, j == len(b) - 1))
-    for i, x in enumerate(a):
-        new = [row[0] + gap(x, i == len(a) - 1)]
-        for j, y in enumerate(b):
-            swap = 0.0 if x == y else 0.05 if x.lower() == y.lower() else 0.2 if {x, y} == {" ", "-"} else 1.0
-            new.append(min(row[j] + swap, row[j + 1] + gap(x, i == len(a) - 1), new[j] + gap(y, j == len(b) - 1)))
-        row = new
-    return row[-1]
+def _bare(token: str) -> str:
+    """A token in lower case and without a plural s."""
+    low = token.lower()
+    return low[:-1] if len(low) > 3 and low.endswith("s") else low
 
 
-def aliases(spellings: DataFrame, names: DataFrame) -> DataFrame:
-    """(spelling, symbol, cost) of the distinct spellings that lie near a known name.
+def token_cost(a: str, b: str) -> float:
+    """Weighted edit distance of token a from token b of a name; 99 where they are not taken for one word.
 
-    Candidates share at least a third of their bigrams. A spelling of up to three characters may differ from the
-    name in case or a plural s only, a longer one by a fifth of its length.
+    Case, a plural s, doubled letters and vowels are cheap, two letters exchanged count half, a consonant counts 1.
+    Tokens of up to three letters may differ in case and plural only; the first letter must be the same.
     """
+    if a == b:
+        return 0.0
+    case = 0.05 * min(3, sum(x != y for x, y in zip(a, b) if x.lower() == y.lower()))
+    s, t = a.lower(), b.lower()
+    plural = 0.0
+    if s != t and s.endswith("s") != t.endswith("s") and len(s) > 1 and len(t) > 1:
+        plural, s, t = 0.3, s.removesuffix("s"), t.removesuffix("s")
+    if s == t:
+        return case + plural
+    if min(len(s), len(t)) <= 3 or s[0] != t[0]:
+        return 99.0
+
+    def gap(w: str, i: int) -> float:
+        return 0.3 if w[i] == w[i - 1] else 0.4 if w[i] in VOWELS else 1.0
+
+    rows = [[0.0] + [99.0] * len(t)]
+    for j in range(1, len(t) + 1):
+        rows[0][j] = rows[0][j - 1] + gap(t, j - 1)
+    for i in range(1, len(s) + 1):
+        row = [rows[-1][0] + gap(s, i - 1)]
+        for j in range(1, len(t) + 1):
+            x, y = s[i - 1], t[j - 1]
+            swap = 0.0 if x == y else 0.4 if x in VOWELS and y in VOWELS else 1.0
+            best = min(rows[i - 1][j - 1] + swap, rows[i - 1][j] + gap(s, i - 1), row[j - 1] + gap(t, j - 1))
+            if i > 1 and j > 1 and x == t[j - 2] and s[i - 2] == y and x != y:
+                best = min(best, rows[i - 2][j - 2] + 0.5)
+            row.append(best)
+        rows.append(row)
+    cost = case + plural + rows[-1][-1]
+    return cost if cost <= min(0.2 * len(b), 1.5) else 99.0
+
+
+def edit_cost(a: str, b: str, words: frozenset[str]) -> float:
+    """Cost of spelling a for name b, token by token; 99 where a holds one of the unit words that b has not."""
+    if a == b:
+        return 0.0
+    x, y = GAP.split(a), GAP.split(b)
+    one, other = "".join(x), "".join(y)
+    if _bare(one) == _bare(other):
+        return 0.2 * (len(x) != len(y) or GAP.findall(a) != GAP.findall(b)) + token_cost(one, other)
+    own = {_bare(t) for t in y}
+    if any(_bare(t) in words and _bare(t) not in own for t in x):
+        return 99.0
+    if len(x) != len(y):
+        return 0.2 * abs(len(x) - len(y)) + token_cost(one, other)
+    return 0.2 * (GAP.findall(a) != GAP.findall(b)) + sum(map(token_cost, x, y))
+
+
+def aliases(spellings: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """(spelling, symbol, cost) of the distinct spellings that lie nearest to the name of one known unit.
+
+    Candidates share at least a third of their bigrams. Names and decoys are fixed tables, so a spelling has few.
+    """
+    known, others = dict(names), decoys()
+    words = frozenset(_bare(t) for n in {*known, *others} for t in GAP.split(n))
     left = spellings.select("spelling", F.size(grams(F.col("spelling"))).alias("n"), F.explode(grams(F.col("spelling"))).alias("gram"))
-    index = names.select("name", "symbol", F.size(grams(F.col("name"))).alias("m"), F.explode(grams(F.col("name"))).alias("gram"))
-    shared = left.join(index, "gram").groupBy("spelling", "name", "symbol", "n", "m").agg(F.count("*").alias("k"))
+    every = spellings.sparkSession.createDataFrame(sorted((dict.fromkeys(others, "") | known).items()), "name string, symbol string")
+    index = every.select("name", "symbol", F.size(grams(F.col("name"))).alias("m"), F.explode(grams(F.col("name"))).alias("gram"))
+    shared = left.join(F.broadcast(index), "gram").groupBy("spelling", "name", "symbol", "n", "m").agg(F.count("*").alias("k"))
     near = shared.where("k * 3 >= greatest(n, m)")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(cost=[edit_cost(a, b) for a, b in zip(batch["spelling"], batch["name"])])
+            yield batch.assign(cost=[edit_cost(a, b, words) for a, b in zip(batch["spelling"], batch["name"])])
 
-    costed = near.select("spelling", "name", "symbol").mapInPandas(verify, "spelling string, name string, symbol string, cost double")
-    kept = costed.where("cost <= case when length(spelling) <= 3 then 0.35 else 0.2 * length(spelling) end")
-    return kept.groupBy("spelling").agg(F.min_by(F.struct("symbol", "cost"), F.struct("cost", "name")).alias("s")).select("spelling", "s.*")
+    costed = near.select("spelling", "name", "symbol").mapInPandas(verify, "spelling string, name string, symbol string, cost double").where("cost < 99")
+    each = costed.groupBy("spelling", "symbol").agg(F.min("cost").alias("cost"))
+    ranked = each.groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct("cost", "symbol"))).alias("r"))
+    alone = F.get("r", F.lit(1)).isNull() | (F.get("r", F.lit(1))["cost"] > F.get("r", F.lit(0))["cost"])
+    best = ranked.where(alone).select("spelling", F.get("r", F.lit(0)).alias("s")).select("spelling", "s.symbol", "s.cost")
+    return best.where("symbol <> ''")
 
 
-def dictionary(phrases: DataFrame, unit_reference: DataFrame) -> DataFrame:
+def dictionary(phrases: DataFrame, unit_reference: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     """(phrase, common_unit, factor, scale) of each distinct phrase that names a unit, a multiplier or both."""
     words = F.split("phrase", " ")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
@@ -194,39 +273,63 @@ def dictionary(phrases: DataFrame, unit_reference: DataFrame) -> DataFrame:
     ways = F.array(way(0, F.col("phrase"), none), way(1, none, F.col("phrase")), way(2, rest, F.when(more, first)), way(3, start, F.when(more, last)))
     split = phrases.select("phrase", F.inline(ways)).where("unit_part is not null or scale_part is not null")
     spellings = split.select(F.explode(F.array_distinct(F.array_compact(F.array("unit_part", "scale_part")))).alias("spelling")).distinct()
-    known = aliases(spellings, lexicon(unit_reference)).join(
-        unit_reference.select(F.col("unit_symbol").alias("symbol"), "measure", "common_unit", F.col("factor_to_common").cast("decimal(17,7)").alias("factor")).dropDuplicates(["symbol"]), "symbol"
+    known = aliases(spellings, names).join(
+        unit_reference.select(F.col("unit_symbol").alias("symbol"), "measure", "common_unit", F.col("factor_to_common").cast("decimal(24,7)").alias("factor")).dropDuplicates(["symbol"]), "symbol"
     )
     units = known.where("measure <> 'scale'").select(F.col("spelling").alias("unit_part"), "common_unit", "factor", F.col("cost").alias("unit_cost"))
-    scales = known.where("measure = 'scale'").select(F.col("spelling").alias("scale_part"), F.col("factor").cast("decimal(10,0)").alias("scale"), F.col("cost").alias("scale_cost"))
+    scales = known.where("measure = 'scale'").select(F.col("spelling").alias("scale_part"), F.col("factor").cast("decimal(15,0)").alias("scale"), F.col("cost").alias("scale_cost"))
     read = split.join(units, "unit_part", "left").join(scales, "scale_part", "left")
     whole = read.where("(unit_part is null or common_unit is not null) and (scale_part is null or scale is not null)")
     pick = whole.groupBy("phrase").agg(F.min_by(F.struct("common_unit", "factor", "scale"), F.struct(F.expr("coalesce(unit_cost, 0) + coalesce(scale_cost, 0)"), "way")).alias("u"))
     return pick.select("phrase", "u.*")
 
 
-def converted(facts: DataFrame, ldus: DataFrame, unit_reference: DataFrame) -> DataFrame:
-    """(id, common_unit, value_milli, value_common) of each fact that states one measured quantity."""
-    rows = staged(parsed(facts, ldus), "quantities")
-    phrases = rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*PLACES)))).alias("phrase")).distinct()
-    known = staged(dictionary(phrases, unit_reference), "unit-aliases")
+def plain_phrases(names: list[tuple[str, str]], scales: set[str]) -> list[str]:
+    """The phrases that name a unit letter for letter, alone or with a multiplier: some thousands, from the fixed names."""
+    units, times = [n for n, s in names if s not in scales], [n for n, s in names if s in scales]
+    return units + [f"{x} {y}" for u in units for t in times for x, y in ((u, t), (t, u))]
+
+
+def readings(facts: DataFrame, ldus: DataFrame, unit_reference: DataFrame) -> DataFrame:
+    """(id, common_unit, value_milli, value_common, why) of every fact, each once; `why` it is not converted, null where it is."""
+    names = lexicon(unit_reference)
+    scales = {r[0] for r in unit_reference.where("measure = 'scale'").select("unit_symbol").collect()}
+    rows = staged(parsed(facts), "quantities")
+    plain_ = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in plain_phrases(names, scales)) or "null"
+    told = F.expr(" or ".join(f"coalesce({p} in ({plain_}), false)" for p in OWN_PLACES))
+    stated = rows.where("why is null").withColumn("told", told)
+    texted = from_texts(stated.where("not told"), ldus)
+    told_rows = stated.where("told").select("*", *(F.lit(None).cast("string").alias(p) for p in PLACES if p not in OWN_PLACES))
+    keep = ["id", "number", *PLACES]
+    rows_ = staged(texted.select(*keep).unionByName(told_rows.select(*keep)), "quantity-phrases")
+    # a phrase longer than two names with all the letters that the verification lets them gain names nothing
+    longest = 3 * max((len(n) for n, _ in names), default=0) + 8
+    phrases = rows_.select(F.explode(F.array_distinct(F.array_compact(F.array(*PLACES)))).alias("phrase")).where(F.length("phrase") <= longest).distinct()
+    known = staged(dictionary(phrases, unit_reference, names), "unit-aliases")
     if known.count() <= BROADCAST_SPELLINGS:
         known = F.broadcast(known)
+    read = rows_
     for place in PLACES:
-        rows = rows.join(known.select(F.col("phrase").alias(place), F.struct("common_unit", "factor", "scale").alias(f"u_{place}")), place, "left")
+        read = read.join(known.select(F.col("phrase").alias(place), F.struct("common_unit", "factor", "scale").alias(f"u_{place}")), place, "left")
     found = [F.col(f"u_{p}") for p in PLACES]
     unit = F.coalesce(*(F.when(u["common_unit"].isNotNull(), u) for u in found))
-    scale, open_ = None, F.lit(True)
+    scale, open_ = F.lit(None).cast("decimal(15,0)"), F.lit(True)
     for u in found:  # a multiplier holds only from places no later than the one that names the unit
-        here = F.when(open_, u["scale"])
-        scale = here if scale is None else F.coalesce(scale, here)
+        scale = F.coalesce(scale, F.when(open_, u["scale"]))
         open_ = open_ & u["common_unit"].isNull()
-    times = F.coalesce(scale, F.lit(1).cast("decimal(10,0)"))
-    said = rows.where("in_value is null or u_in_value is not null")
-    priced = said.select("id", F.struct(unit["common_unit"].alias("common_unit"), (F.col("number") * unit["factor"]).alias("base"), times.alias("times")).alias("q")).where("q.common_unit is not null")
-    exact = (F.col("q.base") * F.col("q.times")).cast("decimal(38,10)")
-    return (
-        priced.dropDuplicates(["id"])
-        .select("id", F.col("q.common_unit").alias("common_unit"), F.round(exact * 1000, 0).try_cast("bigint").alias("value_milli"), exact.alias("value_common"))
-        .where("value_milli is not null")
-    )
+    why = F.when(F.col("in_value").isNotNull() & F.col("u_in_value").isNull(), "other words").when(unit.isNull(), "no unit")
+    done = read.select("id", "number", unit.alias("unit"), scale.alias("times"), why.alias("why"))
+    unread = rows.where("why is not null").select("id", "number", F.lit(None).cast(done.schema["unit"].dataType).alias("unit"), F.lit(None).cast("decimal(15,0)").alias("times"), "why")
+    every = unread.unionByName(done)
+    # exact in whole numbers: billionths of the number times ten-millionths of the factor
+    whole = F.try_multiply((F.col("number") * F.lit(10**9)).cast("decimal(38,0)"), (F.col("unit.factor") * F.lit(10**7)).cast("decimal(24,0)")).cast("decimal(38,0)")
+    whole = F.try_multiply(whole, F.coalesce("times", F.lit(1).cast("decimal(15,0)"))).cast("decimal(38,0)")
+    priced = every.select("id", F.when(F.col("why").isNull(), F.col("unit.common_unit")).alias("common_unit"), F.when(F.col("why").isNull(), whole).alias("w"), "why")
+    milli = F.expr("try_cast(sign(w) * ((abs(w) + 5000000000000bd - (abs(w) + 5000000000000bd) % 10000000000000bd) / 10000000000000bd) as bigint)")
+    out = priced.dropDuplicates(["id"]).withColumn("value_milli", milli).withColumn("value_common", (F.col("w") / F.lit(10**16)).cast("decimal(38,10)"))
+    return out.select("id", "common_unit", "value_milli", "value_common", F.coalesce("why", F.when(F.col("value_milli").isNull(), "too large")).alias("why"))
+
+
+def converted(facts: DataFrame, ldus: DataFrame, unit_reference: DataFrame) -> DataFrame:
+    """(id, common_unit, value_milli, value_common) of each fact that states one measured quantity."""
+    return readings(facts, ldus, unit_reference).where("why is null").drop("why")
