@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import language, mixing, packing, scans, sentences, spam
-from quire.llm.keys import documents_of, sized
+from quire.operators.keys import documents_of, sized
 from quire.sources.tables import table
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.keys import documents_of, sized
+from quire.operators.keys import documents_of, sized
 from quire.session import staged
 
 # What recognition makes of characters, as right:wrong.
