@@ -1,11 +1,11 @@
-"""Column functions on text that the refinery's stages share."""
+"""Column functions on text that the stages share."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The refinery's patterns, as they must be for equal results.
+# Patterns, as they must be for equal results.
 HEADING = r"^(\d+[\.\d]*\.?\s+[A-Z].{3,80}|[A-Z][A-Z\s,&/:\-()]{5,79})$"
 CAPTION = r"(?i)^(Figure|Fig\.?|Table|Exhibit|Chart)\s*\d+"
 TITLE = r"^[A-Z][A-Za-z0-9\s,&/\-()]{3,}$"

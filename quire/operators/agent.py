@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import NUMBER_TOPIC
 from quire.operators.arrivals import first_arrivals
-from quire.operators.search import keyword_top
+from quire.operators.facts import provenance
+from quire.operators.keys import sized
+from quire.operators.search import asked_words, holders, keyword_top
+from quire.session import staged
 
 # Question templates by domain, words that tell the domain, and titles that make no topic.
 TEMPLATES = {
@@ -74,10 +77,14 @@ def questions(page_indexes: DataFrame, section: DataFrame) -> DataFrame:
     return each.select("index_id", "doc_id", (F.col("question_no") + 1).alias("question_no"), "question")
 
 
+def _snippets(units: DataFrame, size: int) -> DataFrame:
+    return first_arrivals(units.select("ldu_id", "ingested_at", F.substring("content", 1, size).alias("snippet")), "ldu_id", "ingested_at").drop("ingested_at")
+
+
 def answered(asked: DataFrame, units: DataFrame, snippet: int = 300) -> DataFrame:
     """asked (doc_id, question, ...) with the answer from the best unit of the question's own document, and its id."""
     best = keyword_top(units, asked.select("doc_id", "question").distinct(), most=1, within="doc_id")
-    texts = first_arrivals(units, "ldu_id", "ingested_at").select("ldu_id", F.substring("content", 1, snippet).alias("snippet"))
+    texts = _snippets(units, snippet)
     hits = best.join(texts, "ldu_id").select("doc_id", "question", "ldu_id", "snippet")
     return asked.join(hits, ["doc_id", "question"], "left").select(*asked.columns, F.coalesce("snippet", F.lit(NO_ANSWER)).alias("answer"), "ldu_id")
 
@@ -107,7 +114,7 @@ def verified(claims: DataFrame, units: DataFrame) -> DataFrame:
     in the first 300 characters decides. Without such a unit the verdict is not_found with overlap 0.
     """
     top = keyword_top(units, claims.select("doc_id", F.col("claim").alias("question")).distinct(), most=8, within="doc_id").withColumnRenamed("question", "claim")
-    texts = first_arrivals(units, "ldu_id", "ingested_at").select("ldu_id", F.substring("content", 1, 300).alias("snippet"))
+    texts = _snippets(units, 300)
     mine = _words(F.col("claim"))
     held = top.join(texts, "ldu_id").withColumn("overlap", F.size(F.array_intersect(mine, _words(F.col("snippet")))) / F.greatest(F.size(mine), F.lit(1)))
     best = held.groupBy("doc_id", "claim").agg(F.max_by(F.struct("overlap", "ldu_id"), F.struct(F.col("overlap"), -F.col("rank"))).alias("b"))
@@ -117,18 +124,51 @@ def verified(claims: DataFrame, units: DataFrame) -> DataFrame:
     return both.select(*claims.columns, verdict.alias("verdict"), overlap.alias("overlap"), F.when(overlap > 0.1, F.col("b.ldu_id")).alias("evidence_ldu"))
 
 
-def section_top(section: DataFrame, asked: DataFrame, most: int = 3) -> DataFrame:
-    """(question, rank, index_id, node_path, score): the sections whose title, summary and entities name the question most.
+def section_top(section: DataFrame, asked: DataFrame, most: int = 3, within: str | None = None) -> DataFrame:
+    """(question, [within,] rank, index_id, node_path, score): the sections whose title, summary and entities name the question most.
 
-    asked is a stated set of questions, each held against all sections.
+    asked is a stated set of questions, each held against all sections, with `within` against those of its own value.
+    Question words are looked up in the distinct words of the sections and counted from there; a whole question
+    in a title, which has all its words there, counts on top.
+    """
+    own = [within] if within else []
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    entities_ = F.array_join(F.coalesce("key_entities", F.array()), "\n")
+    fields = F.array(*(F.struct(text(c).alias("text"), F.lit(w).alias("weight")) for c, w in ((F.col("title"), 2.0), (F.col("summary"), 0.5), (entities_, 1.0))))
+    rows = staged(section.select("index_id", "node_path", "pre", text(F.col("title")).alias("t"), F.inline(fields)), "section-texts")
+    words = staged(asked_words(asked.where("question <> ''").select("question", *own).distinct(), own), "asked-words")
+    each = rows.select("index_id", "pre", "weight", F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
+    holding = sized(staged(holders(each.select("token").distinct(), words.select("word").distinct()), "word-holders"))
+    counts = each.join(holding, "token").groupBy("index_id", "pre", "word").agg(F.sum(F.col("weight") * F.col("times")).alias("n"))
+    hits = counts.join(sized(words), [*own, "word"]).groupBy("question", *(c for c in own if c != "index_id"), "index_id", "pre").agg(F.sum(F.col("n") * F.col("asked")).alias("score"))
+    titles = rows.where("weight = 2.0").select("index_id", "pre", "node_path", "t")
+    q = F.lower("question")
+    whole = F.floor((F.length("t") - F.length(F.replace(F.col("t"), q))) / F.length(q))
+    met = hits.join(titles, ["index_id", "pre"]).withColumn("score", F.col("score") + 3 * whole)
+    order = Window.partitionBy("question", *own).orderBy(F.desc("score"), "index_id", "pre")
+    kept = met.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return kept.select("question", *(c for c in own if c != "index_id"), "rank", "index_id", "node_path", "score")
+
+
+def ask(asked: DataFrame, units: DataFrame, section: DataFrame, facts: DataFrame, most: int = 5) -> DataFrame:
+    """asked (index_id, doc_id, question, ...) with the answer, its evidence and where that stands, a row for each question.
+
+    answer: the best unit's first 300 characters; snippets, ldu_ids, pages and hashes: those of the three best of `most` units of
+    the question's document; sections: the titles' paths of the three best sections of its index; fact_ids: the first five
+    facts about the first word of numbers that it has, over all documents; tools: what was asked for it.
     """
-    count = lambda text, w: F.floor((F.length(text) - F.length(F.replace(text, w))) / F.length(w))
-    title, told = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("summary", F.lit("")))
-    rows = section.select("index_id", "node_path", "pre", title.alias("t"), told.alias("s"), F.lower(F.array_join(F.coalesce("key_entities", F.array()), "\n")).alias("e"))
-    q = asked.where("question <> ''").select("question", F.lower("question").alias("topic")).distinct()
-    per_word = lambda w: count(F.col("t"), w) * 2 + count(F.col("s"), w) * 0.5 + count(F.col("e"), w)
-    some = F.exists(F.split("topic", r"\s+"), lambda w: F.col("t").contains(w) | F.col("s").contains(w) | F.col("e").contains(w))
-    met = rows.join(q, some)
-    score = count(F.col("t"), F.col("topic")) * 3 + F.aggregate(F.filter(F.split("topic", r"\s+"), lambda w: w != ""), F.lit(0.0), lambda a, w: a + per_word(w))
-    order = Window.partitionBy("question").orderBy(F.desc("score"), "index_id", "pre")
-    return met.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question", "rank", "index_id", "node_path", "score")
+    best = keyword_top(units, asked.select("doc_id", "question").distinct(), most=most, within="doc_id").where("rank <= 3")
+    where = provenance(units).select("ldu_id", "content_hash", F.transform("spans", lambda x: x["page"]).alias("pages"))
+    hits = best.join(_snippets(units, 300), "ldu_id").join(where, "ldu_id")
+    found = hits.groupBy("doc_id", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "ldu_id", "snippet", "pages", "content_hash"))).alias("h"))
+    paths = section_top(section, asked.select("index_id", "question").distinct(), within="index_id").groupBy("index_id", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "node_path"))).alias("s"))
+    told = question_facts(asked.select("question").distinct(), facts).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("f"))
+    rows = asked.join(found, ["doc_id", "question"], "left").join(paths, ["index_id", "question"], "left").join(told, "question", "left")
+    part = lambda a, c, by: F.coalesce(F.array_join(F.transform(a, lambda x: x[c].cast("string")), by), F.lit(""))
+    pages = F.coalesce(F.array_join(F.transform("h", lambda x: F.array_join(x["pages"].cast("array<string>"), ",")), "; "), F.lit(""))
+    numbered = F.col("question").rlike(NUMBER_TOPIC)
+    return rows.select(
+        *asked.columns, F.coalesce(F.get("h", F.lit(0))["snippet"], F.lit(NO_ANSWER)).alias("answer"), part("h", "ldu_id", "; ").alias("ldu_ids"),
+        pages.alias("pages"), part("h", "content_hash", "; ").alias("hashes"), part("s", "node_path", "; ").alias("sections"), part("f", "id", "; ").alias("fact_ids"),
+        F.when(numbered, "pageindex_navigate, semantic_search, structured_query").otherwise("pageindex_navigate, semantic_search").alias("tools"),
+    )

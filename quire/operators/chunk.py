@@ -5,19 +5,25 @@ lines; R4 headers stand alone and name the section of what follows; R5 cross-ref
 merged greedily while their contents together stay within a size.
 
 Order within a document is `pos`. A document may hold a large share of all rows: what runs through a document
-(the section in force, the runs of units between barriers) is found per bucket of positions first and carried over
-buckets as one row each, so that no task holds a document.
+(the section in force, the runs of units between barriers, the chunk that is open where a bucket ends) is found per
+bucket of positions first and carried over buckets as one row each, so that no task holds a document. Roles and
+chunks are decided on types and lengths alone; contents are joined once, at the end.
 
 Defined cases: null contents count as empty; repeated units of an id count once; documents without headers have no
-section; a unit larger than the size is a chunk of its own; equal positions are ordered by id.
+section; a unit larger than the size is a chunk of its own; equal positions are ordered by id; a unit without a type
+is merged like text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import CAPTION, content_hash, cross_references, stripped, word_count
+from quire.functions.text import CAPTION, CROSS_REFERENCE, content_hash, cross_references, stripped, word_count
 from quire.operators.arrivals import first_arrivals
 from quire.session import staged
 
@@ -25,13 +31,15 @@ from quire.session import staged
 CHUNK_TYPES = {"text": "text", "table": "table", "figure": "figure", "header": "header", "footer": "text", "list": "list", "section_header": "header", "caption": "figure"}
 MAX_CHARS = 1200
 BUCKET = 512  # positions of a document that one window takes
+UNPLACED = 1 << 16  # buckets over which a document's units without a position are spread; they come first, by a hash of their ids
 
 
 def logical_units(blocks: DataFrame) -> DataFrame:
     """(ldu_id, doc_id, pos, chunk_type, content, token_count, content_hash, first_page, pages, x0..y1) of blocks with text."""
-    rows = first_arrivals(blocks, "block_id", "extracted_at").withColumn("content", stripped(F.coalesce(F.col("text"), F.lit(""))))
+    slim = blocks.select("block_id", "extracted_at", "doc_id", "pos", "block_type", "provenance.spans", stripped(F.coalesce(F.col("text"), F.lit(""))).alias("content"))
+    rows = first_arrivals(slim, "block_id", "extracted_at")
     kinds = F.create_map(*[F.lit(x) for pair in CHUNK_TYPES.items() for x in pair])
-    spans = F.coalesce(F.col("provenance.spans"), F.array())
+    spans = F.coalesce(F.col("spans"), F.array())
     pages = F.array_sort(F.array_distinct(F.filter(F.transform(spans, lambda s: s["page"]), lambda p: p > 0)))
     box = F.get(F.filter(F.transform(spans, lambda s: s["bbox"]), lambda b: F.size(b) > 0), F.lit(0))
     side = lambda i, default: F.coalesce(F.get(box, F.lit(i)), F.lit(default))
@@ -45,20 +53,31 @@ def logical_units(blocks: DataFrame) -> DataFrame:
     )
 
 
-def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """rows (doc_id, seq, bucket) with the last value that is not null at or before each row of its document."""
-    held = rows.withColumn("_v", value)
-    last = held.where("_v is not null").groupBy("doc_id", "bucket").agg(F.max_by("_v", "seq").alias("_b"))
-    every = held.select("doc_id", "bucket").distinct().join(last, ["doc_id", "bucket"], "left")
-    before = Window.partitionBy("doc_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    passed = every.select("doc_id", "bucket", F.last("_b", ignorenulls=True).over(before).alias("_p"))
-    here = Window.partitionBy("doc_id", "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return held.join(passed, ["doc_id", "bucket"]).withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(here), F.col("_p"))).drop("_v", "_p")
+def carried(rows: DataFrame, values: dict[str, Column], back: bool = False, strict: bool = False) -> DataFrame:
+    """rows (doc_id, seq, bucket) with, for each name, the last value that is not null at or before each row of its document.
+
+    back: the first one at or after it; strict: the row's own value does not count.
+    """
+    held = rows.select("*", *(v.alias(f"_v_{n}") for n, v in values.items()))
+    edge = F.min_by if back else F.max_by
+    last = [edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("seq"))).alias(f"_b_{n}") for n in values]
+    every = held.groupBy("doc_id", "bucket").agg(*last)
+    way = F.desc if back else F.asc
+    before = Window.partitionBy("doc_id").orderBy(way("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    passed = every.select("doc_id", "bucket", *(F.last(f"_b_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in values))
+    here = Window.partitionBy("doc_id", "bucket").orderBy(way("seq")).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    both = held.join(passed, ["doc_id", "bucket"])
+    found = [F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(here), F.col(f"_p_{n}")).alias(n) for n in values]
+    return both.select(*rows.columns, *found)
 
 
 def sequenced(units: DataFrame) -> DataFrame:
-    """units, each once, with `seq`: their place in the document without gaps, and its bucket."""
-    rows = first_arrivals(units, "ldu_id", "ingested_at").where("doc_id is not null").withColumn("_b", F.floor(F.coalesce("pos", F.lit(0)) / BUCKET))
+    """units, each once, with `seq`: their place in the document without gaps, and its bucket.
+
+    What is given is shuffled and written once: give lengths and flags in place of contents.
+    """
+    rows = first_arrivals(units, "ldu_id", "ingested_at").where("doc_id is not null").withColumn("_b", F.coalesce(F.floor(F.col("pos") / BUCKET), F.pmod(F.xxhash64("ldu_id"), F.lit(UNPLACED)) - UNPLACED))
+    rows = staged(rows, "arrived-units")
     counts = rows.groupBy("doc_id", "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("doc_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("doc_id", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
@@ -67,6 +86,12 @@ def sequenced(units: DataFrame) -> DataFrame:
     return placed.withColumn("bucket", F.floor(F.col("seq") / BUCKET)).drop("_b", "_o")
 
 
+def with_contents(rows: DataFrame, units: DataFrame, *columns: str) -> DataFrame:
+    """rows (ldu_id, ingested_at, ...) with columns of the units they stand for; exact copies of a unit come along."""
+    held = units.where("ldu_id is not null").select(F.col("ldu_id").alias("_id"), F.col("ingested_at").alias("_at"), *columns)
+    return rows.join(held, (F.col("ldu_id") == F.col("_id")) & F.col("ingested_at").eqNullSafe(F.col("_at"))).drop("_id", "_at")
+
+
 def list_parts(text: Column, size: int = MAX_CHARS) -> Column:
     """The parts of a list, split at lines: a line opens a new part where it would make the part too long."""
     none = F.array().cast("array<string>")
@@ -83,77 +108,165 @@ def list_parts(text: Column, size: int = MAX_CHARS) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_compact(F.concat(acc["done"], F.array(acc["part"]))))
 
 
-def _groups(sizes: Column, size: int) -> Column:
-    """Number of the group of each content length when lengths are added up greedily to at most size."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+def openings(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a chunk opened at each unit of a bucket: where the next opens, and the sum and place of the one open at the end."""
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    nxt = np.maximum(np.searchsorted(total, total[:-1] + most, side="right") - 1, np.arange(1, n + 1))
+    left, last = np.zeros(n, dtype=np.int64), np.arange(n)
+    for j in range(n - 1, -1, -1):
+        if nxt[j] >= n:
+            left[j] = min(total[n] - total[j], most + 1)
+        else:
+            left[j], last[j] = left[nxt[j]], last[nxt[j]]
+    return nxt, left, last
 
-    def step(acc: Column, n: Column) -> Column:
-        full = (F.size(acc["out"]) > 0) & (acc["sum"] + n > size)
-        g = F.when(full, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(g.alias("g"), F.when(full, n).otherwise(acc["sum"] + n).cast("int").alias("sum"), F.concat(acc["out"], F.array(g)).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+def first_opening(sizes: np.ndarray, held: int, most: int) -> int:
+    """The first unit of a bucket that a chunk holding `held` characters (-1: none is open) cannot take; past the end if none."""
+    return 0 if held < 0 else max(0, int(np.searchsorted(np.concatenate([[0], np.cumsum(sizes)]), most - held, side="right")) - 1)
 
 
-def chunked(units: DataFrame, size: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, seq, part, ldu_id, chunk_type, content, parent_section, content_hash, n_units, cross_refs) of the chunks.
+def passage(sizes: np.ndarray, seqs: np.ndarray, most: int) -> list[dict]:
+    """What a bucket makes of each sum that the chunk open before it may hold, as steps (from, shift, left, opened).
 
-    Greedy merging goes on between barriers (units that stand alone); a run of more than BUCKET units without one
-    is merged BUCKET units at a time.
+    From that sum on: with shift the sum grows by the bucket's own, else the chunk opened at `opened` holds `left`.
     """
-    seq = staged(sequenced(units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), "content_hash", "ingested_at")), "sequenced-units")
-    bare = stripped(F.col("content"))
-    slim = seq.select("doc_id", "seq", "bucket", "chunk_type", F.when(F.col("chunk_type") == "header", bare).alias("title"), F.when(bare.rlike(CAPTION), bare).alias("caption_text"))
-    before = slim.select("doc_id", (F.col("seq") + 1).alias("seq"), F.col("chunk_type").alias("type_before"))
-    after = slim.where("caption_text is not null").select("doc_id", (F.col("seq") - 1).alias("seq"), F.col("caption_text").alias("next_caption"))
-    slim = slim.join(before, ["doc_id", "seq"], "left").join(after, ["doc_id", "seq"], "left")
-    slim = staged(slim.withColumn("caption", F.coalesce((F.col("type_before") == "figure") & F.col("caption_text").isNotNull(), F.lit(False))), "unit-flags")
+    _, left, last = openings(sizes, most)
+    steps = [{"from": -1, "shift": False, "left": int(left[0]), "opened": int(seqs[last[0]])}]
+    held, total = 0, int(sizes.sum())
+    if total <= most:
+        steps.append({"from": 0, "shift": True, "left": total, "opened": -1})
+        held = most - total + 1
+    for h in range(held, most + 2):
+        k = min(first_opening(sizes, h, most), len(sizes) - 1)
+        step = {"shift": False, "left": int(left[k]), "opened": int(seqs[last[k]])}
+        if {x: steps[-1][x] for x in step} != step or h == 0:
+            steps.append({"from": h, **step})
+    return steps
+
+
+def entries(buckets: list[dict]) -> list[tuple[int, int, int]]:
+    """(bucket, held, opened): the chunk open before each bucket of a run, given the buckets' passages in order."""
+    held, opened, out = -1, -1, []
+    for x in buckets:
+        out.append((x["b"], held, opened))
+        step = [s for s in x["steps"] if s["from"] <= held][-1]
+        held, opened = (held + step["left"], opened) if step["shift"] else (step["left"], step["opened"])
+    return out
+
+
+def merged_runs(loose: DataFrame, size: int) -> DataFrame:
+    """(doc_id, seq, chunk_seq) of units (doc_id, seq, run, n): the first unit of the chunk that each is merged into.
+
+    Lengths n are added up greedily to at most size along each run. Each bucket's passage from the sum before it to the
+    sum after it is found by itself; a run folds one short row of each bucket, and the buckets then cut their chunks.
+    """
+    packs = loose.groupBy("doc_id", "run", F.floor((F.col("seq") - F.col("run")) / BUCKET).alias("b")).agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("u"))
+    packs = staged(packs.select("doc_id", "run", "b", F.transform("u", lambda x: x["seq"]).alias("seqs"), F.transform("u", lambda x: x["n"]).alias("sizes")), "unit-runs")
+    long = packs.where("b > 0").select("doc_id", "run").distinct()
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[["doc_id", "run", "b"]].assign(steps=[passage(np.asarray(n), np.asarray(s), size) for n, s in zip(x["sizes"], x["seqs"])])
+
+    steps = packs.join(long, ["doc_id", "run"], "left_semi").mapInPandas(passages, "doc_id string, run bigint, b bigint, steps array<struct<from:int,shift:boolean,left:int,opened:bigint>>")
+    runs = steps.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("b", "steps"))).alias("buckets"))
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(d, r, *e) for d, r, buckets in zip(x["doc_id"], x["run"], x["buckets"]) for e in entries(buckets)]
+            yield pd.DataFrame(rows, columns=["doc_id", "run", "b", "held", "opened"])
+
+    before = runs.mapInPandas(folded, "doc_id string, run bigint, b bigint, held int, opened bigint")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for doc, seqs, sizes, held, opened in zip(x["doc_id"], x["seqs"], x["sizes"], x["held"], x["opened"]):
+                sizes, seqs = np.asarray(sizes), np.asarray(seqs)
+                nxt, _, _ = openings(sizes, size)
+                k = first_opening(sizes, held, size)
+                start = np.full(len(seqs), opened, dtype=np.int64)
+                while k < len(seqs):
+                    start[k : nxt[k]] = seqs[k]
+                    k = nxt[k]
+                yield pd.DataFrame({"doc_id": doc, "seq": seqs, "chunk_seq": start})
+
+    every = packs.join(before, ["doc_id", "run", "b"], "left").fillna(-1, ["held", "opened"])
+    return every.mapInPandas(cut, "doc_id string, seq bigint, chunk_seq bigint")
+
+
+def roles(units: DataFrame, size: int = MAX_CHARS) -> DataFrame:
+    """(ldu_id, ingested_at, doc_id, seq, chunk_seq, taken, parent_section): the chunk of each unit, told without contents."""
+    bare = stripped(F.coalesce("content", F.lit("")))
+    slim = units.select(
+        "ldu_id", "doc_id", "pos", "chunk_type", "ingested_at", F.length(F.coalesce("content", F.lit(""))).alias("n"),
+        F.when(F.col("chunk_type") == "header", bare).alias("title"), bare.rlike(CAPTION).alias("captions"),
+    )
+    # each bucket takes the last row of the one before, so that every row sees the one before it
+    at = F.col("seq") % BUCKET
+    place = lambda shift, role: F.struct((F.col("bucket") + shift).alias("b"), F.lit(role).alias("role"))
+    twice = sequenced(slim).select("*", F.inline(F.array_compact(F.array(place(0, 0), F.when(at == BUCKET - 1, place(1, -1))))))
+    before = F.lag("chunk_type").over(Window.partitionBy("doc_id", "b").orderBy("seq"))
+    rows = twice.withColumn("caption", F.coalesce((before == "figure") & F.col("captions"), F.lit(False))).where("role = 0").drop("b", "role", "captions")
+    rows = staged(rows, "unit-flags")
     # a caption is taken up unless its figure was itself taken up: every second one of a run
-    slim = carried(slim, F.when(~F.col("caption"), F.col("seq")), "run_start")
-    slim = slim.withColumn("taken", F.col("caption") & ((F.col("seq") - F.col("run_start")) % 2 == 1))
-    slim = staged(slim.withColumn("alone", F.col("chunk_type").isin("header", "table", "figure", "list") & ~F.col("taken")), "unit-roles")
-    slim = carried(slim, F.when(F.col("alone") | F.col("taken"), F.col("seq")), "barrier")
-    slim = carried(staged(slim, "unit-barriers"), F.col("title"), "parent_section")
-    roles = slim.select("doc_id", "seq", "taken", "alone", "barrier", "parent_section", "next_caption")
-    rows = staged(seq.join(roles, ["doc_id", "seq"]), "unit-rows")
-    takes = (F.col("chunk_type") == "figure") & F.col("next_caption").isNotNull()
-    single = rows.where("alone").withColumn(
-        "content", F.when(takes, F.concat(F.regexp_replace("content", r"\s+$", ""), F.lit("\n[Caption]: "), F.col("next_caption"))).otherwise(F.col("content"))
+    rows = carried(rows, {"run_start": F.when(~F.col("caption"), F.col("seq"))})
+    rows = rows.withColumn("taken", F.col("caption") & ((F.col("seq") - F.col("run_start")) % 2 == 1))
+    alone = F.coalesce(F.col("chunk_type").isin("header", "table", "figure", "list"), F.lit(False)) & ~F.col("taken")
+    rows = staged(rows.withColumn("alone", alone).drop("caption", "run_start"), "unit-roles")
+    rows = staged(carried(rows, {"barrier": F.when(F.col("alone") | F.col("taken"), F.col("seq")), "parent_section": F.col("title")}).drop("title"), "unit-barriers")
+    merged = merged_runs(rows.where("not alone and not taken").select("doc_id", "seq", F.coalesce("barrier", F.lit(0)).alias("run"), "n"), size)
+    keep = ["ldu_id", "ingested_at", "doc_id", "seq", "chunk_seq", "taken", "parent_section"]
+    stand = rows.where("alone or taken").withColumn("chunk_seq", F.when(F.col("taken"), F.col("seq") - 1).otherwise(F.col("seq")))
+    return stand.select(*keep).unionByName(rows.where("not alone and not taken").join(merged, ["doc_id", "seq"]).select(*keep))
+
+
+def chunked(units: DataFrame, size: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, seq, part, ldu_id, chunk_type, content, parent_section, content_hash, n_units, cross_refs) of the chunks."""
+    rows = with_contents(roles(units, size), units, "chunk_type", "content", "content_hash").withColumn("content", F.coalesce("content", F.lit("")))
+    packs = rows.groupBy("doc_id", "chunk_seq").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "taken", "ldu_id", "chunk_type", "content", "content_hash"))).alias("u"), F.max("parent_section").alias("parent_section")
     )
+    once = packs.withColumn("u", F.filter("u", lambda x, i: (i == 0) | (F.get("u", i - 1)["seq"] != x["seq"])))
+    own = F.filter("u", lambda x: ~x["taken"])
+    caption = F.get(F.filter("u", lambda x: x["taken"]), F.lit(0))["content"]
+    head = F.get("own", F.lit(0))
+    text = F.array_join(F.filter(F.transform("own", lambda x: stripped(x["content"])), lambda x: x != ""), "\n\n")
+    named = F.concat(F.regexp_replace(head["content"], r"\s+$", ""), F.lit("\n[Caption]: "), stripped(F.col("caption")))
+    several = F.size("own") > 1
+    made = once.select("doc_id", F.col("chunk_seq").alias("seq"), "parent_section", own.alias("own"), caption.alias("caption")).select(
+        "doc_id", "seq", head["ldu_id"].alias("ldu_id"), F.when(several, "text").otherwise(head["chunk_type"]).alias("chunk_type"),
+        F.when(several, text).when(F.col("caption").isNotNull(), named).otherwise(head["content"]).alias("content"),
+        "parent_section", F.element_at("own", -1)["content_hash"].alias("content_hash"), F.size("own").alias("n_units"),
+    )
     parts = F.when((F.col("chunk_type") == "list") & (F.length("content") > size), list_parts(F.col("content"), size)).otherwise(F.array("content"))
-    split = single.withColumn("refs", cross_references(F.col("content"))).select("*", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "piece"))
-    stand = split.select(
+    split = made.withColumn("refs", cross_references(F.col("content"))).select("*", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "piece"))
+    return split.select(
         "doc_id", "seq", "part", F.when(F.col("n_parts") > 1, F.concat("ldu_id", F.lit("-part"), "part")).otherwise(F.col("ldu_id")).alias("ldu_id"),
-        "chunk_type", F.col("piece").alias("content"), "parent_section", "content_hash", F.lit(1).alias("n_units"), "refs",
+        "chunk_type", F.col("piece").alias("content"), "parent_section", "content_hash", "n_units", F.array_join("refs", "; ").alias("cross_refs"),
     )
-    loose = rows.where("not alone and not taken").groupBy("doc_id", F.coalesce("barrier", F.lit(0)).alias("barrier"), F.floor((F.col("seq") - F.coalesce("barrier", F.lit(0))) / BUCKET).alias("bucket")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "ldu_id", "chunk_type", "content", "content_hash", "parent_section"))).alias("u")
-    )
-    numbered = loose.withColumn("g", _groups(F.transform("u", lambda x: F.length(x["content"])), size))
-    each = numbered.select("doc_id", "bucket", "barrier", F.inline(F.arrays_zip("u", "g"))).select("doc_id", "bucket", "barrier", "g", "u.*")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: stripped(x["content"]))
-    merged = each.groupBy("doc_id", "bucket", "barrier", "g").agg(
-        F.min("seq").alias("seq"), F.min_by("ldu_id", "seq").alias("ldu_id"), F.min_by("chunk_type", "seq").alias("one_type"),
-        F.min_by("content", "seq").alias("one"), F.array_join(F.filter(text, lambda x: x != ""), "\n\n").alias("many"),
-        F.max_by("content_hash", "seq").alias("content_hash"), F.max("parent_section").alias("parent_section"), F.count("*").cast("int").alias("n_units"),
-    )
-    merged = merged.select(
-        "doc_id", "seq", F.lit(0).alias("part"), "ldu_id", F.when(F.col("n_units") > 1, "text").otherwise(F.col("one_type")).alias("chunk_type"),
-        F.when(F.col("n_units") > 1, F.col("many")).otherwise(F.col("one")).alias("content"), "parent_section", "content_hash", "n_units",
-    ).withColumn("refs", cross_references(F.col("content")))
-    columns = ["doc_id", "seq", "part", "ldu_id", "chunk_type", "content", "parent_section", "content_hash", "n_units", F.array_join("refs", "; ").alias("cross_refs")]
-    return stand.select(*columns).unionByName(merged.select(*columns))
 
 
 def violations(units: DataFrame) -> DataFrame:
-    """(doc_id, ldu_id, rule) where a unit breaks R4 (section not that of the header before), R1 (empty table) or R5 (references not kept)."""
-    rows = sequenced(units.select("ldu_id", "doc_id", "pos", "chunk_type", "content", "parent_section", F.col("provenance.cross_refs").alias("kept"), "ingested_at"))
-    rows = carried(rows, F.when(F.col("chunk_type") == "header", stripped(F.coalesce("content", F.lit("")))), "expected")
+    """(doc_id, ldu_id, rule, message) where a unit breaks R4 (section not that of the header before), R1 (empty table) or R5 (references not kept)."""
+    bare = stripped(F.coalesce("content", F.lit("")))
+    slim = units.select(
+        "ldu_id", "doc_id", "pos", "chunk_type", "parent_section", "ingested_at", F.when(F.col("chunk_type") == "header", bare).alias("title"),
+        (bare == "").alias("empty"), F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(CROSS_REFERENCE), F.lit(0)).alias("refs"), F.coalesce(F.size("provenance.cross_refs"), F.lit(0)).alias("kept"),
+    )
+    rows = carried(staged(sequenced(slim), "checked-units"), {"expected": F.col("title")})
     wrong = F.array_compact(
         F.array(
             F.when((F.col("chunk_type") != "header") & (F.col("expected") != "") & ~F.col("expected").eqNullSafe(F.col("parent_section")), "R4"),
-            F.when((F.col("chunk_type") == "table") & (stripped(F.coalesce("content", F.lit(""))) == ""), "R1"),
-            F.when((F.size(cross_references(F.col("content"))) > 0) & (F.coalesce(F.size("kept"), F.lit(0)) <= 0), "R5"),
+            F.when((F.col("chunk_type") == "table") & F.col("empty"), "R1"),
+            F.when((F.size("refs") > 0) & (F.col("kept") <= 0), "R5"),
         )
     )
-    return rows.select("doc_id", "ldu_id", F.explode(wrong).alias("rule"))
+    place = F.col("seq") - 1
+    said = (
+        F.when(F.col("rule") == "R4", F.format_string("R4 violation at LDU %d (%s): parent_section missing or mismatched (expected '%s', got '%s')", place, "ldu_id", "expected", F.coalesce("parent_section", F.lit("None"))))
+        .when(F.col("rule") == "R1", F.format_string("R1 violation at LDU %d: empty table LDU", place))
+        .otherwise(F.format_string("R5 violation at LDU %d (%s): cross-refs ['%s'] not stored in meta", place, "ldu_id", F.array_join("refs", "', '")))
+    )
+    return rows.withColumn("rule", F.explode(wrong)).select("doc_id", "ldu_id", "rule", said.alias("message"))

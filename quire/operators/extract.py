@@ -67,22 +67,30 @@ def confidences(chars: Column, chunks: Column, tables: Column, headers: Column)
     return [a.alias("conf_a"), b.alias("conf_b"), c1.alias("conf_c1"), c2.alias("conf_c2"), c3.alias("conf_c3")]
 
 
-def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_chars, conf_a .. conf_c3) of each document: what every strategy would claim for its text."""
+def candidates(docs: DataFrame, key: str, text: str, keep: tuple[str | Column, ...] = ()) -> DataFrame:
+    """(key, kept columns, n_chars, conf_a .. conf_c3) of each document: what every strategy would claim for its text."""
     parts = F.filter(F.transform(F.split(stripped(F.coalesce(F.col(text), F.lit(""))), r"\n\s*\n"), stripped), lambda p: p != "")
-    kinds = docs.select(key, F.length(stripped(F.coalesce(F.col(text), F.lit("")))).alias("n_chars"), F.transform(parts, paragraph_type).alias("kinds"))
+    kinds = docs.select(key, *keep, F.length(stripped(F.coalesce(F.col(text), F.lit("")))).alias("n_chars"), F.transform(parts, paragraph_type).alias("kinds"))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind))
-    return kinds.select(key, "n_chars", *confidences(F.col("n_chars"), F.size("kinds"), count("table"), count("header")))
+    kept = [c for c in kinds.columns if c not in (key, "n_chars", "kinds")]
+    return kinds.select(key, *kept, "n_chars", *confidences(F.col("n_chars"), F.size("kinds"), count("table"), count("header")))
 
 
 def quality(text: Column, strategy: Column) -> Column:
-    """struct(qa_score, needs_review): penalties for little text and for many words of doubt, in hundredths."""
+    """struct(qa_score, needs_review, reasons): penalties for little text and for many words of doubt, in hundredths; a blank text, which has no blocks, scores 0."""
     t = stripped(F.coalesce(text, F.lit("")))
     n = F.length(t)
     lost = lambda test, points: F.when(test, points).otherwise(0)
-    score = 100 - lost(n < 200, 35) - lost(n < 50, 35) - lost(occurrences(F.lower(t), UNCERTAIN) >= 5, 20) - lost((strategy == "C") & (n < 120), 20)
-    score = F.greatest(score, F.lit(0))
-    return F.struct((score / 100).alias("qa_score"), (score < 65).alias("needs_review"))
+    tests = {
+        "very short extracted text": (n < 200, 35), "almost empty extracted text": (n < 50, 35), "many uncertainty markers": (occurrences(F.lower(t), UNCERTAIN) >= 5, 20),
+        "vision output too small": (F.coalesce(strategy == "C", F.lit(False)) & (n < 120), 20),
+    }
+    score = F.lit(100)
+    for test, points in tests.values():
+        score = score - lost(test, points)
+    score = F.when(t == "", 0).otherwise(F.greatest(score, F.lit(0)))
+    reasons = F.when(t == "", F.array(F.lit("no blocks"))).otherwise(F.array_compact(F.array(*(F.when(test, why) for why, (test, _) in tests.items()))))
+    return F.struct((score / 100).alias("qa_score"), (score < 65).alias("needs_review"), F.array_join(reasons, "; ").alias("reasons"))
 
 
 def extraction_score(text: Column) -> Column:

@@ -6,15 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import entities, heading_level, shortened, stripped, summary
 from quire.operators.arrivals import first_arrivals
-from quire.operators.chunk import BUCKET, carried, sequenced
+from quire.operators.chunk import BUCKET, carried, sequenced, with_contents
+from quire.operators.keys import sized
 from quire.session import staged
 
-# Names, figures and sentences of a section's joined contents, as the refinery's patterns have them.
+# Names, figures and sentences of a section's joined contents, as their patterns have them.
 NAMES = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+")
 FIGURES = re.compile(r"\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%", re.I)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -22,22 +23,56 @@ MOST_ENTITIES, SUMMARY_CHARS, ROOT_UNITS = 8, 300, 50
 AROUND = 8  # units before and after a bucket that its texts are read with
 
 
+def _pages_of(spans: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(spans, F.array()), lambda s: s["page"]), lambda p: p > 0)
+
+
+def _unit_page_numbers() -> Column:
+    refs = F.coalesce("page_refs", F.array())
+    return F.array_distinct(F.when(F.size(refs) > 0, F.filter(refs, lambda p: p > 0)).otherwise(_pages_of(F.col("provenance.spans"))))
+
+
+def _page_sizes(rows: DataFrame, key: str, time: str, kind: str, text: str, pages: Column) -> DataFrame:
+    """(doc_id, kind, size, page): the length of each row's snippet on each of its pages; rows count once, texts stay behind."""
+    slim = rows.select(key, time, "doc_id", F.col(kind).alias("kind"), F.length(shortened(F.col(text))).alias("size"), pages.alias("pages"))
+    return first_arrivals(slim, key, time).select("doc_id", "kind", "size", F.explode("pages").alias("page"))
+
+
+def _counted(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("doc_id", "page").agg(F.count("*").alias("item_count"), F.sum("size").alias("char_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("data_types"))
+
+
 def unit_pages(units: DataFrame) -> DataFrame:
-    """(doc_id, ldu_id, page, chunk_type, content) of each page that a unit lies on."""
-    rows = first_arrivals(units, "ldu_id", "ingested_at")
-    spans = F.filter(F.transform(F.coalesce("provenance.spans", F.array()), lambda s: s["page"]), lambda p: p > 0)
-    own = F.filter(F.coalesce("page_refs", F.array()), lambda p: p > 0)
-    pages = F.array_distinct(F.when(F.size(F.coalesce("page_refs", F.array())) > 0, own).otherwise(spans))
-    return rows.select("doc_id", "ldu_id", F.explode(pages).alias("page"), "chunk_type", "content")
+    """(ldu_id, ingested_at, doc_id, pos, chunk_type, snippet, content_hash, box, pages) of each unit; pages are those it lies on."""
+    whole = F.when(F.size("bounding_box") == 4, F.col("bounding_box"))
+    rows = units.select("ldu_id", "ingested_at", "doc_id", "pos", "chunk_type", shortened(F.col("content")).alias("snippet"), "content_hash", whole.alias("box"), _unit_page_numbers().alias("pages"))
+    return first_arrivals(rows, "ldu_id", "ingested_at")
+
+
+def block_pages(blocks: DataFrame) -> DataFrame:
+    """As `unit_pages`, of extracted blocks."""
+    box = F.get(F.filter(F.transform(F.coalesce("provenance.spans", F.array()), lambda s: s["bbox"]), lambda b: F.size(b) == 4), F.lit(0))
+    rows = blocks.select(
+        "block_id", "extracted_at", "doc_id", "pos", F.col("block_type").alias("chunk_type"), shortened(F.col("text")).alias("snippet"),
+        F.col("provenance.content_hash").alias("content_hash"), box.alias("box"), F.array_distinct(_pages_of(F.col("provenance.spans"))).alias("pages"),
+    )
+    return first_arrivals(rows, "block_id", "extracted_at")
 
 
 def page_index(units: DataFrame) -> DataFrame:
     """(doc_id, page, item_count, char_count, data_types) of each page with units."""
-    rows = unit_pages(units)
-    return rows.groupBy("doc_id", "page").agg(
-        F.count("*").alias("item_count"), F.sum(F.length(shortened(F.col("content")))).alias("char_count"),
-        F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"),
-    )
+    return _counted(_page_sizes(units, "ldu_id", "ingested_at", "chunk_type", "content", _unit_page_numbers()))
+
+
+def page_items(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, page, source, unit_id, pos, chunk_type, snippet, content_hash, x0..y1): the items of each page.
+
+    A page's blocks come before its units, each in their order (source, pos, unit_id); units alone keep their id.
+    """
+    own = block_pages(blocks).select("doc_id", F.lit("extracted_block").alias("source"), F.col("block_id").alias("unit_id"), "pos", "chunk_type", "snippet", "content_hash", "box", F.explode("pages").alias("page"))
+    other = unit_pages(units).select("doc_id", F.lit("ldu").alias("source"), F.col("ldu_id").alias("unit_id"), "pos", "chunk_type", "snippet", "content_hash", "box", F.explode("pages").alias("page"))
+    sides = [F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return own.unionByName(other).where("doc_id is not null").select("doc_id", "page", "source", "unit_id", "pos", "chunk_type", "snippet", "content_hash", *sides)
 
 
 def document_pages(blocks: DataFrame, units: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -45,57 +80,67 @@ def document_pages(blocks: DataFrame, units: DataFrame, profiles: DataFrame) ->
 
     A document of which neither names a page has the pages 1 to page_count of its profile, without items.
     """
-    spans = F.filter(F.transform(F.coalesce("provenance.spans", F.array()), lambda s: s["page"]), lambda p: p > 0)
-    own = first_arrivals(blocks, "block_id", "extracted_at").select("doc_id", F.explode(F.array_distinct(spans)).alias("page"), F.col("block_type").alias("kind"), F.col("text").alias("content"))
-    rows = own.unionByName(unit_pages(units).select("doc_id", "page", F.col("chunk_type").alias("kind"), "content")).where("doc_id is not null")
-    pages = rows.groupBy("doc_id", "page").agg(
-        F.count("*").alias("item_count"), F.sum(F.length(shortened(F.col("content")))).alias("char_count"),
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("data_types"),
-    )
-    pages = staged(pages, "document-pages")
+    own = _page_sizes(blocks, "block_id", "extracted_at", "block_type", "text", F.array_distinct(_pages_of(F.col("provenance.spans"))))
+    pages = staged(_counted(own.unionByName(_page_sizes(units, "ldu_id", "ingested_at", "chunk_type", "content", _unit_page_numbers())).where("doc_id is not null")), "document-pages")
     counts = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.greatest(F.coalesce(F.max("page_count"), F.lit(1)), F.lit(1)).alias("n"))
     bare = counts.join(pages.select("doc_id").distinct(), "doc_id", "left_anti")
     empty = bare.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("page"), F.lit(0).cast("bigint").alias("item_count"), F.lit(0).cast("bigint").alias("char_count"), F.lit("").alias("data_types"))
     return pages.unionByName(empty)
 
 
+def document_indexes(pages: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc_id, page_count, item_count, data_types, section_count, summary_mode): what a document's page index says of itself.
+
+    pages as `document_pages` has them, tree as `document_sections`; section_count counts top sections.
+    """
+    types = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("data_types", ","))))), ",")
+    of_pages = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.sum("item_count").alias("item_count"), F.regexp_replace(types, "^,", "").alias("data_types"))
+    tops = tree.where("parent_seq is null").groupBy("doc_id").agg(F.count("*").alias("section_count"))
+    return of_pages.join(tops, "doc_id", "left").select("*", F.lit("extractive").alias("summary_mode")).fillna(0, ["section_count"])
+
+
 def _placed(units: DataFrame) -> DataFrame:
-    """The units of documents in their order, with their first and last page."""
-    last_page = F.coalesce(F.element_at("page_refs", -1), F.lit(1))
-    first_page = F.coalesce(F.get("page_refs", F.lit(0)), F.lit(1))
-    rows = units.select("ldu_id", "doc_id", "pos", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), F.when(F.size("page_refs") > 0, F.col("page_refs")).alias("page_refs"), "ingested_at")
-    return sequenced(rows).withColumn("first_page", first_page).withColumn("last_page", last_page)
+    """The units of documents in their order, without contents, with their first and last page and a header's title and level."""
+    header = F.col("chunk_type") == "header"
+    refs = F.when(F.size("page_refs") > 0, F.col("page_refs"))
+    content = F.coalesce("content", F.lit(""))
+    rows = units.select(
+        "ldu_id", "doc_id", "pos", "chunk_type", "ingested_at", refs.alias("page_refs"),
+        F.when(header, F.substring(stripped(content), 1, 120)).alias("title"), F.when(header, F.coalesce(heading_level(content), F.lit(1))).alias("level"),
+    )
+    placed = sequenced(rows).withColumn("first_page", F.coalesce(F.get("page_refs", F.lit(0)), F.lit(1))).withColumn("last_page", F.coalesce(F.element_at("page_refs", -1), F.lit(1)))
+    return staged(placed, "placed-units")
 
 
 def sections(units: DataFrame) -> DataFrame:
     """(doc_id, seq, title, level, parent_seq, page_start, page_end, n_units, data_types) of each header's section.
 
     A header's parent is the last header before it with a smaller level; a section also ends on the page before the
-    next header of its level or a smaller one. Units before the first header belong to no section. Levels are four,
-    so both are window functions over the headers of a document, one column per level.
+    next header of its level or a smaller one. Units before the first header belong to no section. data_types are the
+    types of its other units in the order in which they come. Levels are four, so parents and ends are carried over
+    the headers of a document, one column per level.
     """
-    return _header_sections(_owned(_placed(units)))
+    return _header_sections(staged(_owned(_placed(units)), "owned-units"))
 
 
 def _owned(placed: DataFrame) -> DataFrame:
     """The units from the first header on, with the place of the header whose section they are in."""
-    return carried(placed, F.when(F.col("chunk_type") == "header", F.col("seq")), "owner").where("owner is not null")
+    return carried(placed, {"owner": F.when(F.col("chunk_type") == "header", F.col("seq"))}).where("owner is not null")
 
 
 def _header_sections(rows: DataFrame) -> DataFrame:
-    member = rows.where("chunk_type <> 'header'").groupBy("doc_id", F.col("owner").alias("seq")).agg(
-        F.max("last_page").alias("member_page"), F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types")
-    )
-    heads = rows.where("chunk_type = 'header'").select("doc_id", "seq", "content", "first_page", "last_page", F.coalesce(heading_level(F.col("content")), F.lit(1)).alias("level"))
-    up = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    parent, closing = F.lit(None).cast("bigint"), F.lit(None).cast("int")
-    for k in (1, 2, 3, 4):
-        parent = F.when(F.col("level") == k, F.max(F.when(F.col("level") < k, F.col("seq"))).over(up)).otherwise(parent)
-        closing = F.when(F.col("level") == k, F.min_by(F.when(F.col("level") <= k, F.col("first_page")), F.when(F.col("level") <= k, F.col("seq"))).over(down)).otherwise(closing)
-    tree = heads.withColumn("parent_seq", parent).withColumn("closing", closing).join(member, ["doc_id", "seq"], "left")
+    kinds = rows.where("chunk_type <> 'header'").groupBy("doc_id", F.col("owner").alias("seq"), "chunk_type").agg(F.min("seq").alias("first"), F.max("last_page").alias("page"), F.count("*").alias("n"))
+    member = kinds.groupBy("doc_id", "seq").agg(
+        F.max("page").alias("member_page"), F.sum("n").alias("n_units"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "chunk_type"))), lambda x: x["chunk_type"]), ",").alias("data_types"),
+    )
+    heads = rows.where("chunk_type = 'header'").select("doc_id", "seq", "bucket", "title", "first_page", "last_page", "level")
+    heads = carried(heads, {f"up{k}": F.when(F.col("level") < k, F.col("seq")) for k in (2, 3, 4)})
+    heads = carried(staged(heads, "header-parents"), {f"end{k}": F.when(F.col("level") <= k, F.col("first_page")) for k in (1, 2, 3, 4)}, back=True, strict=True)
+    of_level = lambda name, levels: F.coalesce(*(F.when(F.col("level") == k, F.col(f"{name}{k}")) for k in levels))
+    tree = heads.withColumn("parent_seq", of_level("up", (2, 3, 4))).withColumn("closing", of_level("end", (1, 2, 3, 4))).join(member, ["doc_id", "seq"], "left")
     return tree.select(
-        "doc_id", "seq", F.substring(stripped(F.col("content")), 1, 120).alias("title"), "level", "parent_seq", F.col("first_page").alias("page_start"),
+        "doc_id", "seq", "title", "level", "parent_seq", F.col("first_page").alias("page_start"),
         F.greatest("last_page", "member_page", F.col("closing") - 1).alias("page_end"), (F.coalesce("n_units", F.lit(0)) + 1).alias("n_units"), F.coalesce("data_types", F.lit("")).alias("data_types"),
     )
 
@@ -103,17 +148,20 @@ def _header_sections(rows: DataFrame) -> DataFrame:
 def document_sections(units: DataFrame) -> DataFrame:
     """As `sections` with the entities and summary of each, and one section 'Document' over all units of each document
     without headers, at seq 1; that one is described by its first 50 units."""
-    placed = staged(_placed(units), "placed-units")
+    placed = _placed(units)
     headless = placed.groupBy("doc_id").agg(F.max(F.coalesce(F.col("chunk_type") == "header", F.lit(False))).alias("headed")).where("not headed").select("doc_id")
+    headless = staged(headless, "headless-documents")
     pages = F.coalesce("page_refs", F.array(F.lit(1)))
-    root = placed.join(headless, "doc_id", "left_semi").groupBy("doc_id").agg(
+    bare = placed.join(sized(headless), "doc_id", "left_semi")
+    root = bare.groupBy("doc_id").agg(
         F.lit(1).cast("bigint").alias("seq"), F.lit("Document").alias("title"), F.lit(1).alias("level"), F.lit(None).cast("bigint").alias("parent_seq"),
         F.coalesce(F.min(F.array_min(pages)), F.lit(1)).alias("page_start"), F.coalesce(F.max(F.array_max(pages)), F.lit(1)).alias("page_end"),
         F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("data_types"),
     )
     owned = staged(_owned(placed), "owned-units")
-    first = placed.join(headless, "doc_id", "left_semi").where(F.col("seq") <= ROOT_UNITS).withColumn("owner", F.lit(1).cast("bigint"))
-    notes = section_notes(owned.unionByName(first, allowMissingColumns=True))
+    first = bare.where(F.col("seq") <= ROOT_UNITS).withColumn("owner", F.lit(1).cast("bigint"))
+    keep = ["ldu_id", "ingested_at", "doc_id", "seq", "bucket", "owner"]
+    notes = section_notes(with_contents(owned.select(*keep).unionByName(first.select(*keep)), units, "content"))
     return _header_sections(owned).unionByName(root).join(notes, ["doc_id", "seq"], "left")
 
 
@@ -145,7 +193,7 @@ def section_notes(owned: DataFrame) -> DataFrame:
     place = lambda shift, role: F.struct((F.col("bucket") + shift).alias("b"), F.lit(role).alias("role"))
     places = F.array_compact(F.array(place(0, 0), F.when(at >= BUCKET - AROUND, place(1, -1)), F.when(at < AROUND, place(-1, 1))))
     rows = owned.select("doc_id", "owner", "seq", F.coalesce("content", F.lit("")).alias("content"), F.inline(places))
-    texts = rows.groupBy("doc_id", "owner", "b").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("u"))
+    texts = rows.groupBy("doc_id", "owner", "b").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("seq", "role", "content")))).alias("u"))
     part = lambda role: F.transform(F.filter("u", lambda x: x["role"] == role), lambda x: x["content"])
     texts = texts.where(F.exists("u", lambda x: x["role"] == 0)).select("doc_id", "owner", "b", part(-1).alias("before"), part(0).alias("own"), part(1).alias("after"))
 
@@ -165,6 +213,6 @@ def section_notes(owned: DataFrame) -> DataFrame:
 
 def unit_notes(units: DataFrame) -> DataFrame:
     """(ldu_id, level, entities, summary) of each unit by itself; `section_notes` has those of whole sections."""
-    rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")
     c = F.col("content")
-    return rows.select("ldu_id", heading_level(c).alias("level"), F.array_join(entities(c), "; ").alias("entities"), summary(c).alias("summary"))
+    notes = units.where("content is not null").select("ldu_id", "ingested_at", heading_level(c).alias("level"), F.array_join(entities(c), "; ").alias("entities"), summary(c).alias("summary"))
+    return first_arrivals(notes, "ldu_id", "ingested_at").drop("ingested_at")

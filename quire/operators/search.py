@@ -11,33 +11,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.arrivals import first_arrivals
+from quire.operators.keys import sized
+from quire.session import staged
 
 BLOCK = 512  # queries scored against a block of rows at a time
 ROW_BLOCK = 20_000
 
 
+def asked_words(questions: DataFrame, own: list[str]) -> DataFrame:
+    """(question, own columns, word, n_words, asked): the words of each question, how many it has, how often it has each."""
+    parts = F.split(F.trim(F.lower("question")), r"\s+")
+    each = questions.select("question", *own, F.explode(parts).alias("word"), F.size(parts).alias("n_words")).where("word <> ''")
+    return each.groupBy("question", *own, "word", "n_words").agg(F.count("*").alias("asked"))
+
+
+def holders(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word, times): the distinct tokens that hold a word, and how often; the pairs meet over the word's first letters."""
+    near = tokens.select("token", F.explode(_grams("token")).alias("gram")).join(words.select("word", _first_gram("word").alias("gram")), "gram").distinct()
+    inside = F.floor((F.length("token") - F.length(F.replace(F.col("token"), F.col("word")))) / F.length("word"))
+    return near.where(F.col("token").contains(F.col("word"))).select("token", "word", inside.alias("times"))
+
+
 def keyword_top(units: DataFrame, questions: DataFrame, most: int = 5, within: str | None = None) -> DataFrame:
     """(question, [within,] rank, ldu_id, score): the units in which the question's words occur most often per word.
 
     A word also counts inside longer words, so that each question word is first looked up in the corpus's distinct
-    words; the postings of those then give the counts. Words do not contain spaces, so none is missed. With `within`,
-    a column of both tables, each question is put to the units of its own value only.
+    words; those found are then counted where texts are read, and only counts are shuffled. Words do not contain
+    spaces, so none is missed. With `within`, a column of both tables, each question is put to the units of its own
+    value only. Repeated rows of a unit, which have the same content, count once.
     """
     own = [within] if within else []
-    rows = first_arrivals(units, "ldu_id", "ingested_at").where("content is not null")
+    rows = units.where("ldu_id is not null and content is not null")
     if within:
-        rows = rows.join(questions.select(within).distinct(), within, "left_semi")
-    postings = rows.select("ldu_id", *own, F.explode(F.split(F.lower("content"), r"\s+")).alias("token")).where("token <> ''").groupBy("ldu_id", *own, "token").agg(F.count("*").alias("n"))
-    parts = F.split(F.trim(F.lower("question")), r"\s+")
-    asked = questions.select("question", *own, F.explode(parts).alias("word"), F.size(parts).alias("n_words")).where("word <> ''")
-    words = asked.select("word").distinct()
-    tokens = postings.select("token").distinct()
-    inside = F.floor((F.length("token") - F.length(F.replace(F.col("token"), F.col("word")))) / F.length("word"))
-    near = tokens.select("token", F.explode(_grams("token")).alias("gram")).join(words.select("word", _first_gram("word").alias("gram")), "gram").distinct()
-    holding = near.where(F.col("token").contains(F.col("word"))).withColumn("times", inside).drop("gram")
-    weights = asked.groupBy("question", *own, "word", "n_words").agg(F.count("*").alias("asked")).join(holding, "word")
-    weights = weights.groupBy("question", *own, "token", "n_words").agg(F.sum(F.col("asked") * F.col("times")).alias("w"))
-    hits = postings.join(weights, [*own, "token"]).groupBy("question", *own, "ldu_id").agg((F.sum(F.col("n") * F.col("w")) / F.max("n_words")).alias("score"))
+        rows = rows.join(sized(questions.where(F.col(within).isNotNull()).select(within).distinct()), within, "left_semi")
+    asked = staged(asked_words(questions, own), "asked-words")
+    tokens = F.split(F.lower("content"), r"\s+")
+    every = rows.select(F.explode(F.array_distinct(tokens)).alias("token")).where("token <> ''").distinct()
+    holding = sized(staged(holders(every, asked.select("word").distinct()), "word-holders"))
+    counts = rows.select("ldu_id", *own, F.explode(tokens).alias("token")).join(holding, "token").groupBy("ldu_id", *own, "word").agg(F.sum("times").alias("n"))
+    copies = rows.groupBy("ldu_id").agg(F.count("*").alias("copies")).where("copies > 1")
+    once = counts.join(sized(staged(copies, "unit-copies")), "ldu_id", "left").withColumn("n", F.col("n") / F.coalesce("copies", F.lit(1)))
+    hits = once.join(sized(asked), [*own, "word"]).groupBy("question", *own, "ldu_id").agg((F.sum(F.col("n") * F.col("asked")) / F.max("n_words")).alias("score"))
     order = Window.partitionBy("question", *own).orderBy(F.desc("score"), "ldu_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question", *own, "rank", "ldu_id", "score")
 
@@ -69,21 +83,35 @@ def vector_top(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFr
     def nearest(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+        asked, rows = asked.drop_duplicates("query_id"), rows.drop_duplicates("vec_id")
         a, b = (np.stack(x).astype(np.float64) for x in (asked["q"].tolist(), rows["embedding"].tolist()))
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        cosine = unit(a) @ unit(b).T
+        cosine = np.round(unit(a) @ unit(b).T, 12)  # beyond that, equal vectors may differ by the order of summation
         ids = rows["vec_id"].to_numpy()
         cosine[asked["query_id"].to_numpy()[:, None] == ids[None, :]] = -2
         k = min(most, cosine.shape[1])
-        top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), k), "vec_id": ids[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()})
-        return out[out["cosine"] > -2]
+        least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        q_at, v_at = np.nonzero((cosine >= least[:, None]) & (cosine > -2))  # ties with the last one included
+        order = np.lexsort((ids[v_at], -cosine[q_at, v_at], q_at))
+        q_at, v_at = q_at[order], v_at[order]
+        rank = np.arange(len(q_at)) - np.searchsorted(q_at, q_at)
+        q_at, v_at = q_at[rank < k], v_at[rank < k]
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q_at], "vec_id": ids[v_at], "cosine": cosine[q_at, v_at]})
 
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(nearest, "query_id bigint, vec_id bigint, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id")
 
 
+def stored_texts(units: DataFrame, stored: DataFrame) -> DataFrame:
+    """(ldu_id, text, doc_id, chunk_type, page_refs) of the units that an ingest adds: those with content whose id is not stored yet.
+
+    Texts are cut at 8000 characters, as the store takes no longer ones, and pages are JSON.
+    """
+    slim = units.where("ldu_id is not null and trim(content) <> ''").select("ldu_id", "ingested_at", F.substring("content", 1, 8000).alias("text"), "doc_id", "chunk_type", F.to_json(F.coalesce("page_refs", F.array())).alias("page_refs"))
+    return first_arrivals(new_rows(slim, stored, "ldu_id"), "ldu_id", "ingested_at").drop("ingested_at")
+
+
 def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not stored yet: an ingest adds only these."""
     return rows.join(stored.select(key), key, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import stripped
 
-# Thresholds and keyword lists of the refinery.
+# Thresholds and keyword lists.
 SCANNED_IMAGE_SHARE, SCANNED_TEXT_CHARS = 0.55, 300
 DOMAIN_WORDS = {
     "financial": ["balance sheet", "income statement", "profit", "loss", "revenue", "fiscal", "tax"],

@@ -1,4 +1,4 @@
-"""The registered queries of the refinery's own operators, with their SQL twins where SQL can state them."""
+"""The registered queries over documents, with their SQL twins where SQL can state them."""
 
 from __future__ import annotations
 
@@ -109,7 +109,8 @@ select block_id, r.no::int as line_no, r.line as line,
 from l where length(r.line) >= 3""")
 def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of each page text as a typed block."""
-    return extract.line_blocks(first_arrivals(table(spark, folder, "blocks"), "block_id", "extracted_at"), "block_id", "text")
+    texts = table(spark, folder, "blocks").where("text is not null").select("block_id", "extracted_at", "text")
+    return extract.line_blocks(first_arrivals(texts, "block_id", "extracted_at"), "block_id", "text")
 
 
 _UPPER = r"regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}}\p{{Lt}}]')"
@@ -134,7 +135,8 @@ def paragraph_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(rf"""
-with p as (select doc_id, {_PARAGRAPHS} as parts from documents where text is not null),
+with h as (select doc_id, unnest(string_split(regexp_replace({_strip("text")}, '\n(\s{{0,3}}#{{1,6}}\s+\S)', chr(57344) || '\1', 'g'), chr(57344))) as part, generate_subscripts(string_split(regexp_replace({_strip("text")}, '\n(\s{{0,3}}#{{1,6}}\s+\S)', chr(57344) || '\1', 'g'), chr(57344)), 1) as k from documents where text is not null),
+p as (select doc_id, flatten(list(list_filter(list_transform(regexp_split_to_array({_strip("part")}, '\n\s*\n'), lambda x: {_strip("x")}), lambda x: x <> '') order by k)) as parts from h group by doc_id),
 s as (select doc_id, flatten(list_transform(parts, lambda p: list_transform(range(0, (length(p) - 1) // 1200 + 1), lambda i: {_strip("substring(p, i * 1200 + 1, 1200)")}))) as c from p),
 f as (select doc_id, unnest(list_transform(list_filter(c, lambda x: x <> ''), lambda x, i: {{'no': i - 1, 'c': x}})) as r from s)
 select doc_id, r.no::int as chunk_no, length(r.c)::int as n_chars, sha256(r.c) as chunk_hash from f""")
@@ -163,29 +165,34 @@ def strategy_confidences(spark: SparkSession, folder: str) -> DataFrame:
 _SCANNED = "coalesce(source, '') in ('field_scans', 'archive_film')"
 
 
-@_query(f"""
+_ROUTES = f"""
 with c as ({_CANDIDATES}), f as (select doc_id, lang, {_SCANNED.replace("source", "d.source")} as s from documents d), x as (select c.doc_id, n, s, coalesce(lang in ('am', 'ti', 'mixed'), false) as v, {_CONF} from c join f using (doc_id)),
-r as (select *, case when not s and conf_a >= 0.9 then 'A' when not (s and v) and conf_b >= 0.8 then 'B' when v then 'C3' when conf_c1 >= 0.6 then 'C1' when conf_c2 >= 0.72 then 'C2' else 'C3' end as step from x)
+r as (select *, case when not s and conf_a >= 0.9 then 'A' when not (s and v) and conf_b >= 0.8 then 'B' when v then 'C3' when conf_c1 >= 0.6 then 'C1' when conf_c2 >= 0.72 then 'C2' else 'C3' end as step from x)"""
+
+
+@_query(f"""{_ROUTES}
 select doc_id, step, left(step, 1) as strategy, case step when 'A' then conf_a when 'B' then conf_b when 'C1' then conf_c1 when 'C2' then conf_c2 else conf_c3 end as confidence,
   array_to_string(list_filter([case when s and v then 'A+B-skipped' when s then 'A-skipped' else 'A' end, case when step <> 'A' and not (s and v) then 'B' end, case when step not in ('A', 'B') then step end], lambda x: x is not null), '>') as trace,
   step <> 'A' as escalated from r""")
 def strategy_routes(spark: SparkSession, folder: str) -> DataFrame:
     """The strategy that each text would be extracted by, texts of the scanning sources having no text layer."""
-    docs = table(spark, folder, "documents")
+    return _routes(spark, folder).select("doc_id", "step", "strategy", "confidence", "trace", "escalated")
+
+
+def _routes(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     scanned = F.when(F.coalesce("source", F.lit("")).isin("field_scans", "archive_film"), "scanned_image").otherwise("native_digital")
-    facts_ = docs.select("doc_id", F.col("lang").alias("language"), scanned.alias("origin_type"))
-    rows = route.routed(extract.candidates(docs, "doc_id", "text").join(facts_, "doc_id"))
-    return rows.select("doc_id", "step", "strategy", "confidence", "trace", "escalated")
+    return route.routed(extract.candidates(table(spark, folder, "documents"), "doc_id", "text", keep=(F.col("lang").alias("language"), scanned.alias("origin_type"), *keep)))
 
 
-@_query(rf"""
-with t as (select doc_id, {_strip("coalesce(text, '')")} as t from documents), n as (select doc_id, length(t) as n, len(regexp_extract_all(lower(t), '\bunknown\b|\bunsure\b|\bcannot\b')) as u from t),
-s as (select doc_id, greatest(0, 100 - 35 * (n < 200)::int - 35 * (n < 50)::int - 20 * (u >= 5)::int) as s from n)
-select doc_id, s / 100::double as qa_score, s < 65 as needs_review from s""")
+@_query(rf"""{_ROUTES},
+t as (select d.doc_id, {_strip("coalesce(text, '')")} as t, left(step, 1) as g from documents d join r using (doc_id)), m as (select doc_id, t, length(t) as n, len(regexp_extract_all(lower(t), '\bunknown\b|\bunsure\b|\bcannot\b')) as u, g from t),
+s as (select *, case when t = '' then 0 else greatest(0, 100 - 35 * (n < 200)::int - 35 * (n < 50)::int - 20 * (u >= 5)::int - 20 * (g = 'C' and n < 120)::int) end as s from m)
+select doc_id, s / 100::double as qa_score, s < 65 as needs_review, case when t = '' then 'no blocks' else array_to_string(list_filter([case when n < 200 then 'very short extracted text' end, case when n < 50 then 'almost empty extracted text' end,
+  case when u >= 5 then 'many uncertainty markers' end, case when g = 'C' and n < 120 then 'vision output too small' end], lambda x: x is not null), '; ') end as reasons from s""")
 def text_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality score of each text as an extraction result, and whether it needs a review."""
-    v = extract.quality(F.col("text"), F.lit("A"))
-    return table(spark, folder, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.qa_score", "v.needs_review")
+    """Quality score of each text as the result of the strategy it is routed to, whether it needs a review, and why."""
+    rows = _routes(spark, folder, "text").select("doc_id", extract.quality(F.col("text"), F.col("strategy")).alias("v"))
+    return rows.select("doc_id", "v.qa_score", "v.needs_review", "v.reasons")
 
 
 @_query(rf"""
@@ -207,11 +214,38 @@ with r as (select ldu_id, doc_id, regexp_extract_all(content, '(?i)\b(?:see|refe
 select ldu_id, doc_id, array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i), '; ') as cross_refs from r where len(refs) > 0""")
 def cross_references(spark: SparkSession, folder: str) -> DataFrame:
     """The references to tables, figures and sections in each unit, in order and each once."""
-    rows = first_arrivals(table(spark, folder, "ldus"), "ldu_id", "ingested_at").select("ldu_id", "doc_id", T.cross_references(F.col("content")).alias("refs"))
-    return rows.where(F.size("refs") > 0).select("ldu_id", "doc_id", F.array_join("refs", "; ").alias("cross_refs"))
+    refs = table(spark, folder, "ldus").select("ldu_id", "ingested_at", "doc_id", T.cross_references(F.col("content")).alias("refs"))
+    return first_arrivals(refs.where(F.size("refs") > 0), "ldu_id", "ingested_at").select("ldu_id", "doc_id", F.array_join("refs", "; ").alias("cross_refs"))
 
 
-@_query()
+def _unique(refs: str) -> str:
+    return f"array_to_string(list_filter({refs}, lambda x, i: list_position({refs}, x) = i), '; ')"
+
+
+_REFS = r"(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])"
+#: A list's parts: lines are added to the part while it stays within 1200 characters, a line and its break counting together.
+_PARTS = """list_transform(list_reduce(list_transform(string_split(c, chr(10)), lambda l: {'p': [l], 'n': length(l) + 1}),
+  lambda a, x: case when a.n + x.n - 1 > 1200 then {'p': list_concat(a.p, x.p), 'n': x.n - 1} else {'p': list_concat(a.p[:-2], [a.p[-1] || chr(10) || x.p[1]]), 'n': a.n + x.n} end).p, lambda x: x)"""
+
+
+@_query(rf"""
+with o as (select ldu_id, doc_id, chunk_type, content_hash, coalesce(content, '') as c, {_strip("coalesce(content, '')")} as t, row_number() over (partition by doc_id order by pos, ldu_id) as seq from {_FIRST_UNITS} where doc_id is not null),
+f as (select *, coalesce(lag(chunk_type) over w = 'figure' and regexp_matches(t, '(?i)^(Figure|Fig\.?|Table|Exhibit|Chart)\s*\d+'), false) as caption from o window w as (partition by doc_id order by seq)),
+k as (select *, caption and (seq - max(case when not caption then seq end) over (partition by doc_id order by seq rows unbounded preceding)) % 2 = 1 as taken from f),
+a as (select *, coalesce(chunk_type in ('header', 'table', 'figure', 'list'), false) and not taken as alone from k),
+b as (select *, coalesce(max(case when alone or taken then seq end) over w, 0) as barrier, last_value(case when chunk_type = 'header' then t end ignore nulls) over w as parent_section,
+  lead(taken) over (partition by doc_id order by seq) as takes, lead(t) over (partition by doc_id order by seq) as cap from a window w as (partition by doc_id order by seq rows unbounded preceding)),
+single as (select doc_id, seq, ldu_id, chunk_type, case when takes then regexp_replace(c, '\s+$', '') || chr(10) || '[Caption]: ' || cap else c end as c, parent_section, content_hash, 1 as n_units from b where alone),
+runs as (select doc_id, barrier, list(seq order by seq) as seqs, list(length(c) order by seq) as sizes from b where not alone and not taken group by all),
+cuts as (select doc_id, seqs, list_reduce(list_transform(sizes, lambda n: {{'g': [0], 's': n}}), lambda x, y: case when x.s + y.s > 1200 then {{'g': list_append(x.g, x.g[-1] + 1), 's': y.s}} else {{'g': list_append(x.g, x.g[-1]), 's': x.s + y.s}} end).g as g from runs),
+each as (select doc_id, unnest(seqs) as seq, unnest(g) as g, seqs[1] as run from cuts),
+merged as (select doc_id, min(seq) as seq, min_by(ldu_id, seq) as ldu_id, case when count(*) > 1 then 'text' else min_by(chunk_type, seq) end as chunk_type,
+  case when count(*) > 1 then coalesce(string_agg(nullif(t, ''), chr(10) || chr(10) order by seq), '') else min_by(c, seq) end as c, max(parent_section) as parent_section, max_by(content_hash, seq) as content_hash, count(*)::int as n_units
+  from each join b using (doc_id, seq) group by doc_id, run, g),
+every as (select *, regexp_extract_all(c, '{_REFS}') as refs, case when chunk_type = 'list' and n_units = 1 and length(c) > 1200 then {_PARTS} else [c] end as parts from (select * from single union all select * from merged)),
+s as (select *, unnest(parts) as piece, generate_subscripts(parts, 1) - 1 as part from every)
+select doc_id, seq, part::int as part, case when len(parts) > 1 then ldu_id || '-part' || part else ldu_id end as ldu_id, chunk_type, length(piece)::int as n_chars, sha256(piece) as text_hash, parent_section, content_hash, n_units,
+  {_unique("refs")} as cross_refs from s""")
 def chunked_units(spark: SparkSession, folder: str) -> DataFrame:
     """The units of each document chunked under the structure rules."""
     rows = chunk.chunked(table(spark, folder, "ldus"))
@@ -223,10 +257,11 @@ _ORDERED = f"(select *, row_number() over (partition by doc_id order by pos, ldu
 
 @_query(rf"""
 with u as (select *, last_value(case when chunk_type = 'header' then {_strip("coalesce(content, '')")} end ignore nulls) over (partition by doc_id order by seq rows unbounded preceding) as expected from {_ORDERED}),
-v as (select doc_id, ldu_id, unnest([case when chunk_type <> 'header' and expected <> '' and expected is distinct from parent_section then 'R4' end,
+v as (select doc_id, ldu_id, seq - 1 as i, expected, parent_section, regexp_extract_all(coalesce(content, ''), '(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])') as refs, unnest([case when chunk_type <> 'header' and expected <> '' and expected is distinct from parent_section then 'R4' end,
   case when chunk_type = 'table' and {_strip("coalesce(content, '')")} = '' then 'R1' end,
   case when regexp_matches(coalesce(content, ''), '(?i)\b(?:see|refer to|as shown in|cf\.?|table|figure|fig\.?|equation|section)\s+(?:[A-Z]?\d+(?:\.\d+)*|[A-Z])') and coalesce(len(provenance.cross_refs), 0) = 0 then 'R5' end]) as rule from u)
-select * from v where rule is not null""")
+select doc_id, ldu_id, rule, case rule when 'R4' then 'R4 violation at LDU ' || i || ' (' || ldu_id || '): parent_section missing or mismatched (expected ' || chr(39) || expected || chr(39) || ', got ' || chr(39) || coalesce(parent_section, 'None') || chr(39) || ')'
+  when 'R1' then 'R1 violation at LDU ' || i || ': empty table LDU' else 'R5 violation at LDU ' || i || ' (' || ldu_id || '): cross-refs [' || chr(39) || array_to_string(refs, chr(39) || ', ' || chr(39)) || chr(39) || '] not stored in meta' end as message from v where rule is not null""")
 def rule_violations(spark: SparkSession, folder: str) -> DataFrame:
     """The structure rules that stored units break."""
     return chunk.violations(table(spark, folder, "ldus"))
@@ -261,11 +296,12 @@ _LEVEL = (
 @_query(f"""
 with o as (select *, {_T} as t, case when coalesce(len(page_refs), 0) > 0 then page_refs[1] else 1 end as p1, case when coalesce(len(page_refs), 0) > 0 then page_refs[len(page_refs)] else 1 end as p2 from {_ORDERED}),
 r as (select *, max(case when chunk_type = 'header' then seq end) over (partition by doc_id order by seq rows unbounded preceding) as owner, coalesce({_LEVEL}, 1) as level from o),
-m as (select doc_id, owner as seq, max(p2) as mp, count(*) as n, array_to_string(list_sort(list(distinct chunk_type)), ',') as types from r where chunk_type <> 'header' and owner is not null group by all),
+y as (select doc_id, owner as seq, chunk_type, min(seq) as f, max(p2) as mp, count(*) as n from r where chunk_type <> 'header' and owner is not null group by all),
+m as (select doc_id, seq, max(mp) as mp, sum(n) as n, array_to_string(list(chunk_type order by f), ',') as types from y group by all),
 h as (select doc_id, seq, t, level, p1, p2 from r where chunk_type = 'header'),
 k as (select a.doc_id, a.seq, max(b.seq) as parent_seq from h a join h b on a.doc_id = b.doc_id and b.seq < a.seq and b.level < a.level group by all),
 c as (select a.doc_id, a.seq, min_by(b.p1, b.seq) as closing from h a join h b on a.doc_id = b.doc_id and b.seq > a.seq and b.level <= a.level group by all)
-select doc_id, seq, left(t, 120) as title, level, parent_seq, p1 as page_start, greatest(p2, coalesce(mp, p2), coalesce(closing - 1, p2)) as page_end, coalesce(n, 0) + 1 as n_units, coalesce(types, '') as data_types
+select doc_id, seq, left(t, 120) as title, level, parent_seq, p1 as page_start, greatest(p2, coalesce(mp, p2), coalesce(closing - 1, p2)) as page_end, (coalesce(n, 0) + 1)::bigint as n_units, coalesce(types, '') as data_types
 from h left join m using (doc_id, seq) left join k using (doc_id, seq) left join c using (doc_id, seq)""")
 def section_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Each header's section: level, parent, pages and units."""
@@ -311,9 +347,14 @@ def fact_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(f"""
-select f.id, f.field_name, f.value, u.chunk_type, u.ldu_id is not null as has_source from (select distinct on (id) * from facts) f left join {_FIRST_UNITS} u using (ldu_id)""")
+with u as (select ldu_id, chunk_type, content_hash, provenance.source_path as path, case when len(provenance.spans) > 0 then provenance.spans
+  else list_transform(coalesce(page_refs, []), lambda p: {{'page': p, 'bbox': bounding_box}}) end as spans from {_FIRST_UNITS})
+select f.id, f.field_name, f.value, u.chunk_type, u.ldu_id is not null as has_source, regexp_extract(coalesce(nullif(f.source_path, ''), u.path), '([^/]*)$', 1) as document_name,
+  case when u.ldu_id is not null then spans[1].page else f.page end as page, spans[1].bbox[1] as x0, spans[1].bbox[2] as y0, spans[1].bbox[3] as x1, spans[1].bbox[4] as y1,
+  case when u.ldu_id is not null then u.content_hash else f.content_hash end as content_hash, coalesce(len(spans), 0)::int as n_spans
+from (select distinct on (id) * from facts) f left join u using (ldu_id)""")
 def facts_with_source(spark: SparkSession, folder: str) -> DataFrame:
-    """Each fact with the type of the unit it was taken from."""
+    """Each fact with the unit it was taken from and where that stands: page, box, hash and document."""
     return facts.with_source(table(spark, folder, "facts"), table(spark, folder, "ldus"))
 
 
@@ -356,8 +397,8 @@ def ledger_summary(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"select doc_id, chunk_type, count(*) as n_units, sum(length(content))::bigint as n_chars from {_FIRST_UNITS} group by all")
 def unit_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Units and characters of each type in each document."""
-    rows = first_arrivals(table(spark, folder, "ldus"), "ldu_id", "ingested_at")
-    return rows.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n_units"), F.sum(F.length("content")).alias("n_chars"))
+    sizes = table(spark, folder, "ldus").select("ldu_id", "ingested_at", "doc_id", "chunk_type", F.length("content").alias("n"))
+    return first_arrivals(sizes, "ldu_id", "ingested_at").groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_chars"))
 
 
 @_query("""

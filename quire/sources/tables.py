@@ -1,4 +1,4 @@
-"""Readers of the refinery's tables, with the columns that the operators rely on."""
+"""Readers of the tables, with the columns that the operators rely on."""
 
 from __future__ import annotations
 

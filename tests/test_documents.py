@@ -1,4 +1,4 @@
-"""The refinery's operators: rules on small documents, brute force for folds, SQL twins on the smallest tables."""
+"""Document operators: rules on small documents, brute force for folds, SQL twins on the smallest tables."""
 
 import datetime
 import random
@@ -73,6 +73,27 @@ def test_merging_against_a_plain_loop(spark):
     assert [r["n_units"] for r in out] == [len(g) for g in greedy(sizes, 1200)]
 
 
+def test_long_runs_against_a_plain_loop(spark):
+    rnd = random.Random(5)
+    docs = {d: [rnd.choice(kinds) for _ in range(n)] for d, n, kinds in (("a", 1500, [0, 10, 200, 700, 1300]), ("b", 1300, [0]), ("c", 2100, [0, 0, 0, 1]), ("e", 513, [5, 1199]))}
+    rows = None
+    for d, sizes in docs.items():
+        made = units(spark, [("text", "y" * n) for n in sizes], d)
+        rows = made if rows is None else rows.unionByName(made)
+    got = {}
+    for r in chunk.chunked(rows.unionByName(rows.where("pos % 7 = 0"))).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.n_units)
+    assert got == {d: [len(g) for g in greedy(sizes, 1200)] for d, sizes in docs.items()}
+
+
+def test_units_without_position_or_type(spark):
+    rows = units(spark, [("text", "a"), (None, "b"), ("header", "1. Head"), ("text", None)])
+    rows = rows.withColumn("pos", F.when(F.col("ldu_id") != "d-0", F.col("pos")))
+    out = chunk.chunked(rows).orderBy("seq").collect()
+    assert [(r.chunk_type, r.content, r.n_units) for r in out] == [("text", "a\n\nb", 2), ("header", "1. Head", 1), ("text", "", 1)]
+    assert chunk.chunked(rows.limit(0)).count() == 0
+
+
 def test_violations(spark):
     rows = units(spark, [("header", "5. Budget Analysis"), ("text", "plain", "WRONG SECTION"), ("table", " ", "5. Budget Analysis"), ("text", "see Table 1", "5. Budget Analysis")])
     assert {(r.ldu_id, r.rule) for r in chunk.violations(rows).collect()} == {("d-1", "R4"), ("d-2", "R1"), ("d-3", "R5")}
@@ -81,7 +102,7 @@ def test_violations(spark):
 def test_positions_over_many_buckets(spark):
     rows = [("header", f"{i}. H")if i % 700 == 0 else ("list", "x") for i in range(1500)]
     seq = chunk.sequenced(units(spark, rows))
-    out = chunk.carried(seq, F.when(F.col("chunk_type") == "header", F.col("content")), "section").orderBy("pos").collect()
+    out = chunk.carried(seq, {"section": F.when(F.col("chunk_type") == "header", F.col("content"))}).orderBy("pos").collect()
     assert [r.seq for r in out] == list(range(1, 1501))
     assert [r.section for r in out] == [f"{i // 700 * 700}. H" for i in range(1500)]
 
@@ -140,11 +161,23 @@ def test_vector_search_is_exact(spark):
         assert got[q] == sorted((i for i in vecs if i != q), key=lambda i: -cos(vecs[q], vecs[i]))[:3]
 
 
+def test_equal_vectors_rank_by_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [0.6, 0.8]) for i in range(40, 0, -1)] + [(50, [1.0, 0.01]), (50, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = [r.vec_id for r in search.vector_top(df, df.where("vec_id = 0"), most=10).orderBy("rank").collect()]
+    assert got == [50, *range(1, 10)]
+
+
+def test_section_sorted_by_first_type(spark):
+    rows = units(spark, [("header", "1. A"), ("text", "x"), ("list", "y"), ("figure", "z"), ("text", "w")])
+    assert page_index.sections(rows).first().data_types == "text,list,figure"
+
+
 def test_every_core_query_equals_its_sql(spark, folder):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
 
-    from quire.plans import refinery_queries as R
+    from quire.plans import document_queries as R
 
     con = duckdb.connect()
     for p in Path(folder).glob("*.parquet"):

@@ -51,6 +51,10 @@ def test_ledger_goes_on_where_it_ended(spark, tmp_path):
     spark.sql(row(1, 3)).unionByName(spark.sql(row(2, 1))).write.mode("append").parquet(source)
     ledger.appended(ledger.ledger_stream(spark, source), table, state)
     assert {r.event_id for r in spark.read.parquet(table).collect()} == {1, 2} and spark.read.parquet(table).count() == 2
+    late = "select cast(3 as bigint) event_id, timestamp_ntz'2022-05-01 00:00:00' event_ts, 'B' strategy_used, true escalated"
+    spark.sql(late).unionByName(spark.sql(late)).unionByName(spark.sql(row(2, 1))).write.mode("append").parquet(source)
+    ledger.appended(ledger.ledger_stream(spark, source), table, state)
+    assert sorted(r.event_id for r in spark.read.parquet(table).collect()) == [1, 2, 3]
 
 
 def test_ledger_events(spark):

@@ -4,7 +4,7 @@ import datetime
 import re
 
 from quire.operators import page_index
-from quire.plans import refinery_queries as R
+from quire.plans import document_queries as R
 from quire.sources.tables import table
 
 PROVENANCE = "struct<spans:array<struct<page:int,bbox:array<double>>>>"
