@@ -47,8 +47,8 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The actual share of each source in that drawing."""
-    return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+    """The actual share of each source in that drawing, beside its target and what was within reach."""
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,20 +67,37 @@ def test_hilbert_neighbours_touch():
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
-def test_drawing(spark, docs):
-    targets = spark.createDataFrame([("bank_reports", 0.5, 1), ("web_mirror", 0.2, 1), ("tax_notes", 0.2, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    rows = [r.asDict() for r in mixing.drawn(docs, targets, "doc_id", "text", "source").collect()]
+TARGETS = [("bank_reports", 0.5, 1), ("web_mirror", 0.2, 1), ("tax_notes", 0.2, 3), ("absent", 0.1, 2)]
+
+
+@pytest.mark.parametrize("budget", [None, 900, 6000])
+def test_drawing(spark, docs, budget):
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    rows = [r.asDict() for r in mixing.drawn(docs, targets, "doc_id", "text", "source", budget=budget).collect()]
     assert [r["finish_time"] for r in rows] == sorted(r["finish_time"] for r in rows)
+    assert max(collections.Counter((r["source"], r["doc_id"], r["copy_no"]) for r in rows).values()) == 1
     times = collections.Counter((r["source"], r["doc_id"]) for r in rows)
     assert all(n <= {"bank_reports": 1, "web_mirror": 1, "tax_notes": 3}[s] for (s, _), n in times.items())
     total, spent = sum(r["n_tokens"] for r in rows), collections.Counter()
     for r in rows:
         spent[r["source"]] += r["n_tokens"]
         assert abs(r["finish_time"] * {"bank_reports": 5 / 9, "web_mirror": 2 / 9, "tax_notes": 2 / 9}[r["source"]] - spent[r["source"]]) < 1e-6 * total + 1e-6
-    for s, share in (("bank_reports", 5 / 9), ("web_mirror", 2 / 9), ("tax_notes", 2 / 9)):
-        assert abs(spent[s] / total - share) < 0.03
-    report = {r.source: r for r in mixing.shares(mixing.drawn(docs, targets, "doc_id", "text", "source"), targets).collect()}
+    report = {r.source: r for r in mixing.shares(docs, targets, "doc_id", "text", "source", budget=budget).collect()}
     assert report["absent"].n_tokens == 0 and abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9
+    for s, r in report.items():
+        assert r.n_tokens == spent[s] and abs(r.actual_share - r.reachable_share) < 0.01, (s, r)
+    if budget:
+        assert budget * 0.99 <= total <= budget
+        assert all(abs(report[s].reachable_share - w) < 1e-9 for s, w in (("bank_reports", 5 / 9), ("web_mirror", 2 / 9), ("tax_notes", 2 / 9))) or budget > 900
+
+
+def test_a_source_that_runs_out_leaves_its_part_to_the_others(spark):
+    docs = spark.createDataFrame([(i, "a few words of text " * 5, "x" if i < 10 else "y" if i < 400 else "z") for i in range(1000)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("x", 0.5, 2), ("y", 0.3, 1), ("z", 0.2, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: (r.n_texts, round(r.reachable_share, 3), round(r.actual_share, 3)) for r in mixing.shares(docs, targets, "doc_id", "text", "source", budget=10000).collect()}
+    whole = sum(n for n, _, _ in got.values())
+    assert got["x"][0] == 20 and all(abs(r - a) < 0.01 for _, r, a in got.values())
+    assert abs(got["y"][0] / (whole - 20) - 0.6) < 0.01
 
 
 def test_drawing_with_budget_and_empty_tables(spark, docs):
