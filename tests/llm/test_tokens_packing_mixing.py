@@ -57,6 +57,41 @@ def test_containers(spark, docs):
     assert packing.packed(docs, specs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_containers_hang_on_the_data_alone(spark, docs, monkeypatch):
+    """Cells of a few texts, several levels: the same containers whatever the partitions, and neighbours together."""
+    import numpy as np
+
+    monkeypatch.setattr(packing, "CELL", 16)
+    monkeypatch.setattr(packing, "AHEAD", 12)
+    specs = spark.createDataFrame([("small", 700)], "container_name string, capacity_tokens int")
+    rows = lambda d: {(r.doc_id, r.piece_no): r.container_id for r in packing.packed(d, specs, "doc_id", "text").collect()}
+    first = rows(docs)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert rows(docs.repartition(5)) == first
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    place = {r.doc_id: r.curve for r in packing.curve_keys(tokens.sized_texts(docs, "doc_id", "text"), "doc_id").collect()}
+    order = {d: i for i, (_, d) in enumerate(sorted((c, d) for d, c in place.items()))}
+    own = collections.defaultdict(list)
+    for (d, _), c in first.items():
+        own[c].append(order[d])
+    span = lambda groups: np.mean([np.subtract(*np.percentile(g, [75, 25])) for g in groups if len(g) > 2])
+    dealt = np.random.default_rng(1).permutation([x for g in own.values() for x in g])
+    shuffled = np.split(dealt, np.cumsum([len(g) for g in own.values()])[:-1])
+    assert span(own.values()) < 0.5 * span(shuffled)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=80), st.integers(1, 20))
+def test_fill_keeps_every_item_within_capacity(sizes, ahead):
+    put = packing.fill(sizes, 100, ahead)
+    filled = collections.Counter()
+    for size, c in zip(sizes, put):
+        filled[c] += size
+    assert max(filled.values()) <= 100 and sorted(filled) == list(range(len(filled)))
+    firsts = [put.index(c) for c in range(len(filled))]
+    assert firsts == sorted(firsts)
+
+
 def test_hilbert_neighbours_touch():
     """Along a small cube every step of the curve changes one coordinate by one."""
     import numpy as np
