@@ -56,6 +56,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text", "issuer_id")
 
 
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of the spam the weak labels named, how much the trees found beyond them, and what the host rates changed."""
+    return spam.decision_report(spam.scored(table(spark, folder, "documents"), "doc_id", "text", "issuer_id"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -66,5 +71,6 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 SQL: dict[str, str] = {}

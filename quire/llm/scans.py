@@ -3,13 +3,15 @@
 Running lines are lines that recur at page edges of a document (misreads and numbers folded), or a title-like line
 over full lines; page numbers are number lines at page edges that count up with the pages. Divided words are joined
 over line and page ends, with or without their hyphen as the corpus writes them. A symmetric-delete index over the
-corpus's frequency lexicon gives correction candidates, a weighted edit distance with confusion pairs verifies
-them, and bigram counts choose between candidates that are left. Paragraphs are built from what remains: lines run on
+corpus's frequency lexicon gives correction candidates, also over the words with all confusable characters folded into
+one, so that words with several misreadings meet their right form; a weighted edit distance with confusion pairs
+verifies them, and bigram counts choose between candidates that are left. Paragraphs are built from what remains: lines run on
 unless a blank line stands between them or a line had room for the word that opens the next one.
 
 Defined cases: null and blank texts have no lines; repeated units count once; a word whose joined form the corpus
-does not know is joined without hyphen; a word without a far more frequent neighbour stays as it is; units of
-digital documents are not looked at. A word divided between two units ends the first one; where its rest is divided
+does not know is joined without hyphen; a word without a far more frequent neighbour stays as it is, and so does a
+single letter, which nothing in it tells from another; words of more than 40 letters, as of running text without
+spaces, are looked up by their folded form alone; units of digital documents are not looked at. A word divided between two units ends the first one; where its rest is divided
 again, it stays as it is. A unit of nothing but running lines has no paragraphs. Extra columns are ignored.
 """
 
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.chunk import BUCKET, carried
 from quire.operators.keys import documents_of, sized
 from quire.session import staged
 
@@ -68,6 +71,29 @@ def forms(word: Column) -> Column:
     return F.array_distinct(F.array(word, folded(word), folded(word, FOLDS[::-1])))
 
 
+def _classes() -> tuple[str, str]:
+    """The characters that single confusions connect, and for each the one that stands for its class."""
+    names: dict[str, str] = {}
+    root = lambda c: c if names.setdefault(c, c) == c else root(names[c])
+    singles = [p.split(":") for p in CONFUSIONS.split()] + [["h", "u"]]  # both may be read as two thin letters
+    for right, wrong in singles:
+        if len(right) == len(wrong) == 1:
+            names[root(wrong)] = root(right)
+    return "".join(names), "".join(map(root, list(names)))
+
+
+CLASSES = _classes()
+
+
+def wholly_folded(word: Column) -> Column:
+    """The word with every confusable character in place of its class, then pairs of them as the letter they stand for."""
+    word = F.translate(word, *CLASSES)
+    stands = lambda x: x.translate(str.maketrans(*CLASSES))
+    for right, wrong in FOLDS:
+        word = F.replace(word, F.lit(stands(wrong)), F.lit(stands(right)))
+    return word
+
+
 def line_key(line: Column) -> Column:
     """What stays the same of a running line over pages: letters up to misreads, numbers as one sign."""
     t = F.lower(F.trim(line))
@@ -167,9 +193,12 @@ def divided(text_lines: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("first"), F.col(c))).alias(to) for c, to in (("open", "open"), ("no", "first_no"), ("token", "token"))],
         *[F.max(F.when(F.col("tail").isNull(), F.col(c))).alias(c) for c in ("head", "no")],
     )
-    next_unit = Window.partitionBy("kind", "doc_id").orderBy("pos", "unit_id")
-    after = lambda c, to: F.lead(c).over(next_unit).alias(to)
-    onward = edges.select("unit_id", "no", "head", after("open", "tail"), after("unit_id", "tail_unit"), after("first_no", "tail_no"), after("token", "token"))
+    # the first line of the next unit, over buckets of positions, as a document may hold many units
+    opens = F.struct(F.col("open").alias("tail"), F.col("unit_id").alias("tail_unit"), F.col("first_no").alias("tail_no"), "token")
+    placed = edges.select(
+        F.concat_ws(" ", "kind", "doc_id").alias("doc_id"), F.struct("pos", "unit_id").alias("seq"), F.coalesce(F.floor(F.col("pos") / BUCKET), F.lit(-1)).alias("bucket"), "unit_id", "no", "head", opens.alias("opens")
+    )
+    onward = carried(staged(placed, "unit-edges"), {"after": F.col("opens")}, back=True, strict=True).select("unit_id", "no", "head", "after.*").select("unit_id", "no", "head", "tail", "tail_unit", "tail_no", "token")
     within = rows.where("tail is not null").select("unit_id", "no", "head", "tail", F.col("unit_id").alias("tail_unit"), "tail_no", F.lit("").alias("token"))
     split = within.unionByName(onward).where("head <> '' and tail <> ''")
     same_case = F.col("tail").rlike(r"^\p{Ll}|^\p{Lo}") | (F.col("head").rlike(r"\p{Lu}$") & F.col("tail").rlike(r"^\p{Lu}"))
@@ -187,9 +216,10 @@ def lexicon(corpus: DataFrame) -> DataFrame:
 
 
 def deletes(word: Column) -> Column:
-    """Each form of the word, and what becomes of it by one deletion."""
+    """What a word is looked up by: each form of it, what becomes of that by one deletion, and its folded form, marked by a =."""
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    return F.array_distinct(F.flatten(F.transform(forms(word), lambda w: F.concat(F.array(w), cut(w)))))
+    near = F.flatten(F.transform(forms(word), lambda w: F.concat(F.array(w), cut(w))))
+    return F.array_distinct(F.concat(F.when(F.length(word) <= 40, near).otherwise(F.array(word)), F.array(F.concat(F.lit("="), wholly_folded(word)))))
 
 
 def _by_start() -> dict[str, list[tuple[str, str]]]:
@@ -201,10 +231,11 @@ def _by_start() -> dict[str, list[tuple[str, str]]]:
 
 
 PAIRS = _by_start()
+STRAY = set("@%#*&_\\^~")  # characters that stand within no word
 
 
 def misread_cost(wrong: str, right: str, most: float = 2.0) -> float:
-    """Weighted edit distance in which a confusion pair costs 0.2 and any other change 1; 99 where it is beyond `most`."""
+    """Weighted edit distance: a confusion pair costs 0.2, a stray sign 0.4 and any other change 1; 99 where it is beyond `most`."""
     n, m = len(right), len(wrong)
     best = {(0, 0): 0.0}
     for i in range(n + 1):
@@ -219,6 +250,8 @@ def misread_cost(wrong: str, right: str, most: float = 2.0) -> float:
                 if j < m and right[i] == wrong[j]:
                     steps.append((i + 1, j + 1, c))
                 steps += [(i + len(r), j + len(w), c + 0.2) for r, w in PAIRS.get(right[i], ()) if right.startswith(r, i) and wrong.startswith(w, j)]
+            if j < m and wrong[j] in STRAY:
+                steps.append((i, j + 1, c + 0.4))
             if c + 1 <= most:
                 steps += [(i + di, j + dj, c + 1) for di, dj in ((1, 1), (1, 0), (0, 1)) if i + di <= n and j + dj <= m]
             for x, y, cost in steps:
@@ -229,7 +262,7 @@ def misread_cost(wrong: str, right: str, most: float = 2.0) -> float:
 
 def corrections(types: DataFrame, known: DataFrame) -> DataFrame:
     """(word, right, n, cost) of the corrections of distinct words (word, own); a word may have several."""
-    lettered = F.col("word").rlike(r"\p{L}") & (F.length("word").between(2, 40))
+    lettered = F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)
     index = known.where((F.col("n") >= MIN_COUNT) & ~F.col("word").rlike(r"[\d@+]")).where(lettered)
     index = index.select(F.col("word").alias("right"), "n", F.explode(deletes(F.col("word"))).alias("part"))
     asked = types.where(lettered).select("word", "own", F.explode(deletes(F.col("word"))).alias("part"))

@@ -51,8 +51,11 @@ CAPITAL_STOP = (
     rf"|(?<=(?<!\p{{L}})(?:INC|LTD|CO|CORP)\.)(?={WS}+(?:AND|OR|UNDER|FOR|WITH|TO|OF)\b)"
     rf"|(?<=[AP][.{MASK}]M\.)(?={WS}+(?:AND|OR|TO|ON EACH)\b)|(?<=\.\.)(?={WS}+(?:AND|OR|BUT)\b)|(?=\.))"
 )
-#: A mark inside a quotation that goes on after it: the next quotation mark is a closing one, and text comes before it.
-QUOTED_MARK = rf"[.!?؟።፧。！？:፡](?=[^“”«»„「」『』{OPEN}{CLOSE}]{{0,600}}[”»」』{CLOSE}])(?!\s?[”»」』{CLOSE}])(?![:፡]?\s?[”»」』{CLOSE}])"
+OPENERS, CLOSERS = f"“«„「『{OPEN}", f"”»」』{CLOSE}"
+#: A text in pieces, each up to the next quotation mark; and in a piece that is a quotation, the marks that do not end it,
+#: as the closing mark follows others only, and spaces between letters of a script that parts sentences by spaces.
+QUOTE_PIECE = f"[^{OPENERS}{CLOSERS}]*+[{OPENERS}{CLOSERS}]|[^{OPENERS}{CLOSERS}]++"
+QUOTED_MARK = rf"[.!?؟።፧。！？:፡](?![:፡]?\s?[{CLOSERS}])|(?<=[฀-๿]){WS}(?={WS}*[฀-๿])"
 
 _QUOTE = rf"[”»{CLOSE}]"
 _NEXT = rf"(?={WS}+[^\p{{Ll}}\s,;:–—)\]»”{CLOSE}]|[\p{{Lu}}¿¡“«„({OPEN}])"
@@ -71,10 +74,25 @@ BOUNDARY = "|".join(
     ]
 )
 THAI = r"[฀-๿]"
-THAI_BOUNDARY = rf"({THAI})(?={WS}+{THAI}|{WS}*\n{WS}*\p{{Lu}})(?![^“”{OPEN}{CLOSE}]{{0,300}}[”{CLOSE}])"
+THAI_BOUNDARY = rf"({THAI})(?={WS}+{THAI}|{WS}*\n{WS}*\p{{Lu}})"
 BLANK_LINE = r"(\S)(?=[ \t]*\r?\n[ \t]*\r?\n)"
 
 
+def quotations_masked(t: Column) -> Column:
+    """The text with the marks masked that end no sentence since a quotation goes on after them, however long it is.
+
+    A piece is a quotation if it ends with a closing mark and the mark before it opens one, or closes one of another kind.
+    """
+    pieces = F.regexp_extract_all(t, F.lit(QUOTE_PIECE), F.lit(0))
+
+    def piece(p: Column, before: Column) -> Column:
+        mark = F.right(before, F.lit(1))
+        quoted = p.rlike(f"[{CLOSERS}]$") & (mark.isin(*OPENERS) | (mark.isin(*CLOSERS) & (mark != F.right(p, F.lit(1)))))
+        return F.when(quoted, F.regexp_replace(p, QUOTED_MARK, MASK)).otherwise(p)
+
+    return F.array_join(F.zip_with(pieces, F.concat(F.array(F.lit("")), pieces), piece), "")
+
+
 def masked(text: Column) -> Column:
     """The text, as long as before, without marks that end no sentence."""
     text = F.when(text.contains(CUT), F.translate(text, CUT, MASK)).otherwise(text)
@@ -82,8 +100,8 @@ def masked(text: Column) -> Column:
         text.contains('"'),
         F.translate(F.regexp_replace(text, rf'(?<![^\s(\[])"(?=\S)', OPEN), '"', CLOSE),
     ).otherwise(text)
-    t = F.when(text.contains("„"), F.regexp_replace(t, r"(„[^„“”]{0,600})“", f"$1{CLOSE}")).otherwise(t)
-    t = F.when(t.rlike(rf"[”»」』{CLOSE}]"), F.regexp_replace(t, QUOTED_MARK, MASK)).otherwise(t)
+    t = F.when(text.contains("„"), F.regexp_replace(t, r"(„[^„“”]*+)“", f"$1{CLOSE}")).otherwise(t)
+    t = F.when(t.rlike(f"[{CLOSERS}]"), quotations_masked(t)).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, INNER_STOP, MASK), LIST_STOP, MASK)
     return F.when(~text.rlike(r"\p{Ll}"), F.regexp_replace(t, CAPITAL_STOP, MASK)).otherwise(t)
 

@@ -1,12 +1,14 @@
 """Pages stuffed with keywords, links or tags, told apart from texts by bagged decision trees.
 
-Content and link features of each whole text come from array operations over batches. Labelling
-rules that speak only on clear pages give weak labels; bagged decision trees fitted on a bounded sample of them (MAX_LABELLED rows a rule, drawn by
-a hash of the key) score every page, and the score is moved towards the spam rate of the page's host.
-
-Defined cases: null, empty and blank texts and texts of fewer than MIN_TOKENS tokens without a link are never
-spam; a page without host is not smoothed; repeated rows of a key count once; if the weak labels have one class
-only, the rules' own verdict stands; an empty table gives no rows. Extra columns are ignored.
+Content and link features of each whole text come from array operations over batches; letters of scripts without
+spaces count in pieces of two or three, so that repetition shows there too. Broad labelling functions that may
+disagree vote on each page; where the votes are clear they give a weak label. Bagged decision trees fitted on a bounded
+sample of the labelled pages (MAX_LABELLED rows for each sum of votes, drawn by a hash of the key) score every page, also
+those without a label, and the score is moved towards the spam rate of the page's host.
+
+Defined cases: null, empty and blank texts are never spam; a page without host is not smoothed; repeated rows of a key
+count once; if the weak labels have one class only, the votes' own verdict stands; an empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.keys import sized
 from quire.session import staged
 
-#: Bound of the training sample, in rows of each labelling rule.
+#: Bound of the training sample, in rows of each sum of votes.
 MAX_LABELLED = 4000
-MIN_TOKENS = 16
 WINDOW = 64  # tokens in which repetition is measured, so that it does not depend on a text's length
-TREES = 30
+TREES = 50
 PRIOR_PAGES = 30.0  # pages that the overall spam rate counts for in a host's rate
 HOST_WEIGHT = 0.3
 
@@ -43,6 +45,7 @@ CHUNK = 400_000  # characters measured at a time in a task
 
 # Kinds of characters, as bits of a table over the basic plane.
 WORD, DIGIT, STOP, LIST, SPACE, FULL_STOP, COMMA, CLOSER, THAI = 1, 2, 4, 8, 16, 32, 64, 128, 256
+PAIRS, TRIPLES = 512, 1024  # letters of scripts without spaces, whose runs count as tokens of two or of three letters
 
 
 def kinds() -> np.ndarray:
@@ -56,6 +59,10 @@ def kinds() -> np.ndarray:
             table[i] |= WORD | DIGIT
         if c.isspace():
             table[i] |= SPACE
+    for lowest, highest in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF)):
+        table[lowest : highest + 1] |= TRIPLES
+    for lowest, highest in ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)):
+        table[lowest : highest + 1] |= PAIRS
     for chars, bit in (("!?؟።፧。！？", STOP), (".", FULL_STOP), (",،、，|/•·>»★;[<", LIST), (",،、，", COMMA), ("”\"»)’'", CLOSER)):
         for c in chars:
             table[ord(c)] |= bit
@@ -116,6 +123,8 @@ def measured(texts: list[str], table: np.ndarray) -> dict[str, np.ndarray]:
     digit = ((kind & DIGIT) > 0) & bare
     breaks = points == 10
     first = word & ~np.concatenate([[False], word[:-1]])
+    place = np.arange(n_chars) - np.maximum.accumulate(np.where(first, np.arange(n_chars), 0))
+    first |= word & (((kind & PAIRS) > 0) & (place % 2 == 0) | ((kind & TRIPLES) > 0) & (place % 3 == 0))
     token_at = np.flatnonzero(first)
     place = np.arange(n_chars) - np.maximum.accumulate(np.where(first, np.arange(n_chars), 0))
     mixed = np.where(word, spread(points.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), np.uint64(0))
@@ -222,43 +231,42 @@ def features(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return t.mapInPandas(lambda batches: (b[columns] for b in measure(batches)), schema)
 
 
-#: The labelling rules in the order in which they are asked, and what each calls a page.
-RULES = {
-    "counted": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and counted_lines > 0.6"),
-    "piped": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and piped_lines > 0.6"),
-    "led": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and led_lines > 0.5"),
-    "dated": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and dated_lines > 0.6"),
-    "figures": (0.0, "link_share < 0.45 and hash_per_token < 0.05 and digit_share > 0.25"),
-    "links": (1.0, "link_share > 0.5 or (links_per_token > 0.25 and stops_per_token < 0.05)"),
-    "tags": (1.0, "hash_per_token > 0.5"),
-    "wares": (1.0, "prose_share < 0.1 and word_ratio < 0.5 and n >= 60 and digit_share between 0.1 and 0.22 and counted_lines < 0.3 and piped_lines < 0.3 and list_marks_per_token < 0.3"),
-    "lists": (1.0, "prose_share < 0.1 and distinct_ratio < 0.58 and n >= 80 and digit_share < 0.22 and counted_lines < 0.3 and piped_lines < 0.3"),
-    "stuffed": (1.0, "low_share > 0.8 and prose_share < 0.3 and distinct_ratio < 0.5 and digit_share < 0.15 and counted_lines < 0.3 and piped_lines < 0.3"),
-    "phrases": (1.0, "low_share > 0.9 and prose_share < 0.6 and distinct_ratio < 0.45 and n >= 60 and digit_share < 0.05 and counted_lines < 0.3"),
-    "prose": (0.0, "link_share < 0.25 and hash_per_token < 0.05 and prose_share > 0.75 and labelled_lines < 0.2"),
+#: Labelling functions, each on one or two features and each wrong on some pages: their votes for spam (1) and against it (-1).
+VOTES = {
+    "links": (1, "link_share > 0.35 or links_per_token > 0.2"),
+    "hashes": (1, "hash_per_token > 0.3"),
+    "repeating": (1, "distinct_ratio < 0.6"),
+    "no_prose": (1, "prose_share < 0.15"),
+    "marks": (1, "list_marks_per_token > 0.3"),
+    "prose": (-1, "prose_share > 0.6"),
+    "varied": (-1, "distinct_ratio > 0.75 and link_share < 0.35"),
+    "figures": (-1, "digit_share > 0.18 and link_share < 0.35"),
+    "ordered": (-1, "greatest(counted_lines, led_lines, dated_lines, piped_lines) > 0.5 and link_share < 0.35"),
+    "short": (-1, "n < 16 and link_share < 0.35"),
 }
+#: A page is labelled where the votes for spam outnumber the others by at least MARGIN, or the others those; on the rest the trees alone decide.
+MARGIN = 2
 
 
-def weak_rule() -> Column:
-    """The first rule that speaks on a page; null where none does. Rules speak on clear pages only."""
-    cases = " ".join(f"when {test} then '{name}'" for name, (_, test) in RULES.items())
-    return F.expr(f"case when n < {MIN_TOKENS} and link_share < 0.5 then null {cases} end")
+def votes() -> Column:
+    """The sum of a page's votes."""
+    return F.expr(" + ".join(f"case when {test} then {vote} else 0 end" for vote, test in VOTES.values()))
 
 
 def weak_label() -> Column:
-    """1 for clear spam, 0 for a clear text, table or list of the domain, null where no rule speaks."""
-    return F.create_map(*[F.lit(x) for name, (label, _) in RULES.items() for x in (name, label)])[F.col("rule")]
+    """1 or 0 where the votes are clear, else null."""
+    return F.when(F.col("votes") >= MARGIN, 1.0).when(F.col("votes") < 0, 0.0)
 
 
 def scored(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """(key, host, page_score, host_rate, score) of each page that is not blank; spam from a score of 0.5 on."""
-    rows = staged(features(pages, key, text, host).withColumn("rule", weak_rule()).withColumn("label", weak_label()), "page-features")
-    counts = {r["rule"]: r["n_rows"] for r in rows.where("rule is not null").groupBy("rule").agg(F.count("*").alias("n_rows")).collect()}
-    if len({RULES[rule][0] for rule in counts}) < 2:
-        page = rows.withColumn("page_score", F.coalesce(F.col("label"), F.lit(0.0)))
+    """(key, host, votes, label, page_score, host_rate, score) of each page that is not blank; spam from a score of 0.5 on."""
+    rows = staged(features(pages, key, text, host).withColumn("votes", votes()).withColumn("label", weak_label()), "page-features")
+    counts = {(r["label"], r["votes"]): r["n_rows"] for r in rows.where("label is not null").groupBy("label", "votes").agg(F.count("*").alias("n_rows")).collect()}  # one row per sum of votes
+    if len({label for label, _ in counts}) < 2:
+        page = rows.withColumn("page_score", F.coalesce(F.col("label"), F.when(F.col("votes") > 0, 1.0).otherwise(0.0)))
     else:
-        share = F.create_map(*[F.lit(x) for rule, total in counts.items() for x in (rule, min(1.0, MAX_LABELLED / total))])
-        drawn = rows.where("rule is not null").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6 < share[F.col("rule")])
+        share = F.create_map(*[F.lit(x) for (_, v), total in counts.items() for x in (v, min(1.0, MAX_LABELLED / total))])
+        drawn = rows.where("label is not null").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6 < share[F.col("votes")])
         vector = VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep")
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=8, minInstancesPerNode=2,
@@ -267,16 +275,30 @@ def scored(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:
         sample = staged(drawn.select("label", *FEATURES), "page-labels")
         model = forest.fit(vector.transform(sample.coalesce(4)))
         page = model.transform(vector.transform(rows)).withColumn("page_score", vector_to_array("probability")[1])
-    short = (F.col("n") < MIN_TOKENS) & (F.col("link_share") < 0.5)
-    page = page.select("key", "host", F.when(short, 0.0).otherwise(F.col("page_score")).alias("page_score"))
+    page = page.select("key", "host", "votes", "label", "page_score")
     page = staged(page, "page-scores")
     prior = page.agg(F.avg("page_score")).first()[0]
     prior = min(max(prior if prior is not None else 0.5, 0.001), 0.999)
     hosts = page.where("host is not null").groupBy("host").agg(((F.sum("page_score") + PRIOR_PAGES * prior) / (F.count("*") + PRIOR_PAGES)).alias("host_rate"))
     odds = lambda p: F.log(F.greatest(p, F.lit(0.001)) / F.greatest(1 - p, F.lit(0.001)))
-    both = page.join(hosts, "host", "left")
+    hosts = staged(hosts, "host-rates")
+    known = page.where("host is not null").join(sized(hosts), "host", "left")
+    both = known.unionByName(page.where("host is null").withColumn("host_rate", F.lit(None).cast("double")))
     moved = odds(F.col("page_score")) + HOST_WEIGHT * (odds(F.coalesce("host_rate", F.lit(prior))) - odds(F.lit(prior)))
-    return both.select(F.col("key").alias(key), "host", "page_score", "host_rate", (1 / (1 + F.exp(-moved))).alias("score"))
+    return both.select(F.col("key").alias(key), "host", "votes", "label", "page_score", "host_rate", (1 / (1 + F.exp(-moved))).alias("score"))
+
+
+def decision_report(scores: DataFrame) -> DataFrame:
+    """(n_pages, n_spam, n_by_label, n_beyond_labels, n_labels_overturned, n_moved_by_host) of `scored` pages.
+
+    n_beyond_labels: spam that no weak label called so; n_moved_by_host: pages on whose verdict the host's rate decides.
+    """
+    spam, by_page = F.col("score") >= 0.5, F.col("page_score") >= 0.5
+    labelled = F.coalesce(F.col("label") == 1.0, F.lit(False))
+    return scores.agg(
+        F.count("*").alias("n_pages"), F.count_if(spam).alias("n_spam"), F.count_if(spam & labelled).alias("n_by_label"), F.count_if(spam & ~labelled).alias("n_beyond_labels"),
+        F.count_if(F.col("label").isNotNull() & ((F.col("label") == 1.0) != spam)).alias("n_labels_overturned"), F.count_if(spam != by_page).alias("n_moved_by_host"),
+    )
 
 
 def spam_pages(pages: DataFrame, key: str, text: str, host: str) -> DataFrame:

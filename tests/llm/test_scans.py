@@ -87,3 +87,31 @@ def test_index_finds_every_single_misreading(spark):
     got = {(r.word, r.right) for r in scans.corrections(spark.createDataFrame([(w, 1) for w in wrong], "word string, own bigint"), known).collect()}
     limit = lambda w: scans.MAX_COST / 2 if len(w) < 6 else scans.MAX_COST
     assert got == {(w, v) for w in wrong for v in set(VOCABULARY) if scans.misread_cost(w, v) <= limit(w)}
+
+
+def test_words_with_two_misreadings_are_found(spark):
+    """Every pair of confusions in the longer words: nine in ten of those that the distance admits meet their right form."""
+    words = [w for w in dict.fromkeys(VOCABULARY) if len(w) >= 6]
+    pairs = [p.split(":") for p in scans.CONFUSIONS.split() if p.isascii()]
+    made = {}
+    for w in words:
+        once = {w[:i] + b + w[i + len(a) :] for a, b in pairs for i in range(len(w)) if w.startswith(a, i)}
+        for x in once:
+            for a, b in pairs:
+                for i in range(len(x)):
+                    if x.startswith(a, i):
+                        y = x[:i] + b + x[i + len(a) :]
+                        if y not in words and 0.3 < scans.misread_cost(y, w, scans.MAX_COST) <= scans.MAX_COST:
+                            made[y] = w
+    assert len(made) > 500
+    known = spark.createDataFrame([(w, 500) for w in dict.fromkeys(VOCABULARY)], "word string, n bigint")
+    got = {(r.word, r.right) for r in scans.corrections(spark.createDataFrame([(w, 1) for w in made], "word string, own bigint"), known).collect()}
+    recall = sum(x in got for x in made.items()) / len(made)
+    print("double misreadings found", round(recall, 4), "of", len(made))
+    assert recall >= 0.9
+
+
+def test_stray_signs_and_long_words(spark):
+    known = spark.createDataFrame([("expenditure", 500), ("x" * 60 + "e", 500)], "word string, n bigint")
+    asked = spark.createDataFrame([("expen*diture", 1), ("x" * 60 + "c", 1)], "word string, own bigint")
+    assert {(r.word, r.right) for r in scans.corrections(asked, known).collect()} == {("expen*diture", "expenditure"), ("x" * 60 + "c", "x" * 60 + "e")}

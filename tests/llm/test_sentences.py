@@ -62,6 +62,14 @@ def test_null_empty_blank_and_very_long(spark):
     assert len(got[4]) == 20_000 and got[5] == ["A \ue0ff one.", "B two."]
 
 
+def test_long_quotations_and_unbalanced_marks(spark):
+    inner = "We count it. Then we close it! " * 60
+    thai = "เรายอมรับ จะแก้ไข " * 60
+    texts = [f"He wrote: “{inner.strip()}” and left. Next one.", f"„{inner.strip()}“, schrieb er. Nun gut.", f"ผู้จัดการเขียนว่า “{thai.strip()}” และปิดเรื่อง", "A pipe of 5” was laid. It is new. One of 6” too. Done now."]
+    got = found(spark, texts)
+    assert [len(x) for x in got] == [2, 2, 1, 4]
+
+
 def test_repeated_units_clashing_names_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "A one. B two.", "x"), (1, "A one. B two.", "y"), (None, "C. D.", "z")], "id int, content string, found string")
     assert sentences.sentence_spans(df, "id", "content").count() == 2

@@ -51,9 +51,21 @@ def test_pages(pages):
 
 def test_scores_move_towards_the_host_rate(pages):
     df, _ = pages
-    rows = spam.scored(df, "doc_id", "text", "issuer").where("host is not null and page_score between 0.02 and 0.98").collect()
-    prior = sum(r.page_score for r in rows) / max(1, len(rows))
-    assert all((r.score >= r.page_score) == (r.host_rate >= r.host_rate) or prior for r in rows)
+    rows = spam.scored(df, "doc_id", "text", "issuer").collect()
+    prior = sum(r.page_score for r in rows) / len(rows)
+    inner = [r for r in rows if r.host and 0.002 < r.page_score < 0.998 and abs(r.host_rate - prior) > 1e-6]
+    assert inner and all((r.score > r.page_score) == (r.host_rate > prior) for r in inner)
+    assert all(r.host_rate is None for r in rows if r.host is None)
+
+
+def test_scripts_without_spaces_and_the_report(spark, pages):
+    df, _ = pages
+    rows = [(2000, "税务报告" * 200), (2001, "ภาษีรายได้" * 150), (2002, "税务报告，" * 200), (2003, "委员会审查了上一年度的预算报告，并要求财务部门在六月底之前提交修订后的支出计划。审计人员核实了工资台账。" * 1), (2004, "x")]
+    more = df.unionByName(spark.createDataFrame([(*r, "z", 0) for r in rows], df.schema))
+    scores = spam.scored(more, "doc_id", "text", "issuer").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in scores.where("score >= 0.5 and doc_id >= 2000").collect()} == {2000, 2001, 2002}
+    report = spam.decision_report(scores).first()
+    assert report.n_spam == report.n_by_label + report.n_beyond_labels and report.n_pages == scores.count()
 
 
 def test_one_kind_only_and_empty(spark, pages):
