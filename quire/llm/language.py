@@ -3,7 +3,9 @@
 Each language has a codeword. One binary n-gram classifier per bit of the code is fitted on a bounded sample of
 labelled units (MAX_UNITS a language, drawn by a hash of the key) whose noisy labels a second round cleans; its
 weights are log odds of hashed character n-grams. A line's bits are decoded to the codeword of least loss, each
-bit weighted by its classifier's reliability; a small gap to the next codeword flags the line as ambiguous.
+bit weighted by its classifier's reliability; a small gap to the next codeword flags the line as ambiguous. A document
+has the languages of its lines; its confidence is the mean share of its language's codeword (of both languages' if it is
+mixed) in the likelihoods that its lines give to all codewords, and a small one flags it too.
 
 Defined cases: null, empty and blank texts have no language; a line without letters takes the language of the
 line it continues or of the document; repeated rows count once; a document without text keeps no verdict and is
@@ -12,6 +14,7 @@ no case; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +45,13 @@ LANGUAGES = [x for x in LABELS if x != "mixed"]
 BITS, BUCKETS = 15, 1 << 14
 #: Bound of the training sample, in units of each language.
 MAX_UNITS = 1500
-#: A second language makes a document mixed from this share of its lines on.
+#: A second language makes a document mixed from this share of its lines on, among all and among those that are sure.
 MIXED_SHARE = 0.05
 #: A line speaks for a language of its document only if its confidence is at least this.
 SURE = 0.9
 ENOUGH = 16  # n-grams that a line must have to be sure
+GAP = 1.0  # a line of a mixed document whose loss lies less than this from that of the other language is ambiguous
+CLEAR = 0.8  # a document of less confidence than this is ambiguous
 CONTEXT = 0.6  # weight of a line that the next one continues
 TEMPERATURE = 0.25
 CHUNK = 150_000  # characters scored at a time in a task
@@ -165,7 +170,7 @@ def losses(margins: np.ndarray, reliability: np.ndarray) -> np.ndarray:
 
 
 def scored_lines(units: DataFrame, weights: np.ndarray, reliability: np.ndarray) -> DataFrame:
-    """(ldu_id, doc_id, lines) with, for each line, its place, best language, confidence, ambiguity and all losses."""
+    """(ldu_id, doc_id, lines) with, for each line, its place, best language, confidence, a mark of its text and the share of each language."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,18 +179,19 @@ def scored_lines(units: DataFrame, weights: np.ndarray, reliability: np.ndarray)
             loss = losses(margins, reliability)
             best = loss.argmin(1)
             gap = np.exp(np.maximum(-(loss - loss.min(1, keepdims=True)), -50))
-            sure = np.where(size >= ENOUGH, 1 / gap.sum(1), 0.0)
+            share = gap / gap.sum(1, keepdims=True)
+            sure = np.where(size >= ENOUGH, share.max(1), 0.0)
             out, at = [], 0
             for text, n in zip(texts, per):
                 own = text.split("\n")
                 out.append([
-                    {"no": i + 1, "best": int(best[at + i]) if size[at + i] > 0 else -1, "sure": float(sure[at + i]), "loss": loss[at + i].tolist()}
+                    {"no": i + 1, "best": int(best[at + i]) if size[at + i] > 0 else -1, "sure": float(sure[at + i]), "mark": zlib.crc32(own[i].strip().encode("utf-8", "replace")), "share": share[at + i].tolist()}
                     for i in range(n) if own[i].strip()
                 ])
                 at += n
             yield pd.DataFrame({"ldu_id": batch["ldu_id"], "doc_id": batch["doc_id"], "lines": out})
 
-    schema = "ldu_id string, doc_id string, lines array<struct<no:int,best:int,sure:float,loss:array<float>>>"
+    schema = "ldu_id string, doc_id string, lines array<struct<no:int,best:int,sure:float,mark:bigint,share:array<float>>>"
     return units.select("ldu_id", "doc_id", "content").mapInPandas(score, schema)
 
 
@@ -229,27 +235,38 @@ def name_of(index: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LANGUAGES]), index)
 
 
-def verdicts(lines: DataFrame, single: DataFrame) -> DataFrame:
-    """(doc_id, language, confidence, first, second) of each document; those in `single` are in one language."""
+def verdicts(lines: DataFrame) -> DataFrame:
+    """(doc_id, language, language_confidence, ambiguous, first, second) of each document.
+
+    Lines of enough evidence name a document's languages; it is mixed if two of them each have their share of those and of
+    all lines. A line that a document repeats, as pages repeat their running lines, counts once in that.
+    """
     each = lines.select("doc_id", F.inline("lines"))
-    tally = each.groupBy("doc_id", "best").agg(
-        F.count("*").alias("n"), F.count_if(F.col("sure") >= SURE).alias("n_sure"), F.sum(F.when(F.col("sure") >= SURE, F.col("sure")).otherwise(0.0)).alias("weight")
-    )
+    sums = [F.sum(F.get("share", F.lit(i))).alias(f"s{i}") for i in range(len(LANGUAGES))]
+    tally = each.groupBy("doc_id", "best").agg(F.count("*").alias("n"), F.count_if(F.col("sure") >= SURE).alias("n_sure"), *sums)
     rank = Window.partitionBy("doc_id").orderBy(F.desc("n_sure"), F.desc("n"), "best")
-    every = Window.partitionBy("doc_id")
-    ranked = tally.withColumn("total", F.sum("n").over(every)).where("best >= 0").withColumn("rank", F.row_number().over(rank))
+    ranked = tally.where("best >= 0").withColumn("rank", F.row_number().over(rank))
     top = ranked.groupBy("doc_id").agg(
-        F.max("total").alias("total"),
+        F.sum("n").alias("total"), F.sum("n_sure").alias("total_sure"),
         F.max(F.when(F.col("rank") == 1, F.struct("best", "n", "n_sure"))).alias("a"),
         F.max(F.when(F.col("rank") == 2, F.struct("best", "n", "n_sure"))).alias("b"),
+        F.array(*(F.sum(f"s{i}") / F.sum("n") for i in range(len(LANGUAGES)))).alias("shares"),
     )
-    top = top.join(single.withColumn("one", F.lit(True)), "doc_id", "left")
-    both = F.col("one").isNull() & (F.col("b.n_sure") >= MIXED_SHARE * F.col("total")) & (F.col("a.n_sure") >= MIXED_SHARE * F.col("total"))
-    both = F.coalesce(both, F.lit(False))
+    top = staged(top, "language-tallies")
+    enough = lambda part, whole: (F.col(part) >= MIXED_SHARE * F.col(whole)) & (F.col(part) > 0)
+    likely = top.where(enough("b.n_sure", "total_sure") & enough("b.n", "total")).select("doc_id", F.col("b.best").alias("other"))
+    once = lines.join(sized(likely), "doc_id").select("doc_id", "other", F.inline("lines")).where("best >= 0").dropDuplicates(["doc_id", "mark"])
+    sure, other = F.col("sure") >= SURE, F.col("best") == F.col("other")
+    counted = once.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(other).alias("m"), F.count_if(sure).alias("k"), F.count_if(sure & other).alias("j"))
+    mixed = counted.where(enough("m", "n") & enough("j", "k")).select("doc_id", F.lit(True).alias("both"))
+    top = top.join(mixed, "doc_id", "left")
+    both = F.coalesce("both", F.lit(False))
+    own = F.get("shares", F.col("a.best")) + F.when(both, F.get("shares", F.col("b.best"))).otherwise(0.0)
     return top.select(
         "doc_id",
         F.when(both, F.lit("mixed")).otherwise(name_of(F.col("a.best"))).alias("language"),
-        (F.when(both, F.col("a.n_sure") + F.col("b.n_sure")).otherwise(F.col("a.n_sure")) / F.col("total")).alias("language_confidence"),
+        own.alias("language_confidence"),
+        (own < CLEAR).alias("ambiguous"),
         F.when(both, F.col("a.best")).alias("first"),
         F.when(both, F.col("b.best")).alias("second"),
     )
@@ -261,16 +278,15 @@ def identified(profiles: DataFrame, ldus: DataFrame) -> tuple[DataFrame, DataFra
     labels = profiles.select("doc_id", spoken(F.col("language")).alias("language")).where("doc_id is not null and language is not null")
     weights, reliability = trained(units, labels)
     lines = staged(scored_lines(units, weights, reliability), "line-languages").dropDuplicates(["ldu_id"])
-    single = profiles.where("origin_type <> 'native_digital' and doc_id is not null").select("doc_id").distinct()
-    docs = staged(verdicts(lines, single), "document-languages")
+    docs = staged(verdicts(lines), "document-languages")
     pair = docs.where("language = 'mixed'").select("doc_id", "first", "second")
     each = lines.join(sized(pair), "doc_id").select("ldu_id", "doc_id", "first", "second", F.inline("lines"))
-    gap = F.get("loss", F.col("second")) - F.get("loss", F.col("first"))  # positive: the first language is nearer
+    gap = F.log(F.get("share", F.col("first"))) - F.log(F.get("share", F.col("second")))  # positive: the first language is nearer
     segments = each.select(
         "ldu_id", "doc_id", F.col("no").alias("seg_no"),
         name_of(F.when(gap >= 0, F.col("first")).otherwise(F.col("second"))).alias("language"),
         (1 / (1 + F.exp(-F.abs(gap)))).alias("confidence"),
-        (F.abs(gap) < 1.0).alias("ambiguous"),
+        (F.abs(gap) < GAP).alias("ambiguous"),
     )
     return docs, segments
 

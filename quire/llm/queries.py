@@ -21,6 +21,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.found(table(spark, folder, "profiles"), table(spark, folder, "ldus"))
 
 
+def p2_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document with text units, with the confidence of its decoding and whether it is ambiguous."""
+    docs, _ = language.identified(table(spark, folder, "profiles"), table(spark, folder, "ldus"))
+    return docs.select("doc_id", "language", "language_confidence", "ambiguous")
+
+
+def p2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each line of the documents in two languages, with its confidence and whether it is ambiguous."""
+    _, segments = language.identified(table(spark, folder, "profiles"), table(spark, folder, "ldus"))
+    return segments
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Divided words, misread words, running lines and page numbers of scanned and mixed documents."""
     return scans.found(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
@@ -64,6 +76,8 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_documents": p2_documents,
+    "p2_lines": p2_lines,
     "p4_found": p4_found,
     "p4_text": p4_text,
     "p6_containers": p6_containers,

@@ -58,10 +58,18 @@ def test_found(tables):
         assert lines[(f"d{d}-0", 4)] in ("en", "am")
 
 
-def test_scanned_documents_are_in_one_language(spark, tables):
+def test_repeated_lines_make_no_document_mixed(spark, tables):
+    """The origin of a document decides nothing: running lines in another language recur on its pages, but count once."""
     profiles, units, _ = tables
-    docs, segments = L.identified(profiles.withColumn("origin_type", F.lit("scanned_image")), units)
-    assert docs.where("language = 'mixed'").count() == 0 and segments.count() == 0
+    page = lambda p: "\n".join([*(sentence("am", 7000 + 10 * p + k) for k in range(8)), "The auditor checked every branch report"])
+    scanned = spark.createDataFrame([(f"s-{p}", "scan", "text", page(p), "x") for p in range(6)], units.schema)
+    more = profiles.unionByName(spark.createDataFrame([(990, "scan", "scanned_image", "am")], profiles.schema))
+    docs, segments = L.identified(more, units.unionByName(scanned))
+    got = {r.doc_id: r for r in docs.collect()}
+    assert got["scan"].language == "am" and 0.8 < got["scan"].language_confidence < 0.95 and not got["scan"].ambiguous
+    assert {d for d, r in got.items() if r.language == "mixed"} == {f"d{d}" for d in range(150, 160)}
+    assert all(0.5 <= r.language_confidence <= 1 for r in got.values())
+    assert all(0.5 <= r.confidence <= 1 for r in segments.collect())
 
 
 def test_empty_tables(tables):
