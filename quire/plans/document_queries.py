@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import agent, chunk, extract, facts, nested, page_index, route, search, triage
 from quire.operators.arrivals import first_arrivals
+from quire.plans.problem_queries import SECTIONS
 from quire.sources.tables import table
 from quire.streaming import ledger
 
@@ -279,12 +280,31 @@ def page_entries(spark: SparkSession, folder: str) -> DataFrame:
     return page_index.page_index(table(spark, folder, "ldus"))
 
 
-@_query()
+_SPAN_PAGES = "list_distinct(list_filter(list_transform(coalesce(provenance.spans, []), lambda s: s.page), lambda x: x > 0))"
+_UNIT_PAGES = f"case when coalesce(len(page_refs), 0) > 0 then list_distinct(list_filter(page_refs, lambda x: x > 0)) else {_SPAN_PAGES} end"
+_FLAT = lambda text: f"""replace({_strip(f"coalesce({text}, '')")}, chr(10), ' ')"""
+_PAGES = f"""items as (select doc_id, kind, length({_SHORT}) as size, page from (select doc_id, block_type as kind, {_FLAT("text")} as f, unnest({_SPAN_PAGES}) as page from {_FIRST_BLOCKS}
+  union all select doc_id, chunk_type, {_FLAT("content")}, unnest({_UNIT_PAGES}) from {_FIRST_UNITS}) where doc_id is not null),
+named as (select doc_id, page, count(*) as item_count, sum(size)::bigint as char_count, array_to_string(list_sort(list(distinct kind)), ',') as data_types from items group by all),
+pages as (select * from named union all select doc_id, unnest(range(1, greatest(coalesce(max(page_count), 1), 1) + 1))::int as page, 0, 0, '' from profiles where doc_id is not null and doc_id not in (select doc_id from named) group by doc_id)"""
+
+
+@_query(f"with {_PAGES} select * from pages")
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The page index of whole documents: extracted blocks and units of each page, and the pages that have neither."""
     return page_index.document_pages(table(spark, folder, "blocks"), table(spark, folder, "ldus"), table(spark, folder, "profiles"))
 
 
+@_query(f"""
+with i as (select doc_id, 'extracted_block' as source, block_id as unit_id, pos, block_type as chunk_type, {_FLAT("text")} as f, provenance.content_hash as content_hash,
+  list_filter(list_transform(coalesce(provenance.spans, []), lambda s: s.bbox), lambda x: len(x) = 4)[1] as box, unnest({_SPAN_PAGES}) as page from {_FIRST_BLOCKS}
+  union all select doc_id, 'ldu', ldu_id, pos, chunk_type, {_FLAT("content")}, content_hash, case when len(bounding_box) = 4 then bounding_box end, unnest({_UNIT_PAGES}) from {_FIRST_UNITS})
+select doc_id, page, source, unit_id, pos, chunk_type, {_SHORT} as snippet, content_hash, box[1] as x0, box[2] as y0, box[3] as x1, box[4] as y1 from i where doc_id is not null""")
+def page_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of each page, blocks before units: type, snippet, hash and box."""
+    return page_index.page_items(table(spark, folder, "blocks"), table(spark, folder, "ldus"))
+
+
 _T = _strip("coalesce(content, '')")
 _LEVEL = (
     "case when regexp_matches(t, '^\\d+\\.\\s') then least(length(regexp_replace(string_split(t, ' ')[1], '[^.]', '', 'g')) + 1, 4) "
@@ -293,27 +313,50 @@ _LEVEL = (
 )
 
 
-@_query(f"""
-with o as (select *, {_T} as t, case when coalesce(len(page_refs), 0) > 0 then page_refs[1] else 1 end as p1, case when coalesce(len(page_refs), 0) > 0 then page_refs[len(page_refs)] else 1 end as p2 from {_ORDERED}),
+_TREE = f"""o as (select *, {_T} as t, case when coalesce(len(page_refs), 0) > 0 then page_refs[1] else 1 end as p1, case when coalesce(len(page_refs), 0) > 0 then page_refs[len(page_refs)] else 1 end as p2 from {_ORDERED}),
 r as (select *, max(case when chunk_type = 'header' then seq end) over (partition by doc_id order by seq rows unbounded preceding) as owner, coalesce({_LEVEL}, 1) as level from o),
 y as (select doc_id, owner as seq, chunk_type, min(seq) as f, max(p2) as mp, count(*) as n from r where chunk_type <> 'header' and owner is not null group by all),
 m as (select doc_id, seq, max(mp) as mp, sum(n) as n, array_to_string(list(chunk_type order by f), ',') as types from y group by all),
 h as (select doc_id, seq, t, level, p1, p2 from r where chunk_type = 'header'),
 k as (select a.doc_id, a.seq, max(b.seq) as parent_seq from h a join h b on a.doc_id = b.doc_id and b.seq < a.seq and b.level < a.level group by all),
-c as (select a.doc_id, a.seq, min_by(b.p1, b.seq) as closing from h a join h b on a.doc_id = b.doc_id and b.seq > a.seq and b.level <= a.level group by all)
-select doc_id, seq, left(t, 120) as title, level, parent_seq, p1 as page_start, greatest(p2, coalesce(mp, p2), coalesce(closing - 1, p2)) as page_end, (coalesce(n, 0) + 1)::bigint as n_units, coalesce(types, '') as data_types
-from h left join m using (doc_id, seq) left join k using (doc_id, seq) left join c using (doc_id, seq)""")
+c as (select a.doc_id, a.seq, min_by(b.p1, b.seq) as closing from h a join h b on a.doc_id = b.doc_id and b.seq > a.seq and b.level <= a.level group by all),
+tree as (select doc_id, seq, left(t, 120) as title, level, parent_seq, p1 as page_start, greatest(p2, coalesce(mp, p2), coalesce(closing - 1, p2)) as page_end, (coalesce(n, 0) + 1)::bigint as n_units, coalesce(types, '') as data_types
+from h left join m using (doc_id, seq) left join k using (doc_id, seq) left join c using (doc_id, seq))"""
+
+
+@_query(f"with {_TREE} select * from tree")
 def section_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Each header's section: level, parent, pages and units."""
     return page_index.sections(table(spark, folder, "ldus"))
 
 
-@_query()
+_NOTES = r"""regexp_extract_all(c, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1) || regexp_extract_all(c, '(?i)\$[\p{Nd},\.]+SPACE*(?:million|billion|B|M|K)?|\p{Nd}[\p{Nd},\.]*%')""".replace("SPACE", SQL_SPACE)
+_SUMMARY = f"""left({_strip("list_reduce(list_prepend('', s), lambda acc, x: case when length(acc) < 300 and length(x) > 20 then acc || x || ' ' else acc end)")}, 300)"""
+_DOCUMENT_TREE = f"""{_TREE},
+bare as (select doc_id from o group by doc_id having not bool_or(coalesce(chunk_type = 'header', false))),
+roots as (select doc_id, 1::bigint as seq, 'Document' as title, 1 as level, null::bigint as parent_seq, min(list_min(case when coalesce(len(page_refs), 0) > 0 then page_refs else [1] end)) as page_start,
+  max(list_max(case when coalesce(len(page_refs), 0) > 0 then page_refs else [1] end)) as page_end, count(*) as n_units, array_to_string(list_sort(list(distinct chunk_type)), ',') as data_types from o join bare using (doc_id) group by doc_id),
+parts as (select doc_id, owner as seq, string_agg(coalesce(content, ''), ' ' order by r.seq) as c from r where owner is not null group by all
+  union all select doc_id, 1, string_agg(coalesce(content, ''), ' ' order by seq) from o join bare using (doc_id) where seq <= 50 group by doc_id),
+noted as (select doc_id, seq, {_NOTES} as e, regexp_split_to_array(regexp_replace({_strip("c")}, '([.!?]){SQL_SPACE}+', '\\1' || chr(57344), 'g'), chr(57344)) as s from parts),
+whole as (select t.*, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:8], '; ') as entities, {_SUMMARY} as summary from (select * from tree union all select * from roots) t left join noted using (doc_id, seq))"""
+
+
+@_query(f"with {_DOCUMENT_TREE} select * from whole")
 def document_sections(spark: SparkSession, folder: str) -> DataFrame:
     """The sections of every document with their entities and summaries, documents without headers as one section."""
     return page_index.document_sections(table(spark, folder, "ldus"))
 
 
+@_query(f"""with {_DOCUMENT_TREE}, {_PAGES}, heads as (select doc_id, count(*) as section_count from whole where parent_seq is null group by doc_id)
+select doc_id, count(*) as page_count, sum(item_count)::bigint as item_count, array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(data_types, ','))), lambda x: x <> ''))), ',') as data_types,
+  coalesce(any_value(section_count), 0) as section_count, 'extractive' as summary_mode from pages left join heads using (doc_id) group by doc_id""")
+def document_indexes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document's page index says of itself: pages, items, types, top sections."""
+    blocks, units, profiles = (table(spark, folder, t) for t in ("blocks", "ldus", "profiles"))
+    return page_index.document_indexes(page_index.document_pages(blocks, units, profiles), page_index.document_sections(units))
+
+
 @_query(rf"""
 with u as (select ldu_id, content, {_T} as t, regexp_extract_all(content, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1) || regexp_extract_all(content, '(?i)\$[\d,\.]+\s*(?:million|billion|B|M|K)?|\d[\d,\.]*%') as e from {_FIRST_UNITS} where content is not null),
 f as (select *, list_filter(e, lambda x, i: list_position(e, x) = i) as d, regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)) as s from u)
@@ -415,21 +458,57 @@ def _measures(spark: SparkSession, folder: str) -> DataFrame:
     return named.where("question <> ''").distinct()
 
 
-@_query()
+_MEASURES = r"select distinct trim(regexp_replace(field_name, '[,(].*$', '')) as question from facts where field_name is not null and trim(regexp_replace(field_name, '[,(].*$', '')) <> ''"
+_IN = lambda t, w: f"(length({t}) - length(replace({t}, {w}, ''))) // length({w})"
+
+
+def _section_hits(asked: str, own: str, by: str) -> str:
+    """The three best sections of each question; asked has the questions, `own` the columns that they share with sections."""
+    return f"""texts as (select index_id, node_path, pre, lower(coalesce(title, '')) as t, lower(coalesce(summary, '')) as s, lower(replace(key_entities, '; ', chr(10))) as e from section),
+words as (select question{own}, lower(question) as topic, unnest(list_filter(regexp_split_to_array(lower(trim(question)), '\\s+'), lambda x: x <> '')) as word from ({asked})),
+counts as (select question{own if own else ', index_id'}, node_path, pre, any_value({_IN("t", "topic")}) * 3 + sum({_IN("t", "word")} * 2 + {_IN("s", "word")} * 0.5 + {_IN("e", "word")}) as score from words join texts {by} group by all),
+found as (select question, row_number() over (partition by question{own} order by score desc, index_id, pre) as rank, index_id, node_path, score::double as score from counts where score > 0 qualify rank <= 3)"""
+
+
+@_query(f"{SECTIONS}, {_section_hits(_MEASURES, '', 'on true')} select * from found")
 def section_search(spark: SparkSession, folder: str) -> DataFrame:
     """For each measure named in the fact table, the three sections that speak of it most."""
     section = nested.node_tables(table(spark, folder, "page_indexes"))["section"]
     return agent.section_top(section, _measures(spark, folder))
 
 
-@_query()
+_GENERIC = " or ".join(f"contains(lower(t), '{w}')" for w in agent.NO_TOPICS)
+_CUES = {d: " or ".join(f"contains(x, '{w}')" for w in words) for d, words in agent.DOMAIN_CUES.items()}
+_DOMAIN = " ".join(f"when {cues} then '{d}'" for d, cues in _CUES.items())
+_TEMPLATE = " ".join(f"when '{d}' then [{', '.join(repr(t) for t in ts)}]" for d, ts in agent.TEMPLATES.items())
+_QUESTIONS = f"""{SECTIONS}, titled as (select *, trim(coalesce(title, '')) as t from section),
+judged as (select *, length(t) < 8 or {_GENERIC} or (regexp_matches(t, '^\\d+[.\\s]') and length(t) < 20) as dropped from titled),
+seen as (select *, max(case when dropped then post end) over (partition by index_id order by pre rows between unbounded preceding and 1 preceding) as above, coalesce(lead(depth) over (partition by index_id order by pre) <= depth, true) as leaf from judged),
+live as (select * from seen where not dropped and (above is null or above < post) and (depth > 1 or leaf) qualify row_number() over (partition by index_id, left(lower(t), 40) order by pre) = 1),
+own as (select index_id, list(t order by pre)[1:3] as topics from live group by index_id),
+tops_ as (select index_id, string_agg(coalesce(title, ''), ' ' order by pre) as titles from section where depth = 1 group by index_id),
+docs as (select distinct on (index_id) index_id, doc_id from page_indexes where index_id is not null and doc_id is not null),
+told as (select index_id, doc_id, lower(doc_id || ' ' || coalesce(titles, '')) as x, coalesce(topics, []) as f, list_filter(regexp_extract_all(regexp_replace(doc_id, '[_-]', ' ', 'g'), '[A-Za-z]{{4,}}'), lambda w: length(w) > 5) as w from docs left join tops_ using (index_id) left join own using (index_id)),
+padded as (select index_id, doc_id, case {_DOMAIN} else 'general' end as domain, case when len(f) < 3 then f || w else f end as p from told),
+three as (select index_id, doc_id, case domain {_TEMPLATE} end as templates, ((case when len(p) = 0 then ['the main subject', 'key findings', 'financial data'] else p end) || ['{agent.LAST_TOPIC}', '{agent.LAST_TOPIC}', '{agent.LAST_TOPIC}'])[1:3] as topics from padded),
+asked as (select index_id, doc_id, i::int as question_no, replace(templates[i], '{{topic}}', topics[i]) as question from three, (select unnest([1, 2, 3]) as i))"""
+_ANSWERS = f"""asks as (select doc_id, question, unnest(list_filter(regexp_split_to_array(trim(lower(question)), '\\s+'), lambda x: x <> '')) as word from (select distinct doc_id, question from asked)),
+units as (select doc_id, ldu_id, content, lower(content) as c, content_hash, [x.page for x in case when len(provenance.spans) > 0 then provenance.spans else list_transform(coalesce(page_refs, []), lambda p: {{'page': p, 'bbox': bounding_box}}) end] as pages from {_FIRST_UNITS} where content is not null),
+scored as (select doc_id, question, ldu_id, sum({_IN("c", "word")}) / count(*) as score from asks join units using (doc_id) group by all),
+best as (select *, row_number() over (partition by doc_id, question order by score desc, ldu_id) as rank from scored where score > 0 qualify rank <= 3)"""
+_NUMBERS = r"(?i)\b(?:revenue|profit|loss|expenditure|total|amount|cost|budget|income|tax|rate|ratio|value|year|quarter|q\d)\b"
+_FACTS = f"""topics as (select distinct lower(regexp_extract(question, '{_NUMBERS}')) as topic from asked where regexp_matches(question, '{_NUMBERS}')),
+firsts as (select topic, row_number() over (partition by topic order by id) as rank, id from topics join (select distinct on (id) id, lower(field_name) as f from facts where field_name is not null) on contains(f, topic) qualify rank <= 5)"""
+
+
+@_query(f"{_QUESTIONS} select * from asked")
 def document_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Three questions about each indexed document, from its sections."""
     indexes = table(spark, folder, "page_indexes")
     return agent.questions(indexes, nested.node_tables(indexes)["section"])
 
 
-@_query()
+@_query(f"""{_QUESTIONS}, {_ANSWERS} select a.*, coalesce(left(content, 300), '{agent.NO_ANSWER}') as answer, b.ldu_id from asked a left join (select * from best where rank = 1) b using (doc_id, question) left join units u on u.ldu_id = b.ldu_id""")
 def document_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Those questions with their answers from the documents' units."""
     return agent.answered(document_questions(spark, folder), table(spark, folder, "ldus"))
@@ -451,7 +530,20 @@ def verified_claims(spark: SparkSession, folder: str) -> DataFrame:
     return agent.verified(claims.select("id", "doc_id", F.concat_ws(" ", "field_name", "value").alias("claim")), table(spark, folder, "ldus"))
 
 
-@_query()
+@_query(f"{_QUESTIONS}, {_FACTS} select a.*, topic, rank, id from asked a join firsts on topic = lower(regexp_extract(question, '{_NUMBERS}'))")
 def question_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Those questions that ask for numbers, with the first facts about what they ask for."""
     return agent.question_facts(document_questions(spark, folder), table(spark, folder, "facts"))
+
+
+@_query(f"""{_QUESTIONS}, {_ANSWERS}, {_FACTS}, {_section_hits("select distinct index_id, question from asked", ", index_id", "using (index_id)")},
+h as (select doc_id, question, min_by(left(content, 300), rank) as answer, string_agg(ldu_id, '; ' order by rank) as ldu_ids, string_agg(array_to_string(pages, ','), '; ' order by rank) as pages, string_agg(content_hash, '; ' order by rank) as hashes from best join units using (doc_id, ldu_id) group by all),
+g as (select question, index_id, string_agg(node_path, '; ' order by rank) as sections from found group by all), f as (select topic, string_agg(id::varchar, '; ' order by rank) as fact_ids from firsts group by all)
+select a.*, coalesce(answer, '{agent.NO_ANSWER}') as answer, coalesce(ldu_ids, '') as ldu_ids, coalesce(pages, '') as pages, coalesce(hashes, '') as hashes, coalesce(sections, '') as sections, coalesce(fact_ids, '') as fact_ids,
+  case when regexp_matches(question, '{_NUMBERS}') then 'pageindex_navigate, semantic_search, structured_query' else 'pageindex_navigate, semantic_search' end as tools
+from asked a left join h using (doc_id, question) left join g using (index_id, question) left join f on topic = lower(regexp_extract(question, '{_NUMBERS}'))""")
+def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Those questions answered in full: answer, evidence with its provenance, sections, facts, and the tools that found them."""
+    asked = document_questions(spark, folder)
+    section = nested.node_tables(table(spark, folder, "page_indexes"))["section"]
+    return agent.ask(asked, table(spark, folder, "ldus"), section, table(spark, folder, "facts"))
