@@ -182,15 +182,24 @@ def merged_runs(loose: DataFrame, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            docs, places, starts = [], [], []
             for doc, seqs, sizes, held, opened in zip(x["doc_id"], x["seqs"], x["sizes"], x["held"], x["opened"]):
-                sizes, seqs = np.asarray(sizes), np.asarray(seqs)
-                nxt, _, _ = openings(sizes, size)
-                k = first_opening(sizes, held, size)
+                seqs = np.asarray(seqs)
                 start = np.full(len(seqs), opened, dtype=np.int64)
-                while k < len(seqs):
-                    start[k : nxt[k]] = seqs[k]
-                    k = nxt[k]
-                yield pd.DataFrame({"doc_id": doc, "seq": seqs, "chunk_seq": start})
+                if len(seqs) == 1 and held < 0:
+                    start[0] = seqs[0]
+                else:
+                    sizes = np.asarray(sizes)
+                    nxt, _, _ = openings(sizes, size)
+                    k = first_opening(sizes, held, size)
+                    while k < len(seqs):
+                        start[k : nxt[k]] = seqs[k]
+                        k = nxt[k]
+                docs += [doc] * len(seqs)
+                places.append(seqs)
+                starts.append(start)
+            if docs:
+                yield pd.DataFrame({"doc_id": docs, "seq": np.concatenate(places), "chunk_seq": np.concatenate(starts)})
 
     every = packs.join(before, ["doc_id", "run", "b"], "left").fillna(-1, ["held", "opened"])
     return every.mapInPandas(cut, "doc_id string, seq bigint, chunk_seq bigint")
