@@ -27,6 +27,11 @@ DOMAIN_CUES = {
     "survey": ["survey", "assessment", "performance", "initiative", "awareness"],
 }
 NO_TOPICS = ["introduction", "conclusion", "contents", "appendix", "annex", "references", "background", "overview", "summary", "methodology", "list of", "acknowledgement", "acronym", "table of"]
+DEFAULT_QUESTIONS = [
+    "What is the total revenue or income reported in this document?",
+    "What are the main findings or key conclusions of this report?",
+    "What budget allocations or expenditure figures are mentioned?",
+]
 LAST_TOPIC = "the main conclusions"
 NO_ANSWER = "No relevant content found."
 
@@ -77,6 +82,13 @@ def questions(page_indexes: DataFrame, section: DataFrame) -> DataFrame:
     return each.select("index_id", "doc_id", (F.col("question_no") + 1).alias("question_no"), "question")
 
 
+def default_questions(page_indexes: DataFrame) -> DataFrame:
+    """(index_id, doc_id, question_no, question): the questions put to every document, whatever its sections."""
+    docs = page_indexes.where("index_id is not null and doc_id is not null").select("index_id", "doc_id").dropDuplicates(["index_id"])
+    each = docs.select("*", F.posexplode(F.array(*map(F.lit, DEFAULT_QUESTIONS))).alias("at", "question"))
+    return each.select("index_id", "doc_id", (F.col("at") + 1).alias("question_no"), "question")
+
+
 def _snippets(units: DataFrame, size: int) -> DataFrame:
     return first_arrivals(units.select("ldu_id", "ingested_at", F.substring("content", 1, size).alias("snippet")), "ldu_id", "ingested_at").drop("ingested_at")
 

@@ -93,6 +93,22 @@ def quality(text: Column, strategy: Column) -> Column:
     return F.struct((score / 100).alias("qa_score"), (score < 65).alias("needs_review"), F.array_join(reasons, "; ").alias("reasons"))
 
 
+# Signs that recognition leaves in markdown.
+ODD_SIGNS = "∞①②③④⑤⑥⑦⑧⑨○●◉◌※"
+
+
+def markdown_flags(text: Column) -> Column:
+    """What speaks against extracted markdown: nothing there, odd signs, few letters and digits, or no clear script."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    n = lambda keep: F.length(F.regexp_replace(t, f"[^{keep}]", ""))
+    unclear = (F.length(t) - n("\\x00-\\x7F") >= 10) & (n("\\u1200-\\u137F") < 3) & (n("A-Za-z") < 10)
+    flags = F.array(
+        F.when(n(ODD_SIGNS) >= 3, "contains unusual OCR symbols"), F.when(n(r"\p{L}\p{N}") / F.length(t) < 0.35, "low alphanumeric ratio"),
+        F.when(unclear, "non-ascii text without clear script signal"),
+    )
+    return F.when(t == "", F.array(F.lit("empty extracted markdown"))).otherwise(F.array_compact(flags))
+
+
 def extraction_score(text: Column) -> Column:
     """Quality of extracted text from 0 to 1: for length, letters, different words and figures of finance, less for doubt and junk."""
     t = stripped(F.coalesce(text, F.lit("")))

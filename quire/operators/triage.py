@@ -94,3 +94,44 @@ def triaged(profiles: DataFrame) -> DataFrame:
         "profile_id", "doc_id", origin.alias("origin_type"), cost_tier(origin, F.col("layout_complexity")).alias("cost_tier"),
         domain_by_name(F.col("domain_hint"), F.col("doc_id")).alias("domain_hint"),
     )
+
+
+def text_samples(pages: DataFrame) -> DataFrame:
+    """(doc_id, sample): the texts of the first two pages (doc_id, page, text) that are not blank, each after a line break."""
+    early = pages.where("page <= 2").select("doc_id", "page", stripped(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
+    parts = early.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
+    return parts.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat(F.lit("\n"), x["t"])), "").alias("sample"))
+
+
+def profiled(signals: DataFrame, layout: DataFrame, samples: DataFrame, image_share: float = SCANNED_IMAGE_SHARE, text_chars: float = SCANNED_TEXT_CHARS) -> DataFrame:
+    """The profile of each document of signals (doc_id, page_count, averages), with layout signals and a text sample by doc_id.
+
+    A document without layout signals counts as one column, one without a sample as without text. The language is that of
+    the sample's script; a scanned document without one is told by its name, and is taken for English where that is silent.
+    """
+    rows = signals.join(layout, "doc_id", "left").join(samples, "doc_id", "left").where("doc_id is not null")
+    scanned = (F.coalesce("avg_image_area_ratio", F.lit(0.0)) >= image_share) & (F.coalesce("avg_text_chars_per_page", F.lit(0.0)) <= text_chars)
+    origin = F.when(scanned, "scanned_image").otherwise("native_digital")
+    shape = layout_complexity(F.coalesce("tableish_score", F.lit(0.0)), F.coalesce("figureish_score", F.lit(0.0)), F.coalesce("approx_column_count", F.lit(1)))
+    told = script_language(F.col("sample"))
+    named = named_language(F.col("doc_id"))
+    by_name = F.col("v.language").isNull() & (F.col("origin_type") == "scanned_image")
+    staged_rows = rows.select("*", origin.alias("origin_type"), shape.alias("layout_complexity"), told.alias("v"), domain_by_name(domain_of(F.col("sample")), F.col("doc_id")).alias("domain_hint"))
+    return staged_rows.select(
+        "doc_id", "origin_type", "layout_complexity", F.when(by_name, named).otherwise(F.col("v.language")).alias("language"),
+        F.when(by_name, F.when(named == "am", 0.85).otherwise(0.4)).otherwise(F.col("v.language_confidence")).alias("language_confidence"),
+        "domain_hint", "page_count", "avg_text_chars_per_page", "avg_image_area_ratio", cost_tier(F.col("origin_type"), F.col("layout_complexity")).alias("cost_tier"),
+    )
+
+
+def markdown_language(text: Column) -> Column:
+    """struct(language, script, confidence) of extracted markdown, by the counts of Ethiopic and Latin letters."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    ethiopic, latin = F.length(F.regexp_replace(t, "[^\\u1200-\\u137F]", "")), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    n = F.greatest(F.length(t), F.lit(1))
+    verdict = lambda lang, script, conf: F.struct(F.lit(lang).cast("string").alias("language"), F.lit(script).cast("string").alias("script"), F.lit(conf).alias("confidence"))
+    return (
+        F.when(t == "", verdict(None, None, 0.0)).when((ethiopic >= 5) & (latin >= 20), verdict("mixed", "mixed", 0.85))
+        .when((ethiopic >= 5) & (ethiopic / n > 0.03), verdict("am", "ethiopic", 0.9)).when((latin >= 20) & (latin / n > 0.15), verdict("en", "latin", 0.75))
+        .otherwise(verdict(None, None, 0.1))
+    )

@@ -120,6 +120,28 @@ def test_triage(spark):
     assert [r[0] for r in layout.select(triage.layout_complexity(F.col("t"), F.col("f"), F.col("c"))).collect()] == ["figure_heavy", "multi_column", "table_heavy", "single_column"]
 
 
+def test_profiles_from_signals(spark):
+    signals = spark.createDataFrame([("a", 3, 0.0, 1.0), ("b", 155, 2616.5, 0.0007), ("report_e.c-2011", 2, 0.0, 0.9), ("tax", 1, 500.0, None)], "doc_id string, page_count int, avg_text_chars_per_page double, avg_image_area_ratio double")
+    layout = spark.createDataFrame([("a", 1, 0.1, 0.9), ("b", 2, 0.12, 0.05)], "doc_id string, approx_column_count int, tableish_score double, figureish_score double")
+    pages = spark.createDataFrame([("b", 2, "and the income statement"), ("b", 1, " Balance sheet "), ("b", 3, "court"), ("a", 1, None)], "doc_id string, page int, text string")
+    got = {r.doc_id: (r.origin_type, r.layout_complexity, r.language, r.language_confidence, r.domain_hint, r.page_count, r.cost_tier) for r in triage.profiled(signals, layout, triage.text_samples(pages)).collect()}
+    assert got == {
+        "a": ("scanned_image", "figure_heavy", "en", 0.4, None, 3, "needs_vision_model"),
+        "b": ("native_digital", "multi_column", "en", 0.4, "financial", 155, "needs_layout_model"),
+        "report_e.c-2011": ("scanned_image", "single_column", "am", 0.85, "technical", 2, "needs_vision_model"),
+        "tax": ("native_digital", "single_column", None, 0.0, "financial", 1, "fast_text_sufficient"),
+    }
+
+
+def test_markdown_language_and_flags(spark):
+    rows = spark.createDataFrame([(1, None), (2, "ሪፖርቱ ቀረበ ዛሬ"), (3, "A plain report of the year in English."), (4, "ሪፖርቱ ቀረበ and a long English remark here"), (5, "※ ① ② ∞ - - - - - - - -"), (6, "дддддддддддд")], "k int, t string")
+    got = {r.k: (r.v.language, r.v.script, r.v.confidence, r.f) for r in rows.select("k", triage.markdown_language(F.col("t")).alias("v"), extract.markdown_flags(F.col("t")).alias("f")).collect()}
+    assert got == {
+        1: (None, None, 0.0, ["empty extracted markdown"]), 2: ("am", "ethiopic", 0.9, []), 3: ("en", "latin", 0.75, []), 4: ("mixed", "mixed", 0.85, []),
+        5: (None, None, 0.1, ["contains unusual OCR symbols", "low alphanumeric ratio"]), 6: (None, None, 0.1, ["non-ascii text without clear script signal"]),
+    }
+
+
 @pytest.mark.parametrize("a,b,origin,lang,step,trace", [(0.95, 0.8, None, None, "A", "A"), (0.3, 0.82, None, None, "B", "A>B"), (0.3, 0.5, None, None, "C1", "A>B>C1"), (0.95, 0.9, "scanned_image", "am", "C3", "A+B-skipped>C3"), (0.95, 0.9, "scanned_image", "en", "B", "A-skipped>B")])
 def test_routes(spark, a, b, origin, lang, step, trace):
     rows = spark.createDataFrame([("d", a, b, 0.7, 0.1, 0.5, origin, lang)], "doc_id string, conf_a double, conf_b double, conf_c1 double, conf_c2 double, conf_c3 double, origin_type string, language string")

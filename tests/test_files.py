@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quire.operators import extract, replies, route
+from quire.operators import agent, extract, facts, replies, route, search
 from quire.sources import files
 from quire.streaming import ledger
 
@@ -75,3 +75,16 @@ def test_extraction_scores(spark):
     rows = spark.createDataFrame([(1, ""), (2, good), (3, bad), (4, None)], "i int, t string")
     got = {r.i: r.s for r in rows.select("i", extract.extraction_score(F.col("t")).alias("s")).collect()}
     assert got[1] == got[4] == 0.0 and got[2] >= 0.55 and got[3] < 0.35
+
+
+def test_sinks_of_facts_texts_and_default_questions(spark):
+    schema = "ldu_id string, ingested_at timestamp_ntz, doc_id string, chunk_type string, content string, content_hash string, page_refs array<int>, provenance struct<source_path:string>"
+    now = __import__("datetime").datetime(2024, 1, 1)
+    rows = [("a", now, "d", "text", "Total tax: 5 million. " * 500, "ha", [1, 2], ("x/d.pdf",)), ("b", now, "d", "text", " ", "hb", None, None), ("c", now, "d", "text", "old", "hc", [], None)]
+    units = spark.createDataFrame(rows + rows[:1], schema)
+    stored = search.stored_texts(units, spark.createDataFrame([("c",)], "ldu_id string")).collect()
+    assert [(r.ldu_id, len(r.text), r.page_refs) for r in stored] == [("a", 8000, "[1,2]")]
+    made = facts.fact_rows(facts.extracted(units.where("ldu_id = 'a'").limit(1)), units, first_id=7).collect()
+    assert len(made) == 500 and len({r.id for r in made}) == 500 and {(r.doc_id, r.field_name, r.source_path, r.content_hash) for r in made} == {("d", "Total tax", "x/d.pdf", "ha")}
+    asked = agent.default_questions(spark.createDataFrame([(1, "d", "p"), (1, "d", "p"), (2, None, "p")], "index_id bigint, doc_id string, payload string")).collect()
+    assert [(r.index_id, r.question_no) for r in sorted(asked, key=lambda r: r.question_no)] == [(1, 1), (1, 2), (1, 3)]
