@@ -101,6 +101,17 @@ def answered(asked: DataFrame, units: DataFrame, snippet: int = 300) -> DataFram
     return asked.join(hits, ["doc_id", "question"], "left").select(*asked.columns, F.coalesce("snippet", F.lit(NO_ANSWER)).alias("answer"), "ldu_id")
 
 
+def totals(answers: DataFrame) -> DataFrame:
+    """(n_docs, n_questions, n_answered) of answers as `answered` gives them: one row, zeros without any."""
+    return answers.agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_questions"), F.count("ldu_id").alias("n_answered"))
+
+
+def evidence(hits: DataFrame, units: DataFrame, size: int = 300) -> DataFrame:
+    """hits (ldu_id, ...) with what speaks for them: snippet, document_name, pages and content_hash of their units."""
+    where = provenance(units).select("ldu_id", F.regexp_extract("source_path", r"([^/]*)$", 1).alias("document_name"), F.array_join(F.transform("spans", lambda x: x["page"].cast("string")), ",").alias("pages"), "content_hash")
+    return hits.join(_snippets(units, size), "ldu_id").join(where, "ldu_id").select(*hits.columns, "snippet", "document_name", "pages", "content_hash")
+
+
 def question_facts(asked: DataFrame, facts: DataFrame, most: int = 5) -> DataFrame:
     """asked with (topic, rank, id): the first facts, by id, whose field names the question's first word of numbers.
 

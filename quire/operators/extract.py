@@ -15,10 +15,14 @@ def line_type(line: Column) -> Column:
     return F.when(line.rlike(HEADING) & (F.length(line) < 90), "header").when(line.rlike(CAPTION), "figure").otherwise("text")
 
 
+def lines_of(text: Column) -> Column:
+    """The lines of a page as an array, without white space around them; blank and short ones among them."""
+    return F.transform(F.split(stripped(text), LINE_END), stripped)
+
+
 def line_blocks(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, block_type, line) of each line of at least three characters; null pages have none."""
-    lines = F.transform(F.split(stripped(F.col(text)), LINE_END), stripped)
-    rows = pages.where(F.col(text).isNotNull()).select(key, F.posexplode(lines).alias("line_no", "line"))
+    rows = pages.where(F.col(text).isNotNull()).select(key, F.posexplode(lines_of(F.col(text))).alias("line_no", "line"))
     return rows.where("length(line) >= 3").select(key, "line_no", line_type(F.col("line")).alias("block_type"), "line")
 
 
@@ -29,21 +33,106 @@ def paragraph_type(t: Column) -> Column:
     return F.when(t == "", "text").when(heading, "header").when(t.contains(":") | (numeric >= 3), "table").otherwise("text")
 
 
+def paragraphs_of(text: Column) -> Column:
+    """The texts between blank lines as an array."""
+    return F.filter(F.transform(F.split(stripped(text), r"\n\s*\n"), stripped), lambda p: p != "")
+
+
 def paragraph_blocks(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, paragraph_no, block_type, n_chars) of the paragraphs between blank lines."""
-    parts = F.filter(F.transform(F.split(stripped(F.col(text)), r"\n\s*\n"), stripped), lambda p: p != "")
+    parts = paragraphs_of(F.col(text))
     rows = pages.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("paragraph_no", "paragraph"))
     return rows.select(key, "paragraph_no", paragraph_type(F.col("paragraph")).alias("block_type"), F.length("paragraph").alias("n_chars"))
 
 
-def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = 1200) -> DataFrame:
-    """(key, chunk_no, chunk): sections cut at headings, then at blank lines, then into slices of at most size."""
-    sections = F.split(stripped(F.col(text)), r"\n(?=\s{0,3}#{1,6}\s+\S)")
+def chunks_of(text: Column, size: int = 1200) -> Column:
+    """The chunks of markdown as an array: cut at headings, then at blank lines, then into slices of at most size."""
+    sections = F.split(stripped(text), r"\n(?=\s{0,3}#{1,6}\s+\S)")
     parts = F.flatten(F.transform(sections, lambda s: F.split(stripped(s), r"\n\s*\n")))
     parts = F.filter(F.transform(parts, stripped), lambda p: p != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size)), lambda i: stripped(F.substring(p, (i * size + 1).cast("int"), F.lit(size))))
     slices = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.filter(slices, lambda c: c != "")).alias("chunk_no", "chunk"))
+    return F.filter(slices, lambda c: c != "")
+
+
+def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = 1200) -> DataFrame:
+    """(key, chunk_no, chunk) of each text's chunks; null texts have none."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(chunks_of(F.col(text), size)).alias("chunk_no", "chunk"))
+
+
+def word_box(words: Column) -> Column:
+    """[x0, top, x1, bottom] around a page's words; null where it has none."""
+    side = lambda least, name: least(F.transform(words, lambda w: w[name]))
+    return F.when(F.size(words) > 0, F.array(side(F.array_min, "x0"), side(F.array_min, "top"), side(F.array_max, "x1"), side(F.array_max, "bottom")))
+
+
+def table_text(rows: Column) -> Column:
+    """A table's rows as lines of cells between bars; null for one without a first row or of fewer than five characters."""
+    line = lambda row: F.array_join(F.transform(F.coalesce(row, F.array()), lambda c: stripped(F.coalesce(c, F.lit("")))), " | ")
+    text = stripped(F.array_join(F.transform(rows, line), "\n"))
+    return F.when((F.size(F.get(rows, F.lit(0))) > 0) & (F.length(text) >= 5), text)
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, block_type, text, bbox) of pages (doc_id, page, text, words, tables): tables first, then typed lines.
+
+    Every block has the box around all words of its page. Null texts, words and tables count as none.
+    """
+    block = lambda kind, text: F.struct(kind.alias("block_type"), text.alias("text"))
+    tables = F.filter(F.transform(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), table_text), lambda t: t.isNotNull())
+    lines = F.filter(lines_of(F.coalesce("text", F.lit(""))), lambda x: F.length(x) >= 3)
+    blocks = F.concat(F.transform(tables, lambda t: block(F.lit("table"), t)), F.transform(lines, lambda x: block(line_type(x), x)))
+    rows = pages.select("doc_id", "page", word_box(F.col("words")).alias("bbox"), F.posexplode(blocks).alias("pos", "b"))
+    return rows.select("doc_id", "page", "pos", "b.block_type", "b.text", "bbox")
+
+
+def layer_blocks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, block_type, text) of pages (doc_id, page, text): the text layer of each page that is not blank as one block."""
+    rows = pages.select("doc_id", "page", F.lit("text").alias("block_type"), stripped(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.where("text <> ''")
+
+
+def markdown_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, block_type, text, spans) of docs (doc_id, page_count, markdown): chunks that may stand on any page of the document."""
+    pages = F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))), lambda p: F.struct(p.alias("page"), F.lit(None).cast("array<double>").alias("bbox")))
+    rows = docs.where("markdown is not null").select("doc_id", pages.alias("spans"), F.posexplode(chunks_of(F.col("markdown"))).alias("pos", "text"))
+    return rows.select("doc_id", "pos", F.lit("text").alias("block_type"), "text", "spans")
+
+
+def _as_blocks(step: Column, text: Column) -> Column:
+    """The blocks (block_type, text) that a step makes of a text layer; C3, which reads replies, makes none of it."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    typed = lambda parts, kind: F.transform(parts, lambda x: F.struct(kind(x).alias("block_type"), x.alias("text")))
+    plain = lambda x: F.lit("text")
+    return (
+        F.when(step == "A", typed(F.filter(lines_of(t), lambda x: F.length(x) >= 3), line_type)).when(step == "B", typed(chunks_of(t), plain))
+        .when((step == "C1") & (t != ""), typed(F.array(t), plain)).when(step == "C2", typed(paragraphs_of(t), paragraph_type))
+    )
+
+
+def routed_blocks(routes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, step, pos, block_type, text) of routed texts: the blocks of the step that each is extracted by, in one pass and without a shuffle."""
+    rows = routes.select(key, "step", F.posexplode(_as_blocks(F.col("step"), F.col(text))).alias("pos", "b"))
+    return rows.select(key, "step", "pos", "b.block_type", "b.text")
+
+
+# What a document costs by each strategy, in dollars.
+COSTS = {"A": 0.001, "B": 0.010, "C": 0.0}
+
+
+def run_results(routes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, strategy_used, confidence, escalated, cost_estimate_usd, n_blocks, error, notes): a row for each text, failed ones included.
+
+    A text without blocks has confidence 0 and an error: that it is blank, or that no reply was given for it.
+    """
+    n = F.coalesce(F.size(_as_blocks(F.col("step"), F.col(text))), F.lit(0))
+    error = F.when(stripped(F.coalesce(F.col(text), F.lit(""))) == "", "no text").when(F.col("step") == "C3", "no reply of a vision model").when(n <= 0, "no blocks")
+    cost = F.create_map(*[F.lit(x) for pair in COSTS.items() for x in pair])[F.col("strategy")]
+    rows = routes.select("*", F.greatest(n, F.lit(0)).alias("n_blocks"), error.alias("error"))
+    return rows.select(
+        key, F.col("strategy").alias("strategy_used"), F.when(F.col("error").isNull(), F.col("confidence")).otherwise(0.0).alias("confidence"),
+        F.col("strategy").isin("B", "C").alias("escalated"), cost.alias("cost_estimate_usd"), "n_blocks", "error", F.col("trace").alias("notes"),
+    )
 
 
 def _steps(value: Column, steps: list[tuple[int, float]], least: float) -> Column:
@@ -69,7 +158,7 @@ def confidences(chars: Column, chunks: Column, tables: Column, headers: Column)
 
 def candidates(docs: DataFrame, key: str, text: str, keep: tuple[str | Column, ...] = ()) -> DataFrame:
     """(key, kept columns, n_chars, conf_a .. conf_c3) of each document: what every strategy would claim for its text."""
-    parts = F.filter(F.transform(F.split(stripped(F.coalesce(F.col(text), F.lit(""))), r"\n\s*\n"), stripped), lambda p: p != "")
+    parts = paragraphs_of(F.coalesce(F.col(text), F.lit("")))
     kinds = docs.select(key, *keep, F.length(stripped(F.coalesce(F.col(text), F.lit("")))).alias("n_chars"), F.transform(parts, paragraph_type).alias("kinds"))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind))
     kept = [c for c in kinds.columns if c not in (key, "n_chars", "kinds")]

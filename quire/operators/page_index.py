@@ -88,6 +88,15 @@ def document_pages(blocks: DataFrame, units: DataFrame, profiles: DataFrame) ->
     return pages.unionByName(empty)
 
 
+def page_lookups(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """asked (doc_id, page, ...) with found, item_count, char_count and data_types of that page; one that the index lacks is not found.
+
+    pages as `document_pages` has them. A null document or page is found nowhere.
+    """
+    rows = asked.join(pages, ["doc_id", "page"], "left")
+    return rows.select(*asked.columns, F.col("item_count").isNotNull().alias("found"), "item_count", "char_count", "data_types")
+
+
 def document_indexes(pages: DataFrame, tree: DataFrame) -> DataFrame:
     """(doc_id, page_count, item_count, data_types, section_count, summary_mode): what a document's page index says of itself.
 

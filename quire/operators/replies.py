@@ -23,6 +23,33 @@ def reply_json(raw: Column) -> Column:
     return F.when(is_object(text), text).when(is_object(inner), inner)
 
 
+# Words that name a language in a reply, in the order in which they are looked for.
+REPLY_WORDS = [("am", ["amharic", "ethiopic", "ge'ez", "geez", "አምሃርኛ"]), ("am", ["tigrinya", "tigri"]), ("mixed", ["mixed"]), ("en", ["english", "latin script"])]
+REPLY_CODES = {"am": "am", "amharic": "am", "ethiopic": "am", "en": "en", "english": "en", "mixed": "mixed"}
+
+
+def reply_language(raw: Column) -> Column:
+    """The language code that a model's reply names, in JSON, in prose or as a bare code; null for none and for 'other'."""
+    bare = stripped(F.coalesce(raw, F.lit("")))
+    clean = stripped(F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    some = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
+    whole = F.when(clean.startswith("{") & F.try_parse_json(clean).isNotNull(), some(F.get_json_object(clean, "$.language")))
+    part = some(F.regexp_extract(bare, r'(?i)\{[^}]*"language"\s*:\s*"([^"]+)"[^}]*\}', 1))
+    low = F.lower(bare)
+    named = None
+    for code, words in REPLY_WORDS:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w)
+        if code == "mixed":  # the word alone may mean other things
+            hit = hit & (low.contains("amharic") | low.contains("english") | low.contains("ethiopic"))
+        named = F.when(hit, code) if named is None else named.when(hit, code)
+    named = named.when(bare.rlike("[\\u1200-\\u137F]"), "am")
+    codes = F.create_map(*[F.lit(x) for pair in REPLY_CODES.items() for x in pair])
+    lines = F.transform(F.split(low, r"\r\n|[\n\r]"), lambda x: codes[F.btrim(stripped(x), F.lit(".,;:"))])
+    return F.nullif(F.coalesce(whole, part, named, F.get(F.array_compact(lines), F.lit(0))), F.lit("other"))
+
+
 def reply_blocks(replies: DataFrame) -> DataFrame:
     """(doc_id, page, pos, block_type, text) of replies (doc_id, page, raw); one that is no JSON is one text block."""
     r = replies.select("doc_id", "page", stripped(F.coalesce("raw", F.lit(""))).alias("raw"), F.from_json(reply_json(F.col("raw")), REPLY).alias("j"))

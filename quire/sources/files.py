@@ -29,3 +29,27 @@ def write_artefacts(rows: DataFrame, path: str, by: str = "doc_id") -> None:
 def append_lines(rows: DataFrame, path: str) -> None:
     """rows appended to a folder of JSON lines."""
     rows.write.mode("append").json(path)
+
+
+def append_new(rows: DataFrame, path: str, *key: str) -> None:
+    """rows appended to a Parquet table, but for those whose key is there already; rows of one key go in once.
+
+    For facts, answers and texts that an ingest run again must not store twice. A null in a key is a value like any other.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = rows.dropDuplicates(list(key))
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        stored = spark.read.parquet(path).select(*(F.col(k).alias(f"_{k}") for k in key))
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        new = new.join(stored, same, "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def rules(spark: SparkSession, path: str) -> dict:
+    """The settings of one YAML file as nested dicts; an empty file has none. Needs PyYAML."""
+    import yaml
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}

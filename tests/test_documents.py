@@ -199,14 +199,15 @@ def test_every_core_query_equals_its_sql(spark, folder):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
 
-    from quire.plans import document_queries as R
+    from quire.plans import document_queries, pipeline_queries
 
     con = duckdb.connect()
     for p in Path(folder).glob("*.parquet"):
         con.sql(f"create view {p.stem} as select * from read_parquet('{p}')")
     say = lambda v: "-" if pd.isna(v) else repr(round(float(v), 9)) if isinstance(v, (int, float)) or hasattr(v, "as_tuple") else str(v)
-    for name, sql in R.SQL.items():
-        a, b = R.QUERIES[name](spark, folder).toPandas(), con.sql(sql).df()
+    made = document_queries.QUERIES | pipeline_queries.QUERIES
+    for name, sql in (document_queries.SQL | pipeline_queries.SQL).items():
+        a, b = made[name](spark, folder).toPandas(), con.sql(sql).df()
         assert sorted(a.columns) == sorted(b.columns), name
         rows = lambda df: sorted(tuple(say(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist())
         assert rows(a) == rows(b), name
