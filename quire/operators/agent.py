@@ -60,6 +60,7 @@ def topics(section: DataFrame, most: int = 10) -> DataFrame:
 
 def questions(page_indexes: DataFrame, section: DataFrame) -> DataFrame:
     """(index_id, doc_id, question_no, question): three questions for each page index with a document id."""
+    section = staged(section.select("index_id", "pre", "post", "depth", "title"), "titles")
     told = section.where("depth = 1").groupBy("index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", F.coalesce("title", F.lit("")).alias("title")))), lambda x: x["title"]), " ").alias("titles"))
     own = topics(section).where("n <= 3").groupBy("index_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "topic"))), lambda x: x["topic"]).alias("topics"))
     docs = page_indexes.where("index_id is not null and doc_id is not null").select("index_id", "doc_id").dropDuplicates(["index_id"])
@@ -89,14 +90,20 @@ def default_questions(page_indexes: DataFrame) -> DataFrame:
     return each.select("index_id", "doc_id", (F.col("at") + 1).alias("question_no"), "question")
 
 
+def _named(units: DataFrame, hits: DataFrame) -> DataFrame:
+    """The units that hits name."""
+    return units.join(sized(hits.select("ldu_id").distinct()), "ldu_id", "left_semi")
+
+
 def _snippets(units: DataFrame, size: int) -> DataFrame:
     return first_arrivals(units.select("ldu_id", "ingested_at", F.substring("content", 1, size).alias("snippet")), "ldu_id", "ingested_at").drop("ingested_at")
 
 
 def answered(asked: DataFrame, units: DataFrame, snippet: int = 300) -> DataFrame:
     """asked (doc_id, question, ...) with the answer from the best unit of the question's own document, and its id."""
-    best = keyword_top(units, asked.select("doc_id", "question").distinct(), most=1, within="doc_id")
-    texts = _snippets(units, snippet)
+    asked = staged(asked, "asked-questions")
+    best = staged(keyword_top(units, asked.select("doc_id", "question").distinct(), most=1, within="doc_id"), "best-units")
+    texts = _snippets(_named(units, best), snippet)
     hits = best.join(texts, "ldu_id").select("doc_id", "question", "ldu_id", "snippet")
     return asked.join(hits, ["doc_id", "question"], "left").select(*asked.columns, F.coalesce("snippet", F.lit(NO_ANSWER)).alias("answer"), "ldu_id")
 
@@ -108,6 +115,8 @@ def totals(answers: DataFrame) -> DataFrame:
 
 def evidence(hits: DataFrame, units: DataFrame, size: int = 300) -> DataFrame:
     """hits (ldu_id, ...) with what speaks for them: snippet, document_name, pages and content_hash of their units."""
+    hits = staged(hits, "search-hits")
+    units = _named(units, hits)
     where = provenance(units).select("ldu_id", F.regexp_extract("source_path", r"([^/]*)$", 1).alias("document_name"), F.array_join(F.transform("spans", lambda x: x["page"].cast("string")), ",").alias("pages"), "content_hash")
     return hits.join(_snippets(units, size), "ldu_id").join(where, "ldu_id").select(*hits.columns, "snippet", "document_name", "pages", "content_hash")
 
@@ -136,8 +145,8 @@ def verified(claims: DataFrame, units: DataFrame) -> DataFrame:
     The eight units of the claim's document that speak of it most are held against it: the share of its longer words
     in the first 300 characters decides. Without such a unit the verdict is not_found with overlap 0.
     """
-    top = keyword_top(units, claims.select("doc_id", F.col("claim").alias("question")).distinct(), most=8, within="doc_id").withColumnRenamed("question", "claim")
-    texts = _snippets(units, 300)
+    top = staged(keyword_top(units, claims.select("doc_id", F.col("claim").alias("question")).distinct(), most=8, within="doc_id").withColumnRenamed("question", "claim"), "claim-units")
+    texts = _snippets(_named(units, top), 300)
     mine = _words(F.col("claim"))
     held = top.join(texts, "ldu_id").withColumn("overlap", F.size(F.array_intersect(mine, _words(F.col("snippet")))) / F.greatest(F.size(mine), F.lit(1)))
     best = held.groupBy("doc_id", "claim").agg(F.max_by(F.struct("overlap", "ldu_id"), F.struct(F.col("overlap"), -F.col("rank"))).alias("b"))
@@ -180,7 +189,9 @@ def ask(asked: DataFrame, units: DataFrame, section: DataFrame, facts: DataFrame
     the question's document; sections: the titles' paths of the three best sections of its index; fact_ids: the first five
     facts about the first word of numbers that it has, over all documents; tools: what was asked for it.
     """
-    best = keyword_top(units, asked.select("doc_id", "question").distinct(), most=most, within="doc_id").where("rank <= 3")
+    asked = staged(asked, "asked-questions")
+    best = staged(keyword_top(units, asked.select("doc_id", "question").distinct(), most=most, within="doc_id").where("rank <= 3"), "best-units")
+    units = _named(units, best)
     where = provenance(units).select("ldu_id", "content_hash", F.transform("spans", lambda x: x["page"]).alias("pages"))
     hits = best.join(_snippets(units, 300), "ldu_id").join(where, "ldu_id")
     found = hits.groupBy("doc_id", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "ldu_id", "snippet", "pages", "content_hash"))).alias("h"))

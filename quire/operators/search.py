@@ -16,6 +16,7 @@ from quire.session import staged
 
 BLOCK = 512  # queries scored against a block of rows at a time
 ROW_BLOCK = 20_000
+FEW_WORDS = 64  # asked words of a document that are counted in its texts one by one
 
 
 def asked_words(questions: DataFrame, own: list[str]) -> DataFrame:
@@ -38,17 +39,21 @@ def keyword_top(units: DataFrame, questions: DataFrame, most: int = 5, within: s
     A word also counts inside longer words, so that each question word is first looked up in the corpus's distinct
     words; those found are then counted where texts are read, and only counts are shuffled. Words do not contain
     spaces, so none is missed. With `within`, a column of both tables, each question is put to the units of its own
-    value only. Repeated rows of a unit, which have the same content, count once.
+    value only; where a value has at most FEW_WORDS question words, its texts are searched for them directly, which
+    gives the same counts without an index. Repeated rows of a unit, which have the same content, count once.
     """
     own = [within] if within else []
     rows = units.where("ldu_id is not null and content is not null")
-    if within:
-        rows = rows.join(sized(questions.where(F.col(within).isNotNull()).select(within).distinct()), within, "left_semi")
     asked = staged(asked_words(questions, own), "asked-words")
-    tokens = F.split(F.lower("content"), r"\s+")
-    every = rows.select(F.explode(F.array_distinct(tokens)).alias("token")).where("token <> ''").distinct()
-    holding = sized(staged(holders(every, asked.select("word").distinct()), "word-holders"))
-    counts = rows.select("ldu_id", *own, F.explode(tokens).alias("token")).join(holding, "token").groupBy("ldu_id", *own, "word").agg(F.sum("times").alias("n"))
+    if within:
+        words = asked.where(F.col(within).isNotNull()).select(within, "word").distinct()
+        sizes = staged(words.groupBy(within).agg(F.count("*").alias("n")), "asked-sizes")
+        few, many = (sizes.where(test).select(within) for test in (f"n <= {FEW_WORDS}", f"n > {FEW_WORDS}"))
+        counts = _searched(rows, words.join(sized(few), within, "left_semi"), within)
+        if not many.isEmpty():
+            counts = counts.unionByName(_looked_up(rows.join(sized(many), within, "left_semi"), words.join(sized(many), within, "left_semi"), own))
+    else:
+        counts = _looked_up(rows, asked, own)
     copies = rows.groupBy("ldu_id").agg(F.count("*").alias("copies")).where("copies > 1")
     once = counts.join(sized(staged(copies, "unit-copies")), "ldu_id", "left").withColumn("n", F.col("n") / F.coalesce("copies", F.lit(1)))
     hits = once.join(sized(asked), [*own, "word"]).groupBy("question", *own, "ldu_id").agg((F.sum(F.col("n") * F.col("asked")) / F.max("n_words")).alias("score"))
@@ -56,6 +61,24 @@ def keyword_top(units: DataFrame, questions: DataFrame, most: int = 5, within: s
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question", *own, "rank", "ldu_id", "score")
 
 
+def _searched(rows: DataFrame, words: DataFrame, within: str) -> DataFrame:
+    """(ldu_id, within, word, n): how often each of the words of its value occurs in a unit's text; a value has few words."""
+    lists = sized(words.groupBy(within).agg(F.collect_list("word").alias("words")))
+    c = F.col("c")
+    present = F.filter("words", lambda w: c.contains(w))
+    inside = F.transform(present, lambda w: F.struct(w.alias("word"), F.floor((F.length(c) - F.length(F.replace(c, w))) / F.length(w)).alias("n")))
+    each = rows.select("ldu_id", within, F.lower("content").alias("c")).join(lists, within).select("ldu_id", within, F.inline(inside))
+    return each.groupBy("ldu_id", within, "word").agg(F.sum("n").alias("n"))
+
+
+def _looked_up(rows: DataFrame, words: DataFrame, own: list[str]) -> DataFrame:
+    """(ldu_id, own, word, n): as `_searched`, by way of the distinct tokens that hold a word."""
+    tokens = F.split(F.lower("content"), r"\s+")
+    every = rows.select(F.explode(F.array_distinct(tokens)).alias("token")).where("token <> ''").distinct()
+    holding = sized(staged(holders(every, words.select("word").distinct()), "word-holders"))
+    return rows.select("ldu_id", *own, F.explode(tokens).alias("token")).join(holding, "token").groupBy("ldu_id", *own, "word").agg(F.sum("times").alias("n"))
+
+
 def _grams(word: str):
     """All pieces of one to three characters of a word, each once: what a question word may begin with."""
     w = F.col(word)

@@ -75,3 +75,17 @@ def test_ingest_adds_new_rows_only(spark):
     assert [r.ldu_id for r in search.new_rows(rows, rows.where("n = 1"), "ldu_id").collect()] == ["b"]
     names = spark.createDataFrame([("x-e.c-2",), ("ሰነድ",), ("report",)], "d string")
     assert [r[0] for r in names.select(triage.named_language(F.col("d"))).collect()] == ["am", "am", "en"]
+
+
+def test_few_and_many_words_are_counted_alike(spark, monkeypatch):
+    from quire.operators import search
+
+    texts = [("a1", "a", "Tax taxes and TAX of the\tnorth"), ("a1", "a", "Tax taxes and TAX of the\tnorth"), ("a2", "a", "no. No north"), ("b1", "b", "ታክስ tax"), ("b2", "b", ""), ("b3", "b", None), (None, "b", "tax"), ("c1", None, "tax")]
+    units = spark.createDataFrame(texts, "ldu_id string, doc_id string, content string")
+    asked = spark.createDataFrame([("a", "tax north tax"), ("a", "no"), ("b", "ታክስ of tax"), (None, "tax"), ("z", "tax"), ("a", None), ("b", " ")], "doc_id string, question string")
+    found = {}
+    for few in (0, 2, 64):
+        monkeypatch.setattr(search, "FEW_WORDS", few)
+        found[few] = sorted((r.doc_id, r.question, r["rank"], r.ldu_id, r.score) for r in search.keyword_top(units, asked, within="doc_id").collect())
+    assert found[0] == found[2] == found[64] and ("a", "tax north tax", 1, "a1", 7 / 3) in found[64] and ("a", "no", 1, "a2", 3.0) in found[64]
+    assert search.keyword_top(units, asked.limit(0), within="doc_id").count() == 0
