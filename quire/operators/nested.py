@@ -61,8 +61,8 @@ def _entries(value, object_keys: tuple[str, ...]) -> list[tuple[str | None, obje
     return [(None, x) for x in value] if isinstance(value, list) else []
 
 
-def traverse(payload: str | None, with_fields: bool = True) -> list[tuple]:
-    """(kind, path, place, depth, pre, post, fields) of each node of one payload, in pre-order."""
+def traverse(payload: str | None, with_fields: bool = True, kinds: tuple[str, ...] | None = None) -> list[tuple]:
+    """(kind, path, place, depth, pre, post, fields) of each node of one payload, in pre-order; with kinds, of those alone, numbered as among all."""
     tree = _parsed(payload)
     tree = _parsed(tree)
     if isinstance(tree, dict) and isinstance(_parsed(tree.get("page_index")), dict):
@@ -95,23 +95,25 @@ def traverse(payload: str | None, with_fields: bool = True) -> list[tuple]:
         clock += 1
         keys = CHILDREN.get(kind, ())
         fields = None
-        if with_fields:
+        wanted = kinds is None or kind in kinds
+        if with_fields and wanted:
             kept = {_snake(k): v for k, v in entry.items() if k not in keys} if isinstance(entry, dict) else {}
             fields = json.dumps(kept, ensure_ascii=False)
         row = [kind, path, place, depth, clock, 0, fields]
-        out.append(row)
+        if wanted:
+            out.append(row)
         below = _first(entry, keys) if isinstance(entry, dict) else None
         child = "section" if kind == "section" else "item"
         stack.append((frontier(child, _entries(below, ("title", "ldu_id", "lduId", "chunk_type")), path, depth + 1), row))
     return [tuple(r) for r in out]
 
 
-def nodes(page_indexes: DataFrame, with_fields: bool = True) -> DataFrame:
-    """One row per node with its interval (pre, post); index_id and payload are the columns read."""
+def nodes(page_indexes: DataFrame, with_fields: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per node, of the given kinds or all, with its interval (pre, post); index_id and payload are the columns read."""
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *n) for i, p in zip(batch["index_id"], batch["payload"]) for n in traverse(p, with_fields)]
+            rows = [(i, *n) for i, p in zip(batch["index_id"], batch["payload"]) for n in traverse(p, with_fields, kinds)]
             yield pd.DataFrame(rows, columns=["index_id", "node_kind", "node_path", "place", "depth", "pre", "post", "fields"])
 
     valid = page_indexes.select("index_id", "payload").where("index_id is not null and payload is not null")
@@ -141,11 +143,13 @@ def linked(labelled: DataFrame) -> DataFrame:
 
 
 def node_tables(page_indexes: DataFrame) -> dict[str, DataFrame]:
-    """The tables `section`, `page` and `item`, each with its own fields and the link columns."""
-    both = linked(nodes(page_indexes))
+    """The tables `section`, `page` and `item`, each with its own fields and the link columns.
+
+    Each table emits and links only the kinds of nodes that it needs, so that sections do not pay for items.
+    """
     keys = ["index_id", "node_path", "parent_path", "place", "depth", "pre", "post", "parent_pre"]
     tables = {}
     for kind, schema in (("section", SECTION_FIELDS), ("page", PAGE_FIELDS), ("item", ITEM_FIELDS)):
-        rows = both.where(F.col("node_kind") == kind)
+        rows = linked(nodes(page_indexes, kinds=("page", "item") if kind == "item" else (kind,))).where(F.col("node_kind") == kind)
         tables[kind] = rows.select(*keys, F.from_json("fields", schema).alias("f")).select(*keys, "f.*")
     return tables

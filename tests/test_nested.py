@@ -73,3 +73,10 @@ def test_tables_by_kind_keep_fields_and_an_empty_table(spark):
     i = tables["item"].first()
     assert (i.ldu_id, i.chunk_type) == ("q", "text") and i.parent_pre == tables["page"].first().pre
     assert nested.linked(nested.nodes(one.limit(0))).count() == 0
+
+
+def test_some_kinds_are_numbered_as_among_all():
+    payload = json.dumps({"root": [{"page": 1, "items": [{"snippet": "x"}]}], "sections": [{"title": "a", "child_sections": [{"title": "b"}]}]})
+    every = nested.traverse(payload)
+    for kinds in (("section",), ("page", "item"), ("page",)):
+        assert nested.traverse(payload, kinds=kinds) == [n for n in every if n[0] in kinds]
