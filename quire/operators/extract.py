@@ -186,23 +186,20 @@ def quality(text: Column, strategy: Column) -> Column:
 ODD_SIGNS = "∞①②③④⑤⑥⑦⑧⑨○●◉◌※"
 
 
-def markdown_flags(text: Column) -> Column:
-    """What speaks against extracted markdown: nothing there, odd signs, few letters and digits, or no clear script."""
-    t = stripped(F.coalesce(text, F.lit("")))
-    n = lambda keep: F.length(F.regexp_replace(t, f"[^{keep}]", ""))
-    unclear = (F.length(t) - n("\\x00-\\x7F") >= 10) & (n("\\u1200-\\u137F") < 3) & (n("A-Za-z") < 10)
+def markdown_flags(n: Column, ethiopic: Column, latin: Column, plain: Column, odd: Column, alnum: Column) -> Column:
+    """What speaks against extracted markdown, by its counts: nothing there, odd signs, few letters and digits, or no clear script."""
     flags = F.array(
-        F.when(n(ODD_SIGNS) >= 3, "contains unusual OCR symbols"), F.when(n(r"\p{L}\p{N}") / F.length(t) < 0.35, "low alphanumeric ratio"),
-        F.when(unclear, "non-ascii text without clear script signal"),
+        F.when(odd >= 3, "contains unusual OCR symbols"), F.when(alnum / n < 0.35, "low alphanumeric ratio"),
+        F.when((n - plain >= 10) & (ethiopic < 3) & (latin < 10), "non-ascii text without clear script signal"),
     )
-    return F.when(t == "", F.array(F.lit("empty extracted markdown"))).otherwise(F.array_compact(flags))
+    return F.when(n <= 0, F.array(F.lit("empty extracted markdown"))).otherwise(F.array_compact(flags))
 
 
 def extraction_score(text: Column) -> Column:
     """Quality of extracted text from 0 to 1: for length, letters, different words and figures of finance, less for doubt and junk."""
     t = stripped(F.coalesce(text, F.lit("")))
     low, n = F.lower(t), F.length(t)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(n, F.lit(1))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / F.greatest(n, F.lit(1))
     words = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-/%().,:]*[\p{L}\p{N}_])?"), F.lit(0))))
     finance = t.rlike(r"\p{Nd}") & low.rlike(r"\b(total|amount|revenue|tax|profit|year)\b")
     doubt, junk = occurrences(low, r"\bunknown\b|\bunclear\b|\bunreadable\b|\bunsure\b"), occurrences(t, r"[#`]{3,}|\\u[0-9a-fA-F]{4}")

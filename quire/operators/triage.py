@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import stripped
 from quire.operators.arrivals import first_arrivals
+from quire.operators.extract import ODD_SIGNS, markdown_flags
 from quire.operators.replies import reply_language
 
 # Thresholds and keyword lists.
@@ -49,10 +50,19 @@ def layout_complexity(table_score: Column, figure_score: Column, columns: Column
 def script_counts(text: Column) -> Column:
     """struct(n, ethiopic, latin, plain): a text's characters, and its Ethiopic, Latin and ASCII ones; sums of parts tell the whole."""
     t = stripped(F.coalesce(text, F.lit("")))
-    kept = lambda signs: F.length(F.regexp_replace(t, f"[^{signs}]", ""))
+    kept = lambda signs: F.length(F.regexp_replace(t, f"[^{signs}]+", ""))
     return F.struct(F.length(t).alias("n"), kept("\\u1200-\\u137F").alias("ethiopic"), kept("A-Za-z").alias("latin"), kept("\\x00-\\x7F").alias("plain"))
 
 
+COUNTS = ("n", "ethiopic", "latin", "plain")
+
+
+def counted(docs: DataFrame, key: str, text: str, **more: Column) -> DataFrame:
+    """(key, n, ethiopic, latin, plain, more) of texts: as columns, so that rules that use a count often count once."""
+    counts = script_counts(F.col(text))
+    return docs.select(key, *(counts[c].alias(c) for c in COUNTS), *(c.alias(name) for name, c in more.items()))
+
+
 def language_of(n: Column, ethiopic: Column, latin: Column, plain: Column) -> Column:
     """struct(language, language_confidence) by counts of characters."""
     verdict = lambda lang, conf: F.struct(F.lit(lang).cast("string").alias("language"), F.lit(conf).alias("language_confidence"))
@@ -197,14 +207,21 @@ def profiled(signals: DataFrame, layout: DataFrame, samples: DataFrame, image_sh
     )
 
 
-def markdown_language(text: Column) -> Column:
+def markdown_language(n: Column, ethiopic: Column, latin: Column) -> Column:
     """struct(language, script, confidence) of extracted markdown, by the counts of Ethiopic and Latin letters."""
-    t = stripped(F.coalesce(text, F.lit("")))
-    ethiopic, latin = F.length(F.regexp_replace(t, "[^\\u1200-\\u137F]", "")), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    n = F.greatest(F.length(t), F.lit(1))
     verdict = lambda lang, script, conf: F.struct(F.lit(lang).cast("string").alias("language"), F.lit(script).cast("string").alias("script"), F.lit(conf).alias("confidence"))
     return (
-        F.when(t == "", verdict(None, None, 0.0)).when((ethiopic >= 5) & (latin >= 20), verdict("mixed", "mixed", 0.85))
+        F.when(n <= 0, verdict(None, None, 0.0)).when((ethiopic >= 5) & (latin >= 20), verdict("mixed", "mixed", 0.85))
         .when((ethiopic >= 5) & (ethiopic / n > 0.03), verdict("am", "ethiopic", 0.9)).when((latin >= 20) & (latin / n > 0.15), verdict("en", "latin", 0.75))
         .otherwise(verdict(None, None, 0.1))
     )
+
+
+def markdown_quality(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, language, script, confidence, flags) of each text as extracted markdown; null and blank texts are empty markdown."""
+    t = stripped(F.coalesce(F.col(text), F.lit("")))
+    kept = lambda signs: F.length(F.regexp_replace(t, f"[^{signs}]+", ""))
+    rows = counted(docs, key, text, odd=kept(ODD_SIGNS), alnum=kept(r"\p{L}\p{N}"))
+    n, ethiopic, latin, plain, odd, alnum = (F.col(c) for c in (*COUNTS, "odd", "alnum"))
+    judged = rows.select(key, markdown_language(n, ethiopic, latin).alias("v"), markdown_flags(n, ethiopic, latin, plain, odd, alnum).alias("flags"))
+    return judged.select(key, "v.*", F.array_join("flags", "; ").alias("flags"))

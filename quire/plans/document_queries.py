@@ -9,6 +9,7 @@ from quire.functions import text as T
 from quire.operators import agent, chunk, extract, facts, nested, page_index, route, search, triage
 from quire.operators.arrivals import first_arrivals
 from quire.plans.problem_queries import SECTIONS
+from quire.session import staged
 from quire.sources.tables import table
 from quire.streaming import ledger
 
@@ -85,8 +86,9 @@ select doc_id, case when t = '' then null when e >= 5 and l >= 20 then 'mixed' w
 from n""")
 def script_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of each text by its script alone, without a model."""
-    v = triage.script_language(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", v.alias("v")).select("doc_id", F.col("v.language").alias("script_language"), F.col("v.language_confidence").alias("script_confidence"))
+    rows = triage.counted(table(spark, folder, "documents"), "doc_id", "text")
+    v = triage.language_of(*(F.col(c) for c in triage.COUNTS))
+    return rows.select("doc_id", v.alias("v")).select("doc_id", F.col("v.language").alias("script_language"), F.col("v.language_confidence").alias("script_confidence"))
 
 
 _HITS = {d: " + ".join(f"contains(t, '{w}')::int" for w in words) for d, words in triage.DOMAIN_WORDS.items()}
@@ -544,6 +546,6 @@ select a.*, coalesce(answer, '{agent.NO_ANSWER}') as answer, coalesce(ldu_ids, '
 from asked a left join h using (doc_id, question) left join g using (index_id, question) left join f on topic = lower(regexp_extract(question, '{_NUMBERS}'))""")
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Those questions answered in full: answer, evidence with its provenance, sections, facts, and the tools that found them."""
-    asked = document_questions(spark, folder)
-    section = nested.node_tables(table(spark, folder, "page_indexes"))["section"]
-    return agent.ask(asked, table(spark, folder, "ldus"), section, table(spark, folder, "facts"))
+    indexes = table(spark, folder, "page_indexes")
+    section = staged(nested.node_tables(indexes)["section"], "sections")
+    return agent.ask(agent.questions(indexes, section), table(spark, folder, "ldus"), section, table(spark, folder, "facts"))

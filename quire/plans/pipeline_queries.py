@@ -131,8 +131,7 @@ select doc_id, case when t = '' then null when e >= 5 and l >= 20 then 'mixed' w
     case when n - a >= 10 and e < 3 and l < 10 then 'non-ascii text without clear script signal' end], lambda x: x is not null), '; ') end as flags from n""")
 def markdown_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Language and script of each text as extracted markdown, and what speaks against it."""
-    rows = table(spark, folder, "documents").select("doc_id", triage.markdown_language(F.col("text")).alias("v"), F.array_join(extract.markdown_flags(F.col("text")), "; ").alias("flags"))
-    return rows.select("doc_id", "v.language", "v.script", "v.confidence", "flags")
+    return triage.markdown_quality(table(spark, folder, "documents"), "doc_id", "text")
 
 
 _DEFAULTS = f"asked as (select distinct index_id, doc_id, unnest([1, 2, 3])::int as question_no, unnest([{', '.join(repr(q) for q in agent.DEFAULT_QUESTIONS)}]) as question from page_indexes where index_id is not null and doc_id is not null)"

@@ -135,10 +135,10 @@ def test_profiles_from_signals(spark):
 
 def test_markdown_language_and_flags(spark):
     rows = spark.createDataFrame([(1, None), (2, "ሪፖርቱ ቀረበ ዛሬ"), (3, "A plain report of the year in English."), (4, "ሪፖርቱ ቀረበ and a long English remark here"), (5, "※ ① ② ∞ - - - - - - - -"), (6, "дддддддддддд")], "k int, t string")
-    got = {r.k: (r.v.language, r.v.script, r.v.confidence, r.f) for r in rows.select("k", triage.markdown_language(F.col("t")).alias("v"), extract.markdown_flags(F.col("t")).alias("f")).collect()}
+    got = {r.k: (r.language, r.script, r.confidence, r.flags) for r in triage.markdown_quality(rows, "k", "t").collect()}
     assert got == {
-        1: (None, None, 0.0, ["empty extracted markdown"]), 2: ("am", "ethiopic", 0.9, []), 3: ("en", "latin", 0.75, []), 4: ("mixed", "mixed", 0.85, []),
-        5: (None, None, 0.1, ["contains unusual OCR symbols", "low alphanumeric ratio"]), 6: (None, None, 0.1, ["non-ascii text without clear script signal"]),
+        1: (None, None, 0.0, "empty extracted markdown"), 2: ("am", "ethiopic", 0.9, ""), 3: ("en", "latin", 0.75, ""), 4: ("mixed", "mixed", 0.85, ""),
+        5: (None, None, 0.1, "contains unusual OCR symbols; low alphanumeric ratio"), 6: (None, None, 0.1, "non-ascii text without clear script signal"),
     }
 
 
