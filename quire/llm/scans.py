@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.chunk import BUCKET, carried
-from quire.operators.keys import documents_of, sized
+from quire.operators.keys import documents_of, shuffled, sized
 from quire.session import staged
 
 # What recognition makes of characters, as right:wrong.
@@ -198,7 +198,7 @@ def divided(text_lines: DataFrame) -> DataFrame:
     placed = edges.select(
         F.concat_ws(" ", "kind", "doc_id").alias("doc_id"), F.struct("pos", "unit_id").alias("seq"), F.coalesce(F.floor(F.col("pos") / BUCKET), F.lit(-1)).alias("bucket"), "unit_id", "no", "head", opens.alias("opens")
     )
-    onward = carried(staged(placed, "unit-edges"), {"after": F.col("opens")}, back=True, strict=True).select("unit_id", "no", "head", "after.*").select("unit_id", "no", "head", "tail", "tail_unit", "tail_no", "token")
+    onward = carried(shuffled(staged(placed, "unit-edges")), {"after": F.col("opens")}, back=True, strict=True).select("unit_id", "no", "head", "after.*").select("unit_id", "no", "head", "tail", "tail_unit", "tail_no", "token")
     within = rows.where("tail is not null").select("unit_id", "no", "head", "tail", F.col("unit_id").alias("tail_unit"), "tail_no", F.lit("").alias("token"))
     split = within.unionByName(onward).where("head <> '' and tail <> ''")
     same_case = F.col("tail").rlike(r"^\p{Ll}|^\p{Lo}") | (F.col("head").rlike(r"\p{Lu}$") & F.col("tail").rlike(r"^\p{Lu}"))
@@ -266,7 +266,7 @@ def corrections(types: DataFrame, known: DataFrame) -> DataFrame:
     index = known.where((F.col("n") >= MIN_COUNT) & ~F.col("word").rlike(r"[\d@+]")).where(lettered)
     index = index.select(F.col("word").alias("right"), "n", F.explode(deletes(F.col("word"))).alias("part"))
     asked = types.where(lettered).select("word", "own", F.explode(deletes(F.col("word"))).alias("part"))
-    pairs = asked.join(index, "part").where((F.col("n") >= RATIO * F.col("own")) & (F.col("word") != F.col("right"))).select("word", "right", "n").distinct()
+    pairs = asked.join(shuffled(index), "part").where((F.col("n") >= RATIO * F.col("own")) & (F.col("word") != F.col("right"))).select("word", "right", "n").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -293,6 +293,7 @@ def resolved(words: DataFrame, fixes: DataFrame, corpus: DataFrame) -> DataFrame
     asked = open_.select(F.concat_ws(" ", "before", "right").alias("pair")).unionByName(open_.select(F.concat_ws(" ", "right", "after").alias("pair"))).distinct()
     pairs = corpus.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))).alias("pair"))
     seen = staged(pairs.join(sized(staged(asked, "asked-pairs")), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("seen")), "seen-pairs")
+    seen = sized(seen)
     scored = (
         open_.join(seen.withColumnRenamed("seen", "s1"), F.concat_ws(" ", "before", "right") == F.col("pair"), "left").drop("pair")
         .join(seen.withColumnRenamed("seen", "s2"), F.concat_ws(" ", "right", "after") == F.col("pair"), "left")
@@ -317,15 +318,15 @@ def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[st
 
     parted = staged(divided(text_lines), "divided-words")
     forms = parted.select("head", "tail").distinct().withColumn("plain", F.concat("head", "tail")).withColumn("kept", F.concat("head", F.lit("-"), "tail"))
-    counted = forms.join(known.select(F.col("word").alias("plain"), F.col("n").alias("n_plain")), "plain", "left").join(known.select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
+    counted = forms.join(shuffled(known).select(F.col("word").alias("plain"), F.col("n").alias("n_plain")), "plain", "left").join(shuffled(known).select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
     whole = counted.select("head", "tail", F.when(F.coalesce("n_kept", F.lit(0)) > F.coalesce("n_plain", F.lit(0)), F.col("kept")).otherwise(F.col("plain")).alias("fragment"))
     whole = staged(whole, "whole-words")
-    hyphen = parted.join(whole, ["head", "tail"]).select("unit_id", "fragment").distinct()
+    hyphen = parted.join(sized(whole), ["head", "tail"]).select("unit_id", "fragment").distinct()
 
     broken = F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$")
     own = text_lines.select("unit_id", "no", "line", F.when(broken, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")).alias("w"))
     types = own.select(F.explode("w").alias("word")).unionByName(whole.select(F.col("fragment").alias("word"))).distinct()
-    types = types.join(known, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("own"), number_read(F.col("word")).alias("number"))
+    types = types.join(shuffled(known), "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("own"), number_read(F.col("word")).alias("number"))
     types = staged(types, "scan-words")
     fixes = staged(corrections(types.where("number is null"), known), "corrections")
     wrong = fixes.select("word").distinct().unionByName(types.where("number is not null").select("word"))
@@ -338,12 +339,12 @@ def repaired(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> dict[st
     numbers = placed.select("unit_id", "no", "at", "word", number_read(F.col("word")).alias("right")).where("right is not null")
     tails = parted.select(F.col("tail_unit").alias("unit_id"), F.col("tail").alias("word")).distinct()
     right = resolved(placed, fixes, corpus)
-    ocr = right.join(tails, ["unit_id", "word"], "left_anti").unionByName(numbers.select(*right.columns))
+    ocr = right.join(shuffled(tails), ["unit_id", "word"], "left_anti").unionByName(numbers.select(*right.columns))
     best = fixes.groupBy(F.col("word").alias("fragment")).agg(F.max_by("right", F.struct(-F.col("cost"), "n", "right")).alias("better"))
-    joined = whole.join(best, "fragment", "left").select("head", "tail", F.coalesce("better", "fragment").alias("right"))
+    joined = whole.join(shuffled(best), "fragment", "left").select("head", "tail", F.coalesce("better", "fragment").alias("right"))
     return {
         "marked": marked,
-        "joined": parted.join(joined, ["head", "tail"]),
+        "joined": parted.join(shuffled(joined), ["head", "tail"]),
         "placed": right.unionByName(numbers.select(*right.columns)),
         "line": marked.where("what is not null").select("unit_id", "what", "line"),
         "hyphen": hyphen,
@@ -451,5 +452,5 @@ def paragraphs(blocks: DataFrame, ldus: DataFrame, profiles: DataFrame) -> DataF
                 rows += [(unit, k, text) for k, text in enumerate(paragraphs_of(*[[] if x is None else list(x) for x in parts]), 1)]
             yield pd.DataFrame(rows, columns=["unit_id", "paragraph_no", "text"])
 
-    units = lines.join(fixes, "unit_id", "left").join(joins, "unit_id", "left").join(gone, "unit_id", "left")
+    units = lines.join(shuffled(fixes), "unit_id", "left").join(shuffled(joins), "unit_id", "left").join(shuffled(gone), "unit_id", "left")
     return units.mapInPandas(build, "unit_id string, paragraph_no int, text string")
